@@ -25,7 +25,6 @@ BATCH_ROWS = 1000
 #: ASCII white space of the word and line contracts.
 BLANK = " \t\n\v\f\r"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 _shipped: set[str] = set()
 
@@ -123,9 +122,14 @@ def list_array(values: np.ndarray, lengths, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def ascii_lower(text: str) -> str:
+    """A-Z in lower case, all else as it is (bytes know ASCII letters only)."""
+    return text.lower() if text.isascii() else text.encode().lower().decode()
+
+
 def words_of(text: str | None) -> list[str]:
     """Words of a text after lower-casing A-Z; none for null."""
-    return WORDS.findall(text.translate(ASCII_LOWER) if not text.isascii() else text.lower()) if text else []
+    return WORDS.findall(ascii_lower(text)) if text else []
 
 
 def _word_hash(word: str) -> int:

@@ -18,7 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ASCII_LOWER, map_batches, prepare, text_of
+from .common import ascii_lower, map_batches, prepare, text_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -160,7 +160,7 @@ def _machines():
 def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     """n_words, n_base, first_word, last_word, base_labels, labels, score."""
     phrases, tags = _machines()
-    text = text.translate(ASCII_LOWER) if not text.isascii() else text.lower()
+    text = ascii_lower(text)
     words = WORD.findall(text)
     joined = f" {' '.join(words)} "
     places: list[int] = []

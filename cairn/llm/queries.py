@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, quality, token_counts
+from . import bpe, decontaminate, language, licenses, line_dedup, quality, token_counts, token_files
+from .common import WorkTables
 
 #: Tokens beyond which a document is over the limit.
 TOKEN_LIMIT = 4096
@@ -37,22 +38,47 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(documents(spark, sf_dir), WorkTables(spark, "op2"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = WorkTables(spark, "op4")
+    token_files.write(documents(spark, sf_dir), files.path("ids"), vocabulary("word_bpe_49k.json"))
+    return token_files.checksums(spark, files.path("ids"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.predict(docs, language.fit(docs))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_files": op4_token_files,
+    "op5_language_id": op5_language_id,
+    "op7_decontamination": op7_decontamination,
     "op8_license_scans": op8_license_scans,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": line_dedup.sql(),
     "op3_quality_rules": quality.sql(),
+    "op7_decontamination": decontaminate.sql(),
 }
