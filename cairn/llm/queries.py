@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, line_dedup, quality, token_counts, token_files
+from . import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, quality, token_counts, token_files
 from .common import WorkTables
 
 #: Tokens beyond which a document is over the limit.
@@ -33,6 +33,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern()))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir), WorkTables(spark, "op9"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -74,6 +78,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_license_scans": op8_license_scans,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -81,4 +86,5 @@ ORACLE: dict[str, str] = {
     "op2_line_dedup": line_dedup.sql(),
     "op3_quality_rules": quality.sql(),
     "op7_decontamination": decontaminate.sql(),
+    "op9_jaccard_join": jaccard_join.sql(),
 }

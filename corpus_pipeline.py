@@ -1,16 +1,61 @@
-"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, decontamination, byte-level BPE."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, decontamination, byte-level BPE.
+
+Every stage takes all that its predecessor kept and returns the columns of ``documents``; the last
+returns token ids. A stage's result is written as Parquet and read again before the next begins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import bpe, decontaminate, jaccard_join, language, line_dedup
+from cairn.llm.common import WorkTables
+from cairn.llm.queries import pattern, vocabulary
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a recognised language go."""
+    return language.keep_known(docs)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go; their documents stay."""
+    return line_dedup.apply(docs, WorkTables(spark, "pipeline-lines"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return jaccard_join.keep_first(docs, WorkTables(spark, "pipeline-join"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of what is left."""
+    made = bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern())
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", repeated_lines),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", benchmark_leaks),
+    ("byte_bpe", token_ids),
+]
 
-STAGES: list = []
+#: Language ID is a trained network, so SQL can't state the pipeline's rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage is written as Parquet and read again."""
+    """The rows of the last stage over ``documents``."""
+    work = WorkTables(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = work.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
