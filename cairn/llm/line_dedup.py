@@ -198,8 +198,9 @@ def digest(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
 def apply(docs: DataFrame, work: WorkTables) -> DataFrame:
     """The rows with all their columns, ``text`` without its dropped lines and ``n_chars`` to match."""
     joined = _with_bitmaps(docs, work, "text").drop("__doc", "__row")
-    where = joined.columns.index("text")
-    n_chars = joined.columns.index("n_chars") if "n_chars" in docs.columns else None
+    where = docs.columns.index("text")
+    names, schema = docs.columns, docs.schema
+    n_chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         cols = list(b.columns)
@@ -212,10 +213,10 @@ def apply(docs: DataFrame, work: WorkTables) -> DataFrame:
         if n_chars is not None:
             before = cols[n_chars].to_pylist()
             cols[n_chars] = pa.array([len(t) if k is not None and t is not None else n for t, k, n in zip(texts, bitmap.to_pylist(), before, strict=True)], cols[n_chars].type)
-        return pa.record_batch(cols, docs.columns)
+        return pa.record_batch(cols, names)
 
-    ordered = joined.select(*[joined[c] for c in docs.columns], "__last", "__keep")
-    return ordered.mapInArrow(lambda batches: map(run, batches), docs.schema)
+    ordered = joined.select(*[joined[c] for c in names], "__last", "__keep")
+    return ordered.mapInArrow(lambda batches: map(run, batches), schema)
 
 
 def sql() -> str:
