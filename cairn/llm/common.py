@@ -6,6 +6,7 @@ executor and the driver can see; a temporary folder is made only where that sett
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import re
@@ -78,6 +79,11 @@ class WorkTables:
         self.made.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of steps whose results are written."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

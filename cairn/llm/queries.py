@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, quality, token_counts, token_files
+from . import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, quality, substrings, token_counts, token_files
 from .common import WorkTables
 
 #: Tokens beyond which a document is over the limit.
@@ -62,6 +62,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passages(documents(spark, sf_dir), WorkTables(spark, "op6"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_license_scans": op8_license_scans,
     "op9_jaccard_join": op9_jaccard_join,
