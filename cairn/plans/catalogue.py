@@ -1,6 +1,862 @@
-"""Registered queries and the SQL that states the same result."""
+"""Registered queries over the driver's tables and the SQL that states the same results."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as geo
+from ..functions import scalar as sc
+from ..functions import splat as sp
+from ..operators import annotate, chunks, columns, mesh, metrics, neighbors, sample, splats, voxel
+from . import fixtures as fx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(c, digits: int = 6):
+    """Rounded by an integer, so that both engines agree on ties."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 10**digits + 0.5).cast("long")
+
+
+def r6(expr: str, digits: int = 6) -> str:
+    return f"CAST(floor(({expr})*{10**digits}+0.5) AS BIGINT)"
+
+
+# scalar expressions
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id, CAST(qx AS DOUBLE)*0.01+100.0 AS x, CAST(qy AS DOUBLE)*0.01-5.0 AS y, CAST(qz AS DOUBLE)*0.01 AS z FROM pts_v")
+def world_coords(spark, d):
+    p = fx.pts_v(spark, d)
+    return p.select("point_id", sc.world("qx", 0.01, 100.0).alias("x"), sc.world("qy", 0.01, -5.0).alias("y"), sc.world("qz", 0.01).alias("z"))
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id, CAST(floor((CAST(intensity AS DOUBLE)-1.5)/0.001+0.5) AS BIGINT) AS q, CAST(floor(CAST(intensity AS DOUBLE)/0.02+0.5) AS BIGINT) AS ticks FROM pts_v")
+def quantise_coords(spark, d):
+    return fx.pts_v(spark, d).select("point_id", sc.quantise("intensity", 0.001, 1.5).alias("q"), sc.tile_ticks("intensity", F.lit(0.0), 0.02).alias("ticks"))
+
+
+@query(
+    f"WITH {fx.PTS_V} SELECT point_id, r & 31 AS class_code, CASE WHEN class_id % 3 = 0 THEN 255 ELSE class_id END AS label, CASE WHEN g > 0 THEN g - 1 END AS segment, "
+    "(r & 7) | ((g & 7) << 3) AS return_bits, least(greatest(qx - 400, -128), 127) AS angle FROM pts_v"
+)
+def class_bits(spark, d):
+    p = fx.pts_v(spark, d).withColumn("k", F.when(F.col("class_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("class_id")))
+    return p.select("point_id", sc.class_code("r").alias("class_code"), sc.remap_label("k").alias("label"), sc.segment_of_byte("g").alias("segment"), sc.return_bits("r", "g").alias("return_bits"), sc.scan_angle(F.col("qx") - 400).alias("angle"))
+
+
+@query(
+    f"WITH {fx.PTS_V} SELECT point_id, (r*257) >> 8 AS r8, r*257 AS r16, least(greatest(CAST(floor(intensity/500.0*65535.0+0.5) AS BIGINT),0),65535) AS i16, CAST(floor(intensity/500.0*255.0+0.5) AS BIGINT) AS i8, "
+    "CASE WHEN (SELECT max(greatest(r,g,b)) FROM pts_v) > 255 THEN g >> 8 ELSE g END AS shown, CAST(r AS DOUBLE)*0.75+CAST(g AS DOUBLE)*0.25 AS blend, greatest(CAST(r-128 AS DOUBLE)/127.0, -1.0) AS norm8 FROM pts_v"
+)
+def rgb8(spark, d):
+    p = fx.pts_v(spark, d)
+    top = p.agg(F.max(F.greatest("r", "g", "b")).alias("top"))
+    return p.crossJoin(F.broadcast(top)).select(
+        "point_id", sc.colour_16_to_8(sc.colour_8_to_16("r")).alias("r8"), sc.colour_8_to_16("r").alias("r16"), sc.colour_unit_to_16(F.col("intensity") / 500.0).alias("i16"), sc.colour_unit_to_8(F.col("intensity") / 500.0).alias("i8"),
+        sc.display_colour("g", "top").alias("shown"), sc.class_blend(F.col("r").cast("double"), F.col("g").cast("double")).alias("blend"), sc.normalised_integer(F.col("r") - 128, "i8").alias("norm8"),
+    )
+
+
+@query(
+    f"WITH {fx.PTS_V}, m AS (SELECT min(intensity) AS lo, max(intensity) AS hi FROM pts_v) SELECT point_id, "
+    f"{r6('CASE WHEN hi-lo > 0 THEN (intensity-lo)/(hi-lo) ELSE 0.5 END')} AS t, {r6('least(greatest(CAST(class_id AS DOUBLE)/5,0.0),1.0)')} AS c FROM pts_v, m"
+)
+def normalize_feature(spark, d):
+    p = fx.pts_v(spark, d)
+    m = p.agg(F.min("intensity").alias("lo"), F.max("intensity").alias("hi"))
+    return p.crossJoin(F.broadcast(m)).select("point_id", rounded(sc.normalise_feature("intensity", "lo", "hi")).alias("t"), rounded(sc.normalise_class("class_id", F.lit(5))).alias("c"))
+
+
+def _ramp_sql(name: str) -> str:
+    ramp = sc.RAMPS[name]
+    n = len(ramp) - 1
+    out = []
+    for k in range(3):
+        at = f"least(CAST(floor(t*{n}) AS INT), {n - 1})"
+        cases = " ".join(f"WHEN {i} THEN {ramp[i][k]!r}::DOUBLE + ({ramp[i + 1][k]!r}::DOUBLE - {ramp[i][k]!r}::DOUBLE) * (t*{n} - {i})" for i in range(n))
+        out.append(f"{r6(f'CASE {at} {cases} END', 4)} AS {'rgb'[k]}")
+    return ", ".join(out)
+
+
+def _colormap(name: str):
+    def run(spark, d):
+        t = fx.pts_v(spark, d).select("point_id", (F.col("intensity") / 500.0).alias("t"))
+        c = t.withColumn("c", sc.colormap("t", name))
+        return c.select("point_id", *[rounded(F.col("c")[k], 4).alias("rgb"[k]) for k in range(3)])
+
+    run.__name__ = f"colormap_{name}"
+    return run
+
+
+for _name in sc.RAMPS:
+    query(f"WITH {fx.PTS_V}, v AS (SELECT point_id, intensity/500.0 AS t FROM pts_v) SELECT point_id, {_ramp_sql(_name)} FROM v")(_colormap(_name))
+_jet = ", ".join(f"{r6(f'least(greatest(1.5-abs(4*t-{k}),0.0),1.0)', 4)} AS {c}" for k, c in ((3, "r"), (2, "g"), (1, "b")))
+query(f"WITH {fx.PTS_V}, v AS (SELECT point_id, intensity/500.0 AS t FROM pts_v) SELECT point_id, {_jet} FROM v")(_colormap("jet"))
+
+
+@query(
+    "WITH n AS (SELECT n_nationkey, n_name || ' v.' || n_regionkey AS raw, lower(n_name) || '_' || replace(printf('%.1f', n_regionkey*0.4+0.8), '.', '_') AS name FROM nation) "
+    "SELECT n_nationkey, name, regexp_extract(name, '^(.+)_(\\d+_\\d+)$', 1) AS feature, CAST(replace(regexp_extract(name, '^(.+)_(\\d+_\\d+)$', 2), '_', '.') AS DOUBLE) AS radius, "
+    "regexp_replace(regexp_replace(raw, '[^A-Za-z0-9_-]', '_', 'g'), '^_+|_+$', '', 'g') AS safe, translate(raw, ' .', '__') AS label, lower(raw) NOT IN ('nir') AS is_feature FROM n"
+)
+def feature_names(spark, d):
+    n = fx.table(spark, d, "nation").select("n_nationkey", F.concat("n_name", F.lit(" v."), F.col("n_regionkey").cast("string")).alias("raw"), sc.feature_name(F.lower("n_name"), F.col("n_regionkey") * 0.4 + 0.8).alias("name"))
+    return n.select("n_nationkey", "name", sc.feature_of_name("name").alias("feature"), sc.radius_of_name("name").alias("radius"), sc.safe_name("raw").alias("safe"), sc.label_name("raw").alias("label"), sc.is_feature("raw").alias("is_feature"))
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id, CASE WHEN qx*0.0001 >= 0.01 THEN CAST(CAST(floor(qx*0.0001*100+0.5) AS BIGINT) AS VARCHAR) || 'cm' ELSE CAST(CAST(floor(qx*0.0001*1000+0.5) AS BIGINT) AS VARCHAR) || 'mm' END AS label FROM (SELECT point_id, CAST(qx AS DOUBLE) AS qx FROM pts_v)")
+def size_labels(spark, d):
+    return fx.pts_v(spark, d).select("point_id", sc.size_label(F.col("qx").cast("double") * 0.0001).alias("label"))
+
+
+@query(
+    f"WITH {fx.PTS_V} SELECT point_id, {r6('(qx-24500.0)*cos(radians(30.0)) - (qy-7450.0)*sin(radians(30.0)) + 24500.0', 3)} AS x, {r6('(qx-24500.0)*sin(radians(30.0)) + (qy-7450.0)*cos(radians(30.0)) + 7450.0', 3)} AS y, {r6('CAST(qz AS DOUBLE)', 3)} AS z FROM pts_v"
+)
+def rotate_cloud(spark, d):
+    x, y, z = sc.rotate("qx", "qy", "qz", 24500.0, 7450.0, 0.0, "z", 30.0)
+    return fx.pts_v(spark, d).select("point_id", rounded(x, 3).alias("x"), rounded(y, 3).alias("y"), rounded(z.cast("double"), 3).alias("z"))
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id, CAST(2.0*qx + 1.0 AS DOUBLE) AS x, CAST(-1.0*qz + 2.0 AS DOUBLE) AS y, CAST(qy + 3.0 AS DOUBLE) AS z FROM pts_v")
+def node_transform(spark, d):
+    x, y, z = sc.transform_point((2, 0, 0, 0, 0, 0, 1, 0, 0, -1, 0, 0, 1, 2, 3, 1), "qx", "qy", "qz")
+    return fx.pts_v(spark, d).select("point_id", x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+@query(
+    f"WITH {fx.PTS_V}, u AS (SELECT point_id, CAST(qx AS DOUBLE)/10000.0 AS u, CAST(qy AS DOUBLE)/4000.0 AS v FROM pts_v), w AS (SELECT point_id, u-floor(u) AS ru, v-floor(v) AS rv, u-2*floor(u/2) AS mu, least(greatest(v,0.0),1.0) AS cv FROM u) "
+    "SELECT point_id, CAST(least(CAST(floor(rv*4) AS INT),3)*4 + least(CAST(floor(ru*4) AS INT),3) AS BIGINT) AS texel, CAST(least(CAST(floor((CASE WHEN mu>1 THEN 2-mu ELSE mu END)*4) AS INT),3) AS BIGINT) AS mirrored, CAST(least(CAST(floor(cv*4) AS INT),3) AS BIGINT) AS clamped FROM w"
+)
+def texture_lookup(spark, d):
+    texels = F.array(*[F.lit(i).cast("long") for i in range(16)])
+    u, v = F.col("qx").cast("double") / 10000.0, F.col("qy").cast("double") / 4000.0
+    return fx.pts_v(spark, d).select("point_id", sc.texture_sample(texels, u, v, 4, 4).alias("texel"), sc.texel_index(u, 4, "mirror").cast("long").alias("mirrored"), sc.texel_index(v, 4, "clamp").cast("long").alias("clamped"))
+
+
+# filters and predicates
+
+_LOW, _HIGH = (5000, 1000, 20000), (30000, 9000, 70000)
+_BOX = " AND ".join(f"q{a} BETWEEN {lo} AND {hi}" for a, lo, hi in zip("xyz", _LOW, _HIGH, strict=True))
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id FROM pts_v WHERE {_BOX}")
+def aabb_filter(spark, d):
+    return fx.pts_v(spark, d).filter(geo.in_box("qx", "qy", "qz", _LOW, _HIGH)).select("point_id")
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id FROM pts_v WHERE qx BETWEEN 4000 AND 21000 AND qy BETWEEN 300 AND 9900")
+def rect_select(spark, d):
+    return fx.pts_v(spark, d).filter(geo.in_rect("qx", "qy", 4000, 300, 21000, 9900)).select("point_id")
+
+
+def _ring_sql(x: str, y: str) -> str:
+    ring = fx.LASSO
+    terms = [f"CASE WHEN (({yi} > {y}) <> ({yj} > {y})) AND {x} < ({xj - xi}::DOUBLE)*({y}-{yi})/({yj - yi}::DOUBLE)+{xi} THEN 1 ELSE 0 END" for (xi, yi), (xj, yj) in zip(ring, [ring[-1], *ring[:-1]], strict=True) if yi != yj]
+    return f"(({' + '.join(terms)}) % 2 = 1)"
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id FROM pts_v WHERE {_ring_sql('CAST(qx AS DOUBLE)', 'CAST(qy AS DOUBLE)')}")
+def lasso_select(spark, d):
+    return fx.pts_v(spark, d).filter(geo.in_polygon("qx", "qy", fx.LASSO)).select("point_id")
+
+
+_SELECTED = f"NOT (({_ring_sql('CAST(qx AS DOUBLE)', 'CAST(qy AS DOUBLE)')} OR (qx BETWEEN 0 AND 9000 AND qy BETWEEN 0 AND 5000)) AND NOT (qx BETWEEN 2000 AND 6000 AND qy BETWEEN 1000 AND 3000))"
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id FROM pts_v WHERE {_SELECTED}")
+def selection_invert(spark, d):
+    inside = geo.selected("qx", "qy", [("polygon", fx.LASSO), ("rect", (0, 0, 9000, 5000))], [("rect", (2000, 1000, 6000, 3000))], inverted=True)
+    return fx.pts_v(spark, d).filter(inside).select("point_id")
+
+
+_M = (0.02, 0.0, 0.0, 0.0, 0.0, 0.03, 0.0, 0.00001, 0.001, 0.002, 1.0, 0.00002, 5.0, 7.0, 0.0, 1.0)
+
+
+@query(
+    f"WITH {fx.PTS_V}, w AS (SELECT point_id, qx*0.02+qy*0.0+qz*0.001+5.0 AS a, qx*0.0+qy*0.03+qz*0.002+7.0 AS b, qx*0.0+qy*0.00001+qz*0.00002+1.0 AS w FROM (SELECT point_id, CAST(qx AS DOUBLE) AS qx, CAST(qy AS DOUBLE) AS qy, CAST(qz AS DOUBLE) AS qz FROM pts_v)) "
+    f"SELECT point_id, {r6('a/w', 3)} AS sx, {r6('b/w', 3)} AS sy, {r6('w', 6)} AS w FROM w"
+)
+def screen_projection(spark, d):
+    p = fx.pts_v(spark, d).select("point_id", *[F.col(f"q{a}").cast("double").alias(f"q{a}") for a in "xyz"])
+    x, y, w = geo.project("qx", "qy", "qz", _M)
+    return p.select("point_id", rounded(x, 3).alias("sx"), rounded(y, 3).alias("sy"), rounded(w).alias("w"))
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id FROM pts_v WHERE floor(intensity/100.0+0.5) = 2 AND abs(floor(intensity/100.0+0.5)-2) <= 0.1")
+def discrete_filter(spark, d):
+    return fx.pts_v(spark, d).filter(sc.is_value(F.col("intensity") / 100.0, 2)).select("point_id")
+
+
+_ODD = "CASE WHEN point_id % 11 = 0 THEN CAST('NaN' AS DOUBLE) WHEN point_id % 13 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN point_id % 17 = 0 THEN NULL ELSE intensity END"
+
+
+@query(f"WITH {fx.PTS_V}, v AS (SELECT {_ODD} AS f FROM pts_v) SELECT 'f' AS name, min(f) FILTER (WHERE isfinite(f)) AS low, max(f) FILTER (WHERE isfinite(f)) AS high, count(*) FILTER (WHERE isfinite(f)) AS present, count(*) - count(*) FILTER (WHERE isfinite(f)) AS missing FROM v")
+def finite_stats(spark, d):
+    p = fx.pts_v(spark, d).select(F.when(F.col("point_id") % 11 == 0, F.lit(float("nan"))).when(F.col("point_id") % 13 == 0, F.lit(float("inf"))).when(F.col("point_id") % 17 == 0, F.lit(None)).otherwise(F.col("intensity")).alias("f"))
+    return columns.statistics(p, ["f"])
+
+
+_PLANES = ((1.0, 0.0, 0.0, -6000.0), (0.0, 0.6, 0.8, -9000.0), (-1.0, 0.0, 0.0, 44000.0))
+_CHUNK = "c AS (SELECT CAST(qx // 5000 AS BIGINT) AS chunk, count(*) AS points, min(qx) AS lx, max(qx) AS hx, min(qy) AS ly, max(qy) AS hy, min(qz) AS lz, max(qz) AS hz FROM pts_v GROUP BY 1)"
+
+
+def _chunk_boxes(spark, d):
+    p = fx.pts_v(spark, d).withColumn("chunk", F.floor(F.col("qx") / 5000).cast("long"))
+    return p.groupBy("chunk").agg(F.count("*").alias("points"), *[f(f"q{a}").alias(f"{n}{a}") for a in "xyz" for n, f in (("l", F.min), ("h", F.max))])
+
+
+@query(
+    f"WITH {fx.PTS_V}, {_CHUNK}, s AS (SELECT chunk, points, (lx+hx)/2.0 AS x, (ly+hy)/2.0 AS y, (lz+hz)/2.0 AS z, sqrt(CAST((hx-lx)*(hx-lx)+(hy-ly)*(hy-ly)+(hz-lz)*(hz-lz) AS DOUBLE))/2.0 AS radius FROM c) "
+    "SELECT chunk, points FROM s WHERE x*1.0+y*0.0+z*0.0-6000.0 >= -radius AND x*0.0+y*0.6+z*0.8-9000.0 >= -radius AND x*-1.0+44000.0 >= -radius"
+)
+def chunk_cull(spark, d):
+    c = _chunk_boxes(spark, d)
+    mid = {a: (F.col(f"l{a}") + F.col(f"h{a}")) / 2.0 for a in "xyz"}
+    span = [F.col(f"h{a}") - F.col(f"l{a}") for a in "xyz"]
+    radius = F.sqrt((span[0] * span[0] + span[1] * span[1] + span[2] * span[2]).cast("double")) / 2.0
+    return c.filter(geo.sphere_in_view(mid["x"], mid["y"], mid["z"], radius, _PLANES)).select("chunk", "points")
+
+
+@query(f"WITH {fx.PTS_V}, {_CHUNK}, r(region, a0, b0, a1, b1) AS (VALUES (1, 4000, 0, 11000, 3000), (2, 26000, 9000, 31000, 14000)) SELECT chunk, CAST(region AS BIGINT) AS region FROM c, r WHERE lx <= a1 AND a0 <= hx AND ly <= b1 AND b0 <= hy")
+def chunk_region_overlap(spark, d):
+    r = spark.createDataFrame([(1, 4000, 0, 11000, 3000), (2, 26000, 9000, 31000, 14000)], "region long, a0 long, b0 long, a1 long, b1 long")
+    return _chunk_boxes(spark, d).join(F.broadcast(r), geo.boxes_overlap(("lx", "ly"), ("hx", "hy"), ("a0", "b0"), ("a1", "b1"))).select("chunk", "region")
+
+
+@query(f"WITH {fx.PTS_V}, {_CHUNK} SELECT chunk FROM c WHERE NOT (hx < 9000 OR lx > 22000 OR hy < 2000 OR ly > 6000)")
+def chunk_rect_prune(spark, d):
+    flat = (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)
+    low, high = [F.col(f"l{a}").cast("double") for a in "xyz"], [F.col(f"h{a}").cast("double") for a in "xyz"]
+    return _chunk_boxes(spark, d).filter(geo.rect_may_hold_box(low, high, flat, (9000.0, 2000.0, 22000.0, 6000.0))).select("chunk")
+
+
+# annotations and columns
+
+
+@query(f"WITH {fx.PTS_V}, {fx.ANN} SELECT p.point_id, a.segment_id, CASE WHEN a.class_id = 0 THEN 255 ELSE a.class_id END AS labels FROM pts_v p JOIN ann a ON p.point_id = a.point_id WHERE a.segment_id IN (1, 3)")
+def annotation_split(spark, d):
+    return annotate.split(fx.pts_v(spark, d).select("point_id"), fx.ann(spark, d), [1, 3]).select("point_id", "segment_id", "labels")
+
+
+@query(f"WITH {fx.ANN} SELECT segment_id, count(*) AS points FROM ann GROUP BY segment_id")
+def annotation_counts(spark, d):
+    return annotate.segment_counts(fx.ann(spark, d))
+
+
+@query(f"WITH {fx.PTS_V}, {fx.ANN} SELECT count(*) FILTER (WHERE p.point_id IS NOT NULL AND a.point_id IS NOT NULL) AS matched, count(*) FILTER (WHERE a.point_id IS NULL) AS unmapped, count(*) FILTER (WHERE p.point_id IS NULL) AS out_of_range FROM (SELECT * FROM pts_v WHERE point_id % 9 <> 0) p FULL JOIN ann a ON p.point_id = a.point_id")
+def annotation_counters(spark, d):
+    return annotate.run_counters(fx.pts_v(spark, d).filter("point_id % 9 <> 0"), fx.ann(spark, d))
+
+
+@query(f"WITH {fx.PTS_V}, {fx.ANN} SELECT p.point_id, qx, qy, qz FROM pts_v p WHERE EXISTS (SELECT 1 FROM ann a WHERE a.point_id = p.point_id AND a.segment_id = 2)")
+def extract_segment(spark, d):
+    return annotate.extract_segment(fx.pts_v(spark, d), fx.ann(spark, d), 2).select("point_id", "qx", "qy", "qz")
+
+
+@query(
+    f"WITH {fx.ANN}, {fx.ANN_PATCH} SELECT coalesce(o.point_id, n.point_id) AS point_id, CASE WHEN n.segment_id IS NOT NULL AND n.segment_id <> 0 THEN n.segment_id ELSE coalesce(o.segment_id, n.segment_id) END AS segment_id, "
+    "CASE WHEN n.segment_id IS NOT NULL AND n.segment_id <> 0 THEN n.class_id ELSE coalesce(o.class_id, n.class_id) END AS class_id FROM ann o FULL JOIN ann_patch n ON o.point_id = n.point_id"
+)
+def annotation_patch(spark, d):
+    return annotate.patch(fx.ann(spark, d), fx.ann_patch(spark, d))
+
+
+@query(f"WITH {fx.ANN} SELECT point_id, CASE WHEN segment_id IN (1, 4) THEN 2 WHEN segment_id = 3 THEN -1 ELSE segment_id END AS segment_id, CASE WHEN class_id = 5 THEN 0 ELSE class_id END AS class_id FROM ann")
+def merge_segments(spark, d):
+    return annotate.clear_class(annotate.delete_segment(annotate.merge_segments(fx.ann(spark, d), [1, 4], 2), 3), 5)
+
+
+@query(f"WITH {fx.PTS_V}, {fx.VALUES_SUBSET} SELECT p.point_id, coalesce(v.prediction, 255) AS prediction, v.f1 FROM pts_v p LEFT JOIN vals v ON p.point_id = v.point_id")
+def merge_columns_left(spark, d):
+    merged = columns.merge(fx.pts_v(spark, d).select("point_id"), fx.values_subset(spark, d))
+    return merged.select("point_id", F.coalesce("prediction", F.lit(255)).alias("prediction"), "f1")
+
+
+@query(f"WITH {fx.PTS_V}, {fx.VALUES_BAD} SELECT point_id FROM bad b WHERE NOT EXISTS (SELECT 1 FROM pts_v p WHERE p.point_id = b.point_id)")
+def merge_strict_unknown(spark, d):
+    return columns.unknown_ids(fx.pts_v(spark, d), fx.values_bad(spark, d))
+
+
+@query(f"WITH {fx.VALUES_BAD} SELECT point_id, count(*) AS times FROM bad GROUP BY point_id HAVING count(*) > 1")
+def merge_strict_duplicates(spark, d):
+    return columns.duplicate_ids(fx.values_bad(spark, d))
+
+
+@query("WITH store(name) AS (VALUES ('f1'), ('f2'), ('prediction'), ('old')), new(name) AS (VALUES ('f1'), ('f3')) SELECT name, 'prune' AS action FROM store WHERE name NOT IN (SELECT name FROM new) AND name <> 'prediction' UNION ALL SELECT name, 'add' FROM new WHERE name NOT IN (SELECT name FROM store)")
+def column_prune(spark, d):
+    delta = columns.column_delta(["f1", "f2", "prediction", "old"], ["f1", "f3"])
+    return spark.createDataFrame([(n, k) for k, names in delta.items() for n in names], "name string, action string")
+
+
+@query(f"WITH {fx.PTS_V}, o AS (SELECT qz, point_id, row_number() OVER (ORDER BY qz, point_id) AS row FROM pts_v), l AS (SELECT point_id, lag(point_id) OVER (ORDER BY row) AS before FROM o) SELECT count(*) FILTER (WHERE point_id <= before) AS out_of_order FROM l")
+def monotonic_check(spark, d):
+    rows = chunks.prefix_sum(fx.pts_v(spark, d).withColumn("key", F.col("qz") * 10_000_000 + F.col("point_id")).withColumn("one", F.lit(1).cast("long")), "key", "one", "row", bucket=50_000_000_000)
+    return columns.out_of_order(rows)
+
+
+@query(f"WITH {fx.PTS_V}, {fx.VALUES_BAD} (SELECT point_id FROM bad EXCEPT ALL SELECT point_id FROM pts_v) UNION ALL (SELECT point_id FROM pts_v EXCEPT ALL SELECT point_id FROM bad)")
+def permutation_check(spark, d):
+    return columns.permutation_check(fx.values_bad(spark, d), fx.pts_v(spark, d))
+
+
+def _cut_sql(c: dict, segment: str) -> str:
+    rect = lambda r: f"(qx BETWEEN {r[1][0]} AND {r[1][2]} AND qy BETWEEN {r[1][1]} AND {r[1][3]})"
+    out = ["(" + " OR ".join(map(rect, c["regions"])) + ")", *[f"NOT {rect(r)}" for r in c.get("deregions", ())]]
+    if "low" in c:
+        out += [f"q{a} BETWEEN {lo} AND {hi}" for a, lo, hi in zip("xyz", c["low"], c["high"], strict=True)]
+    if "visible" in c:
+        out.append(f"{segment} IN ({', '.join(map(str, c['visible']))})")
+    return " AND ".join(out)
+
+
+_CTES = ["s0 AS (SELECT *, CAST(0 AS BIGINT) AS seg FROM pts_v)"]
+for _k, _c in enumerate(fx.CUTS):
+    _CTES.append(f"s{_k + 1} AS (SELECT * REPLACE (CASE WHEN {_cut_sql(_c, 'seg')} THEN {_c['segment']} ELSE seg END AS seg) FROM s{_k})")
+
+
+@query(f"WITH {fx.PTS_V}, {', '.join(_CTES)} SELECT point_id, seg AS segment_id FROM s3")
+def cut_replay(spark, d):
+    return annotate.replay_cuts(fx.pts_v(spark, d), fx.CUTS).select("point_id", F.col("segment_id").cast("long").alias("segment_id"))
+
+
+@query(f"WITH {fx.PTS_V}, {', '.join(_CTES)} SELECT point_id, CAST(CASE " + " ".join(f"WHEN {_cut_sql(c, 'seg')} THEN {c['class']}" for c in reversed(fx.LABELS)) + " ELSE 0 END AS BIGINT) AS class_id FROM s3")
+def class_replay(spark, d):
+    p = annotate.replay_cuts(fx.pts_v(spark, d), fx.CUTS)
+    return annotate.replay_classes(p, fx.LABELS).select("point_id", F.col("class_id").cast("long").alias("class_id"))
+
+
+@query(f"WITH {fx.PTS_V} SELECT min(qx)-50 AS low_x, min(qy)-50 AS low_y, min(qz)-50 AS low_z, max(qx)+50 AS high_x, max(qy)+50 AS high_y, max(qz)+50 AS high_z FROM pts_v WHERE qx BETWEEN 4000 AND 21000 AND qy BETWEEN 300 AND 9900")
+def selection_box(spark, d):
+    return annotate.selection_box(fx.pts_v(spark, d), geo.in_rect("qx", "qy", 4000, 300, 21000, 9900), 50)
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id, CAST((qx-15000)*(qx-15000)+(qy-7000)*(qy-7000) AS BIGINT) AS d2 FROM pts_v ORDER BY d2, point_id LIMIT 1")
+def pick_nearest(spark, d):
+    return annotate.pick_nearest(fx.pts_v(spark, d), 15000, 7000)
+
+
+@query(f"WITH {fx.PTS_V} SELECT class_id, coalesce(CASE class_id WHEN 1 THEN 'ground' WHEN 2 THEN 'tree' WHEN 4 THEN 'wall' END, CAST(class_id AS VARCHAR)) AS name, count(*) AS points FROM pts_v GROUP BY class_id")
+def class_legend(spark, d):
+    counts = fx.pts_v(spark, d).groupBy("class_id").agg(F.count("*").alias("points"))
+    return annotate.class_legend(counts, {1: "ground", 2: "tree", 4: "wall"})
+
+
+@query(f"WITH {fx.PTS_V} SELECT class_id, count(*) AS points FROM pts_v GROUP BY class_id")
+def class_histogram(spark, d):
+    return fx.pts_v(spark, d).groupBy("class_id").agg(F.count("*").alias("points"))
+
+
+# aggregation, grids, octree
+
+
+@query(f"WITH {fx.PTS_V} SELECT count(*) AS points, min(qx) AS low_x, min(qy) AS low_y, min(qz) AS low_z, max(qx) AS high_x, max(qy) AS high_y, max(qz) AS high_z, max(greatest(r,g,b)) AS max_colour FROM pts_v")
+def bbox(spark, d):
+    return chunks.bounds(fx.pts_v(spark, d))
+
+
+_EDGE, _SIDE = 86400, 16
+_CELL = ", ".join(f"CAST(least(greatest(floor(CAST(q{a} AS DOUBLE)*{float(_SIDE)}/{float(_EDGE)}),0),{_SIDE - 1}) AS BIGINT) AS c{a}" for a in "xyz")
+_HIST = f"h AS (SELECT cx, cy, cz, count(*) AS points FROM (SELECT {_CELL} FROM pts_v) GROUP BY cx, cy, cz)"
+
+
+def _histogram(spark, d):
+    return chunks.grid_histogram(fx.pts_v(spark, d), (0, 0, 0), _EDGE, _SIDE)
+
+
+@query(f"WITH {fx.PTS_V}, {_HIST} SELECT * FROM h")
+def grid_histogram(spark, d):
+    return _histogram(spark, d)
+
+
+@query(f"WITH {fx.PTS_V}, {_HIST} " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS depth, cx >> {4 - k} AS cx, cy >> {4 - k} AS cy, cz >> {4 - k} AS cz, CAST(sum(points) AS BIGINT) AS points FROM h GROUP BY 1, 2, 3, 4" for k in range(5)))
+def pyramid_rollup(spark, d):
+    return chunks.pyramid(_histogram(spark, d), 4).withColumn("depth", F.col("depth").cast("long"))
+
+
+_LEAF_COUNTS = ", ".join(f"sum(points) OVER (PARTITION BY cx >> {4 - k}, cy >> {4 - k}, cz >> {4 - k}) AS n{k}" for k in range(5))
+_LEAF = f"{fx.PTS_V}, {_HIST}, n AS (SELECT *, {_LEAF_COUNTS} FROM h), k AS (SELECT *, CASE " + " ".join(f"WHEN n{k} <= 300 THEN {k}" for k in range(4)) + " ELSE 4 END AS leaf_depth FROM n), " + "l AS (SELECT leaf_depth, cx >> (4-leaf_depth) AS lx, cy >> (4-leaf_depth) AS ly, cz >> (4-leaf_depth) AS lz, CASE leaf_depth " + " ".join(f"WHEN {k} THEN n{k}" for k in range(5)) + " END AS leaf_points FROM k)"
+
+
+@query(f"WITH {_LEAF} SELECT CAST(leaf_depth AS BIGINT) AS leaf_depth, lx, ly, lz, CAST(leaf_points AS BIGINT) AS points FROM l GROUP BY ALL")
+def octree_leaves(spark, d):
+    made = chunks.leaves(chunks.leaf_cells(_histogram(spark, d), 4, 300))
+    return made.select(F.col("leaf_depth").cast("long").alias("leaf_depth"), "lx", "ly", "lz", "points")
+
+
+def _morton_sql(cols, bits: int) -> str:
+    return " + ".join(f"((({c} >> {k}) & 1) << {3 * k + j})" for k in range(bits) for j, c in enumerate(cols))
+
+
+@query(f"WITH {_LEAF}, m AS (SELECT k.*, {_morton_sql(('cx', 'cy', 'cz'), 4)} AS code FROM k), t AS (SELECT leaf_depth, cx >> (4-leaf_depth) AS lx, cy >> (4-leaf_depth) AS ly, cz >> (4-leaf_depth) AS lz, min(code) AS code FROM m GROUP BY 1, 2, 3, 4) SELECT CAST(leaf_depth AS BIGINT) AS leaf_depth, lx, ly, lz, row_number() OVER (ORDER BY code) - 1 AS chunk_id FROM t")
+def chunk_ids(spark, d):
+    made = chunks.leaves(chunks.leaf_cells(_histogram(spark, d), 4, 300))
+    return made.select(F.col("leaf_depth").cast("long").alias("leaf_depth"), "lx", "ly", "lz", F.col("chunk_id").cast("long").alias("chunk_id"))
+
+
+def _refine_sql(cube: int, grid: int, deepest: int, most: int) -> str:
+    top = 1 << 21
+    cells = ", ".join(f"CAST(least(greatest(floor(CAST(q{a} AS DOUBLE)*{float(top)}/{float(cube)}),0),{top - 1}) AS BIGINT) AS c{a}" for a in "xyz")
+    counts = ", ".join(f"count(*) OVER (PARTITION BY cx >> {21 - k}, cy >> {21 - k}, cz >> {21 - k}) AS n{k}" for k in range(deepest + 1))
+    pick = "CASE " + " ".join(f"WHEN n{k} <= {most} THEN {k}" for k in range(deepest + 1)) + f" ELSE {deepest} END"
+    return f"p AS (SELECT point_id, {cells} FROM pts_v), q AS (SELECT *, {counts} FROM p), z AS (SELECT point_id, {pick} AS chunk_depth, cx, cy, cz FROM q)"
+
+
+@query(f"WITH {fx.PTS_V}, {_refine_sql(_EDGE, 3, 6, 60)} SELECT CAST(chunk_depth AS BIGINT) AS chunk_depth, cx >> (21-chunk_depth) AS cx, cy >> (21-chunk_depth) AS cy, cz >> (21-chunk_depth) AS cz, count(*) AS points FROM z GROUP BY 1, 2, 3, 4")
+def dense_cell_refinement(spark, d):
+    p = chunks.assign_chunks(fx.pts_v(spark, d), (0, 0, 0), _EDGE, depth=3, max_points=60, extra=3)
+    at = {a: chunks.cell(a, 0, _EDGE, 1 << 21) for a in "xyz"}
+    p = p.select("chunk_depth", *[c.alias(f"c{a}") for a, c in at.items()])
+    return p.groupBy(F.col("chunk_depth").cast("long").alias("chunk_depth"), *[F.expr(f"shiftright(c{a}, 21 - chunk_depth)").alias(f"c{a}") for a in "xyz"]).agg(F.count("*").alias("points"))
+
+
+@query(f"WITH {fx.PTS_V}, t AS (SELECT qx // 4000 AS tx, qy // 4000 AS ty, count(*) AS points FROM pts_v GROUP BY 1, 2) SELECT max(points) AS worst, count(*) AS tiles FROM t")
+def xy_worst_tile(spark, d):
+    return chunks.worst_tile(fx.pts_v(spark, d), 4000)
+
+
+_VOXEL = 3000
+_VKEY = ", ".join(f"CAST(floor((2*(q{a}-(SELECT min(q{a}) FROM pts_v))+{_VOXEL})/{2.0 * _VOXEL}) AS BIGINT) AS v{a}" for a in "xyz")
+
+
+@query(f"WITH {fx.PTS_V}, k AS (SELECT *, {_VKEY} FROM pts_v) SELECT vx, vy, vz, count(*) AS points, " + ", ".join(f"CAST(sum({c}) AS DOUBLE)/count(*) AS {c}" for c in ("qx", "qy", "qz", "r", "g", "b")) + " FROM k GROUP BY vx, vy, vz")
+def voxel_downsample(spark, d):
+    return voxel.voxel_downsample(fx.pts_v(spark, d), _VOXEL)
+
+
+# neighbourhoods
+
+
+def _moments_sql(radii: tuple[int, ...]) -> str:
+    pairs = f"pr AS (SELECT p.point_id, q.point_id AS nb, q.qx-p.qx AS dx, q.qy-p.qy AS dy, q.qz-p.qz AS dz, (q.qx-p.qx)*(q.qx-p.qx)+(q.qy-p.qy)*(q.qy-p.qy)+(q.qz-p.qz)*(q.qz-p.qz) AS d2 FROM pts_e p JOIN pts_e q ON (q.qx-p.qx)*(q.qx-p.qx)+(q.qy-p.qy)*(q.qy-p.qy)+(q.qz-p.qz)*(q.qz-p.qz) <= {max(radii)})"
+    out = []
+    for k, r in enumerate(radii):
+        f = f"FILTER (WHERE d2 <= {r})"
+        out += [f"count(*) {f} AS n{k}", *[f"sum(d{a}) {f} AS s{a}{k}" for a in "xyz"], *[f"sum(d{a}*d{b}) {f} AS s{a}{b}{k}" for i, a in enumerate("xyz") for b in "xyz"[i:]], f"min(dy) {f} AS low{k}", f"max(dy) {f} AS high{k}"]
+    return f"{fx.PTS_E}, {pairs}, mo AS (SELECT point_id, {', '.join(out)} FROM pr GROUP BY point_id)"
+
+
+def _eigen_sql(k: int) -> str:
+    """CTEs ``e{k}`` with e0, e1, e2 and the vertical part of the smallest direction."""
+    n = f"CAST(n{k} AS DOUBLE)"
+    cov = {a + b: f"s{a}{b}{k}/{n} - (s{a}{k}/{n})*(s{b}{k}/{n})" for i, a in enumerate("xyz") for b in "xyz"[i:]}
+    cols = ", ".join(f"CAST({v} AS DOUBLE) AS {a}" for a, v in cov.items())
+    det = "(xx-q)*((yy-q)*(zz-q)-yz*yz) - xy*(xy*(zz-q)-yz*xz) + xz*(xy*yz-(yy-q)*xz)"
+    crosses = {0: ("xy*yz - xz*(yy-l)", "xz*xy - (xx-l)*yz", "(xx-l)*(yy-l) - xy*xy"), 1: ("xy*(zz-l) - xz*yz", "xz*xz - (xx-l)*(zz-l)", "(xx-l)*yz - xy*xz"), 2: ("(yy-l)*(zz-l) - yz*yz", "yz*xz - xy*(zz-l)", "xy*yz - (yy-l)*xz")}
+    w = ", ".join(f"({a})*({a})+({b})*({b})+({c})*({c}) AS w{m}, {b} AS y{m}" for m, (a, b, c) in crosses.items())
+    return (
+        f"a{k} AS (SELECT point_id, n{k} AS n, low{k} AS low, high{k} AS high, {cols} FROM mo), b{k} AS (SELECT *, (xx+yy+zz)/3.0::DOUBLE AS q FROM a{k}), "
+        f"c{k} AS (SELECT *, sqrt(((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2.0::DOUBLE*(xy*xy+xz*xz+yz*yz))/6.0::DOUBLE) AS p FROM b{k}), "
+        f"d{k} AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ({det})/(2.0::DOUBLE*p*p*p))))/3.0::DOUBLE ELSE 0.0::DOUBLE END AS f FROM c{k}), "
+        f"f{k} AS (SELECT *, q+2.0::DOUBLE*p*cos(f) AS e0, q+2.0::DOUBLE*p*cos(f+2.0::DOUBLE*pi()/3.0::DOUBLE) AS l FROM d{k}), g{k} AS (SELECT *, greatest(0.0::DOUBLE, 3.0::DOUBLE*q-e0-l) AS e1, greatest(0.0::DOUBLE, l) AS e2, {w} FROM f{k}), "
+        f"e{k} AS (SELECT *, CASE WHEN greatest(w0,w1,w2) > 0 THEN (CASE WHEN w0 = greatest(w0,w1,w2) THEN y0 WHEN w1 = greatest(w0,w1,w2) THEN y1 ELSE y2 END)/sqrt(greatest(w0,w1,w2)) ELSE 1.0::DOUBLE END AS ny FROM g{k})"
+    )
+
+
+_SHARE = lambda v: f"CASE WHEN n < 3 OR e0 <= 0 THEN 0.0::DOUBLE ELSE ({v})/e0 END"
+_FEATURE_SQL = {
+    "anisotropy": _SHARE("e0-e2"), "linearity": _SHARE("e0-e1"), "planarity": _SHARE("e1-e2"), "sphericity": _SHARE("e2"), "neighbours": "CAST(n AS DOUBLE)",
+    "surface_variation": "CASE WHEN n < 3 OR e0 <= 0 THEN 0.0::DOUBLE ELSE e2/(e0+e1+e2) END", "omnivariance": "CASE WHEN n < 3 THEN 0.0::DOUBLE ELSE cbrt(e0*e1*e2)*1e-8::DOUBLE END",
+    "verticality": "CASE WHEN n < 3 THEN 0.0::DOUBLE ELSE 1.0-abs(ny) END", "height_above": "CASE WHEN n < 3 THEN 0.0::DOUBLE ELSE high*0.0001::DOUBLE END", "height_below": "CASE WHEN n < 3 THEN 0.0::DOUBLE ELSE -low*0.0001::DOUBLE END", "vertical_range": "CASE WHEN n < 3 THEN 0.0::DOUBLE ELSE (high-low)*0.0001::DOUBLE END",
+}
+
+
+def _features_query(radii: tuple[float, ...], names: tuple[str, ...], digits: int = 6):
+    r2 = tuple(neighbors.squared_ticks(r, fx.UNIT) for r in radii)
+    suffix = [f"_{r:.1f}".replace(".", "_") for r in radii]
+    sql = f"WITH {_moments_sql(r2)}, {', '.join(_eigen_sql(k) for k in range(len(radii)))} SELECT e0.point_id, "
+    sql += ", ".join(f"v{k}.{n}{s}" for k, s in enumerate(suffix) for n in names) + " FROM mo e0 "
+    for k, s in enumerate(suffix):
+        sql += f"JOIN (SELECT point_id, {', '.join(f'{r6(_FEATURE_SQL[n], digits)} AS {n}{s}' for n in names)} FROM e{k}) v{k} ON v{k}.point_id = e0.point_id "
+
+    def run(spark, d):
+        made = neighbors.radius_features(fx.pts_e(spark, d), radii, fx.UNIT, names)
+        return made.select("point_id", *[rounded(f"{n}{s}", digits).alias(f"{n}{s}") for s in suffix for n in names])
+
+    return run, sql
+
+
+def _add(name: str, made) -> None:
+    run, sql = made
+    run.__name__ = name
+    query(sql)(run)
+
+
+@query(f"WITH {fx.PTS_E} SELECT p.point_id, count(*) AS neighbours FROM pts_e p JOIN pts_e q ON (q.qx-p.qx)*(q.qx-p.qx)+(q.qy-p.qy)*(q.qy-p.qy)+(q.qz-p.qz)*(q.qz-p.qz) <= 1000010 GROUP BY p.point_id")
+def radius_neighbours(spark, d):
+    p = fx.pts_e(spark, d)
+    return neighbors.cell_join(p, p, neighbors.squared_ticks(0.1, fx.UNIT)).groupBy("point_id").agg(F.count("*").alias("neighbours"))
+
+
+_add("covariance_features", _features_query((0.2,), ("linearity", "planarity", "sphericity", "anisotropy", "surface_variation", "omnivariance"), 5))
+_add("multi_scale_features", _features_query((0.1, 0.2, 0.3), ("neighbours", "linearity", "sphericity", "surface_variation"), 5))
+_add("height_features", _features_query((0.2, 0.3), ("height_above", "height_below", "vertical_range", "neighbours"), 6))
+_add("verticality", _features_query((0.2,), ("verticality",), 4))
+
+_NN = "nn AS (SELECT p.point_id, min((q.qx-p.qx)*(q.qx-p.qx)+(q.qy-p.qy)*(q.qy-p.qy)+(q.qz-p.qz)*(q.qz-p.qz)) AS nn_d2 FROM pts_e p JOIN pts_e q ON p.point_id <> q.point_id GROUP BY p.point_id)"
+
+
+@query(f"WITH {fx.PTS_E}, {_NN} SELECT * FROM nn")
+def nearest_other(spark, d):
+    return neighbors.nearest(fx.pts_e(spark, d), 250_000)
+
+
+@query(f"WITH {fx.PTS_E}, {_NN} SELECT {r6('median(sqrt(nn_d2))*0.0001', 6)} AS voxel_distance FROM nn")
+def nn_median(spark, d):
+    return neighbors.nn_distance(fx.pts_e(spark, d), 250_000, fx.UNIT).select(rounded("voxel_distance").alias("voxel_distance"))
+
+
+@query(
+    f"WITH {fx.PTS_E}, pr AS (SELECT p.point_id, q.point_id AS nb, (q.qx-p.qx)*(q.qx-p.qx)+(q.qy-p.qy)*(q.qy-p.qy)+(q.qz-p.qz)*(q.qz-p.qz) AS d2, q.qx-p.qx AS dx, q.qy-p.qy AS dy, q.qz-p.qz AS dz FROM pts_e p JOIN pts_e q ON (q.qx-p.qx)*(q.qx-p.qx)+(q.qy-p.qy)*(q.qy-p.qy)+(q.qz-p.qz)*(q.qz-p.qz) <= 4000000), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, nb) AS rk FROM pr), mo AS (SELECT point_id, count(*) AS n0, 0 AS low0, 0 AS high0, " + ", ".join(f"sum(d{a}) AS s{a}0" for a in "xyz") + ", " + ", ".join(f"sum(d{a}*d{b}) AS s{a}{b}0" for i, a in enumerate("xyz") for b in "xyz"[i:]) + f" FROM k WHERE rk <= 30 GROUP BY point_id), {_eigen_sql(0)} "
+    f"SELECT point_id, n AS used, {r6('CASE WHEN n < 3 THEN 0.0::DOUBLE ELSE abs(ny) END', 4)} AS ny FROM e0"
+)
+def knn_normals(spark, d):
+    made = neighbors.normals(fx.pts_e(spark, d), 4_000_000)
+    return made.select("point_id", "used", rounded(F.abs("ny"), 4).alias("ny"))
+
+
+# order and levels
+
+_PERM = "((point_id*48271) % 2147483647)"
+_CHUNKED = "ch AS (SELECT *, qx // 10000 AS chunk FROM pts_v)"
+
+
+def _chunked(spark, d):
+    return fx.pts_v(spark, d).withColumn("chunk", F.floor(F.col("qx") / 10000).cast("long"))
+
+
+@query(f"WITH {fx.PTS_V}, {_CHUNKED} SELECT point_id, chunk, row_number() OVER (PARTITION BY chunk ORDER BY point_id) - 1 AS rank, row_number() OVER (PARTITION BY chunk ORDER BY {_PERM}, point_id) - 1 AS perm FROM ch")
+def chunk_permutation(spark, d):
+    p = chunks.permuted(chunks.input_rank(_chunked(spark, d)))
+    return p.select("point_id", "chunk", F.col("rank").cast("long").alias("rank"), F.col("perm").cast("long").alias("perm"))
+
+
+def _level_ctes(levels: int, base: int) -> list[str]:
+    out = [f"l0 AS (SELECT *, {_PERM} AS pk, CAST(NULL AS BIGINT) AS level FROM ch)"]
+    for k in range(levels):
+        side = 1 << (base + k)
+        cells = [f"least(greatest(floor(CAST(q{a} AS DOUBLE)/86400.0*{side}),0),{side - 1})" for a in "xyz"]
+        first = f"row_number() OVER (PARTITION BY chunk, {', '.join(cells)}, level IS NULL ORDER BY pk, point_id)"
+        out.append(f"l{k + 1} AS (SELECT * REPLACE (CASE WHEN level IS NULL AND {first} = 1 THEN {k} ELSE level END AS level) FROM l{k})")
+    return [*out, f"lv AS (SELECT * REPLACE (coalesce(level, {levels}) AS level) FROM l{levels})"]
+
+
+_LEVELS = ", ".join(_level_ctes(4, 3))
+
+
+def _levels(spark, d):
+    return chunks.assign_levels(_chunked(spark, d), (0, 0, 0), 86400, 3, 4)
+
+
+@query(f"WITH {fx.PTS_V}, {_CHUNKED}, {_LEVELS} SELECT point_id, level FROM lv")
+def level_assign(spark, d):
+    return _levels(spark, d).select("point_id", F.col("level").cast("long").alias("level"))
+
+
+@query(f"WITH {fx.PTS_V}, {_CHUNKED}, {_LEVELS} SELECT point_id, chunk, row_number() OVER (PARTITION BY chunk ORDER BY level, pk, point_id) - 1 AS seq FROM lv")
+def seq_position(spark, d):
+    return chunks.sequence(_levels(spark, d)).select("point_id", "chunk", F.col("seq").cast("long").alias("seq"))
+
+
+@query(f"WITH {fx.PTS_V}, {_CHUNKED}, {_LEVELS}, t AS (SELECT level, count(*) AS points FROM lv GROUP BY level), r AS (SELECT *, CAST(sum(points) OVER (ORDER BY level) AS BIGINT) AS running FROM t) SELECT level, points, running, (running <= 5000 OR level = 0) AS in_head FROM r")
+def level_totals_head(spark, d):
+    made = chunks.level_totals(_levels(spark, d), 5000)
+    return made.select(F.col("level").cast("long").alias("level"), "points", "running", "in_head")
+
+
+_HEADS = "hb AS (SELECT chunk, CAST(coalesce(sum(points) FILTER (WHERE level < 2),0) AS BIGINT) AS head_points, CAST(coalesce(sum(points) FILTER (WHERE level >= 2),0) AS BIGINT) AS body_points FROM (SELECT chunk, level, count(*) AS points FROM lv GROUP BY chunk, level) GROUP BY chunk)"
+
+
+@query(f"WITH {fx.PTS_V}, {_CHUNKED}, {_LEVELS}, {_HEADS} SELECT chunk, head_points, body_points, CAST(sum(head_points) OVER (ORDER BY chunk) - head_points AS BIGINT) AS head_offset, CAST((SELECT sum(head_points) FROM hb) + sum(body_points) OVER (ORDER BY chunk) - body_points AS BIGINT) AS body_offset FROM hb")
+def chunk_offsets(spark, d):
+    return chunks.head_and_body(chunks.level_points(_levels(spark, d)), 2).select("chunk", "head_points", "body_points", "head_offset", "body_offset")
+
+
+@query(f"WITH {fx.PTS_V}, m AS (SELECT min(qx) AS lx, min(qy) AS ly, min(qz) AS lz, max(qx)-min(qx) AS sx, max(qy)-min(qy) AS sy, max(qz)-min(qz) AS sz FROM pts_v), q AS (SELECT point_id, " + ", ".join(f"CAST(floor(CAST(q{a}-l{a} AS DOUBLE)/CAST(s{a} AS DOUBLE)*2097151.0) AS BIGINT) AS u{a}" for a in "xyz") + f" FROM pts_v, m), c AS (SELECT point_id, {_morton_sql(('ux', 'uy', 'uz'), 21)} AS code FROM q) SELECT point_id, code, row_number() OVER (ORDER BY code, point_id) - 1 AS row FROM c")
+def morton_order(spark, d):
+    p = fx.pts_v(spark, d).select(F.col("point_id").alias("splat_id"), *[F.col(f"q{a}").alias(a) for a in "xyz"])
+    return splats.morton_chunks(p).select(F.col("splat_id").alias("point_id"), "code", F.col("row").cast("long").alias("row"))
+
+
+@query(
+    f"WITH {fx.PTS_V}, r AS (SELECT g AS key, qx AS start, qx + 400 AS stop FROM pts_v), o AS (SELECT *, max(stop) OVER (PARTITION BY key ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r), "
+    "i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM o) SELECT key, min(start) AS start, max(stop) AS stop FROM i GROUP BY key, island"
+)
+def range_coalesce(spark, d):
+    r = fx.pts_v(spark, d).select(F.col("g").alias("key"), F.col("qx").alias("start"), (F.col("qx") + 400).alias("stop"))
+    return chunks.coalesce_ranges(r, "key", gap=100)
+
+
+# detail
+
+_MODEL = (
+    "lp AS (SELECT chunk, level, count(*) AS points FROM lv GROUP BY chunk, level), gl AS (SELECT chunk, CAST(unnest(range(0, 5)) AS BIGINT) AS level FROM (SELECT DISTINCT chunk FROM lv)), "
+    "al AS (SELECT gl.chunk, gl.level, coalesce(points, 0) AS points FROM gl LEFT JOIN lp ON gl.chunk = lp.chunk AND gl.level = lp.level), "
+    "px AS (SELECT *, sum(points) OVER (PARTITION BY chunk ORDER BY level) - points AS pre, sum(points) OVER (PARTITION BY chunk ORDER BY level) AS post FROM al), "
+    "md AS (SELECT chunk, CAST(sum(points) AS BIGINT) AS points, least(3.0, greatest(1.0, coalesce(max(CASE WHEN level BETWEEN 1 AND 3 AND pre >= 64 AND post > pre THEN log2(CAST(post AS DOUBLE)/CAST(pre AS DOUBLE)) END), 2.0))) AS ex, coalesce(max(CASE WHEN level < 4 AND points > 0 THEN level END), -1) + 1 AS xe, max(CASE WHEN level = 4 THEN pre END) AS p4 FROM px GROUP BY chunk)"
+)
+
+
+def _model(spark, d):
+    levels = chunks.level_points(_levels(spark, d))
+    every = levels.select("chunk").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return chunks.lod_model(every.join(levels, ["chunk", "level"], "left").select("chunk", "level", F.coalesce("points", F.lit(0)).alias("points")))
+
+
+@query(f"WITH {fx.PTS_V}, {_CHUNKED}, {_LEVELS}, {_MODEL} SELECT chunk, points, {r6('ex', 6)} AS exponent, CAST(xe AS BIGINT) AS regular_end, {r6('(86400.0/pow(2.0, 3+xe))*pow(greatest(CAST(points AS DOUBLE),1.0)/greatest(p4,1), -1.0/ex)', 3)} AS full_spacing FROM md")
+def lod_spacing(spark, d):
+    m = _model(spark, d)
+    return m.select("chunk", "points", rounded("exponent").alias("exponent"), F.col("regular_end").cast("long").alias("regular_end"), rounded(chunks.spacing_at("points", 86400.0, 3), 3).alias("full_spacing"))
+
+
+@query(
+    f"WITH {fx.PTS_V}, {_CHUNKED}, {_LEVELS}, {_MODEL}, s(sp) AS (VALUES (500.0), (2000.0), (6000.0), (20000.0)), x AS (SELECT md.*, CAST(sp AS DOUBLE) AS sp, log2(86400.0/CAST(sp AS DOUBLE))-3 AS x FROM md, s), "
+    "y AS (SELECT x.chunk, x.sp, x.x, x.xe, x.points, x.p4, x.ex, px.pre, px.points AS n FROM x LEFT JOIN px ON px.chunk = x.chunk AND px.level = CAST(floor(x.x) AS BIGINT)) "
+    "SELECT chunk, CAST(sp AS BIGINT) AS spacing, CAST(CASE WHEN x <= 0 THEN 0 ELSE least(points, ceil(CASE WHEN x < xe THEN pre + (x-floor(x))*n ELSE greatest(1, p4)*pow((86400.0/pow(2.0, 3+xe))/sp, ex) END)) END AS BIGINT) AS need FROM y"
+)
+def lod_need(spark, d):
+    s = spark.createDataFrame([(500.0,), (2000.0,), (6000.0,), (20000.0,)], "sp double")
+    return _model(spark, d).crossJoin(F.broadcast(s)).select("chunk", F.col("sp").cast("long").alias("spacing"), chunks.count_for("sp", 86400.0, 3).alias("need"))
+
+
+@query(f"WITH {fx.PTS_V}, {_CHUNKED}, {_LEVELS}, q AS (SELECT point_id, chunk, row_number() OVER (PARTITION BY chunk ORDER BY level, pk, point_id) - 1 AS seq FROM lv) SELECT point_id, chunk FROM q WHERE seq < 40 + chunk*10")
+def chunk_prefix(spark, d):
+    p = chunks.sequence(_levels(spark, d))
+    needs = p.select("chunk").distinct().withColumn("need", F.lit(40) + F.col("chunk") * 10)
+    return chunks.chunk_prefix(p, needs).select("point_id", "chunk")
+
+
+# sampling, allocation, metrics
+
+_FRACTIONS = "f AS (SELECT class_id, count(*) AS points, least(1.0::DOUBLE, greatest(1500*CAST(count(*) AS DOUBLE)/(SELECT count(*) FROM pts_v), CAST(least(count(*), 100) AS DOUBLE))/count(*)) AS fraction FROM pts_v GROUP BY class_id)"
+
+
+@query(f"WITH {fx.PTS_V}, {_FRACTIONS} SELECT class_id, points, {r6('fraction', 9)} AS fraction FROM f")
+def stratified_fractions(spark, d):
+    return sample.class_fractions(fx.pts_v(spark, d), 1500, 100).select("class_id", "points", rounded("fraction", 9).alias("fraction"))
+
+
+@query(f"WITH {fx.PTS_V}, {_FRACTIONS} SELECT p.point_id, p.class_id FROM pts_v p JOIN f ON p.class_id = f.class_id WHERE CAST({_PERM} AS DOUBLE)/2147483647.0 < fraction")
+def stratified_sample(spark, d):
+    return sample.stratified_sample(fx.pts_v(spark, d), 1500, 100).select("point_id", "class_id")
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id FROM pts_v ORDER BY CAST({_PERM} AS DOUBLE)/2147483647.0, point_id LIMIT 500")
+def uniform_sample(spark, d):
+    return sample.uniform_sample(fx.pts_v(spark, d), 500).select("point_id")
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id, qx FROM pts_v WHERE point_id % 25 = 0")
+def stride_thinning(spark, d):
+    return sample.stride(fx.pts_v(spark, d), 25).select("point_id", "qx")
+
+
+@query(f"WITH {fx.TRIANGLES} SELECT submesh_id, {r6('sum(area)', 1)} AS area, count(*) AS triangles FROM tri GROUP BY submesh_id")
+def triangle_areas(spark, d):
+    return mesh.submesh_areas(fx.triangles(spark, d)).select("submesh_id", rounded("area", 1).alias("area"), "triangles")
+
+
+_SHARES = "ar AS (SELECT submesh_id, sum(a*b)/2.0 AS area FROM tri GROUP BY submesh_id), ex AS (SELECT submesh_id, area, 1003.0*area/(SELECT sum(area) FROM ar) AS ex FROM ar), rk AS (SELECT *, row_number() OVER (ORDER BY ex-floor(ex) DESC, submesh_id) AS rk FROM ex), sh AS (SELECT submesh_id, area, CAST(floor(ex) AS BIGINT) + CASE WHEN rk <= 1003 - (SELECT sum(floor(ex)) FROM ex) THEN 1 ELSE 0 END AS share FROM rk)"
+
+
+@query(f"WITH {fx.TRIANGLES}, {_SHARES} SELECT submesh_id, share FROM sh")
+def largest_remainder(spark, d):
+    return mesh.allocate(fx.triangles(spark, d), 1003)
+
+
+@query(
+    f"WITH {fx.TRIANGLES}, {_SHARES}, ra AS (SELECT submesh_id, tri_id, a*b/2.0 AS area, sum(a*b/2.0) OVER (PARTITION BY submesh_id ORDER BY tri_id) AS high FROM tri), dr AS (SELECT submesh_id, share, area, CAST(unnest(range(0, share)) AS BIGINT) AS draw_id FROM sh) "
+    "SELECT dr.submesh_id, dr.draw_id, min(ra.tri_id) AS tri_id FROM dr JOIN ra ON ra.submesh_id = dr.submesh_id AND ra.high > (dr.draw_id+0.5)*dr.area/dr.share GROUP BY 1, 2"
+)
+def area_pick(spark, d):
+    return mesh.area_pick(fx.triangles(spark, d), 1003).select("submesh_id", "draw_id", "tri_id")
+
+
+@query(f"WITH {fx.PRED}, l AS (SELECT DISTINCT y AS k FROM pred UNION SELECT DISTINCT yhat FROM pred), c AS (SELECT y, yhat, count(*) AS n FROM pred GROUP BY y, yhat) SELECT CAST(a.k AS BIGINT) AS y, CAST(b.k AS BIGINT) AS yhat, coalesce(c.n, 0) AS n FROM l a CROSS JOIN l b LEFT JOIN c ON c.y = a.k AND c.yhat = b.k")
+def confusion_matrix(spark, d):
+    return metrics.confusion(fx.pred(spark, d))
+
+
+_METRICS = f"{fx.PRED}, c AS (SELECT y, yhat, count(*) AS n FROM pred GROUP BY y, yhat), m AS (SELECT k AS label, sum(CASE WHEN y=k THEN n ELSE 0 END) AS support, sum(CASE WHEN yhat=k THEN n ELSE 0 END) AS claimed, sum(CASE WHEN y=k AND yhat=k THEN n ELSE 0 END) AS tp FROM c, (SELECT DISTINCT y AS k FROM pred UNION SELECT DISTINCT yhat FROM pred) GROUP BY k), " + "v AS (SELECT label, support, CASE WHEN claimed>0 THEN CAST(tp AS DOUBLE)/claimed ELSE 0 END AS precision, CASE WHEN support>0 THEN CAST(tp AS DOUBLE)/support ELSE 0 END AS recall, CASE WHEN support+claimed>0 THEN 2*CAST(tp AS DOUBLE)/(support+claimed) ELSE 0 END AS f1, CASE WHEN support+claimed-tp>0 THEN CAST(tp AS DOUBLE)/(support+claimed-tp) ELSE 0 END AS iou FROM m)"
+_FOUR = ("precision", "recall", "f1", "iou")
+
+
+@query(f"WITH {_METRICS} SELECT CAST(label AS BIGINT) AS label, CAST(support AS BIGINT) AS support, {', '.join(f'{r6(c)} AS {c}' for c in _FOUR)} FROM v")
+def class_metrics(spark, d):
+    m = metrics.class_metrics(metrics.confusion(fx.pred(spark, d)))
+    return m.select("label", "support", *[rounded(c).alias(c) for c in _FOUR])
+
+
+@query(f"WITH {_METRICS}, a AS (SELECT CAST(sum(CASE WHEN y=yhat THEN n ELSE 0 END) AS DOUBLE)/sum(n) AS accuracy FROM c) SELECT 'average' AS kind, {r6('(SELECT accuracy FROM a)')} AS accuracy, {', '.join(f'{r6(f"avg({c})")} AS {c}' for c in _FOUR)} FROM v UNION ALL SELECT 'weighted', {r6('(SELECT accuracy FROM a)')}, {', '.join(r6(f'sum({c}*support)/sum(support)') for c in _FOUR)} FROM v")
+def macro_weighted_metrics(spark, d):
+    s = metrics.summary(metrics.confusion(fx.pred(spark, d)))
+    return s.select("kind", rounded("accuracy").alias("accuracy"), *[rounded(c).alias(c) for c in _FOUR])
+
+
+@query("WITH t AS (SELECT p_brand AS feature, sum(p_size) AS s FROM part GROUP BY p_brand), i AS (SELECT feature, CAST(s AS DOUBLE)/(SELECT sum(s) FROM t) AS importance FROM t), c AS (SELECT feature, coalesce(sum(importance) OVER (ORDER BY importance DESC, feature ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM i) SELECT feature FROM c WHERE before < 0.9")
+def importance_cutoff(spark, d):
+    t = fx.table(spark, d, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.sum("p_size").alias("s"))
+    total = t.agg(F.sum("s").alias("all"))
+    i = t.crossJoin(F.broadcast(total)).select("feature", (F.col("s").cast("double") / F.col("all")).alias("importance"))
+    return sample.importance_cut(i).select("feature")
+
+
+@query("SELECT submesh AS ring, 12.5::DOUBLE * scale * scale AS area FROM (SELECT n_nationkey AS submesh, CAST(n_nationkey + 1 AS DOUBLE) AS scale FROM nation)")
+def polygon_area(spark, d):
+    s = (F.col("n_nationkey") + 1).cast("double")
+    ring = F.array(*[F.array(x * s, y * s, F.lit(2.0)) for x, y in ((F.lit(0.0), F.lit(0.0)), (F.lit(5.0), F.lit(0.0)), (F.lit(0.0), F.lit(5.0)))])
+    return fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("ring"), geo.polygon_area(ring).alias("area"))
+
+
+# splats
+
+
+def _linear_sql(v: str, lo: str, hi: str, bits: int) -> str:
+    top = float((1 << bits) - 1)
+    return f"CAST(least(greatest(round_even(({v}-{lo})/CASE WHEN {hi}-{lo}=0 THEN 1.0 ELSE {hi}-{lo} END*{top}, 0),0.0),{top}) AS BIGINT)"
+
+
+_SCHUNK = f"{fx.SPLATS}, sc AS (SELECT *, splat_id // 100 AS chunk FROM spl)"
+
+
+def _schunk(spark, d):
+    return fx.splats(spark, d).withColumn("chunk", F.floor(F.col("splat_id") / 100).cast("long"))
+
+
+@query(f"WITH {_SCHUNK}, w AS (SELECT splat_id, x, s0, sh0, " + ", ".join(f"min({c}) OVER (PARTITION BY chunk) AS {c}l, max({c}) OVER (PARTITION BY chunk) AS {c}h" for c in ("x", "s0", "sh0")) + f" FROM sc) SELECT splat_id, {_linear_sql('x', 'xl', 'xh', 24)} AS x_q, {_linear_sql('s0', 's0l', 's0h', 16)} AS s0_q, {_linear_sql('sh0', 'sh0l', 'sh0h', 8)} AS sh0_q FROM w")
+def linear_quantize(spark, d):
+    return splats.quantise(_schunk(spark, d), {"x": 24, "s0": 16, "sh0": 8}).select("splat_id", "x_q", "s0_q", "sh0_q")
+
+
+@query(f"WITH {_SCHUNK} SELECT chunk, count(*) AS splats, min(x) AS x_low, max(x) AS x_high, min(opacity) AS opacity_low, max(opacity) AS opacity_high FROM sc GROUP BY chunk")
+def splat_chunk_statistics(spark, d):
+    return splats.chunk_statistics(_schunk(spark, d), ["x", "opacity"])
+
+
+@query(f"WITH {fx.SPLATS}, q AS (SELECT splat_id, CAST(floor((x+1)*8000000) AS BIGINT) AS v FROM spl) SELECT splat_id, v & 255 AS b0, (v >> 8) & 255 AS b1, (v >> 16) & 255 AS b2, v AS back FROM q")
+def pack24(spark, d):
+    q = fx.splats(spark, d).select("splat_id", F.floor((F.col("x") + 1) * 8000000).cast("long").alias("v")).withColumn("p", sp.pack24("v"))
+    return q.select("splat_id", *[F.col("p")[k].cast("long").alias(f"b{k}") for k in range(3)], sp.unpack24("p").alias("back"))
+
+
+_QUAT = (
+    "n AS (SELECT splat_id, rw, rx, ry, rz, sqrt(rw*rw+rx*rx+ry*ry+rz*rz) AS nn FROM spl), u AS (SELECT splat_id, rw/nn AS a, rx/nn AS b, ry/nn AS c, rz/nn AS d FROM n), g AS (SELECT *, greatest(abs(a),abs(b),abs(c),abs(d)) AS m FROM u), "
+    "i AS (SELECT *, CASE WHEN abs(a)=m THEN 0 WHEN abs(b)=m THEN 1 WHEN abs(c)=m THEN 2 ELSE 3 END AS k FROM g), s AS (SELECT *, sign(CASE k WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN c ELSE d END) AS sg FROM i)"
+)
+
+
+def _three(e: str) -> str:
+    return f"CAST(least(greatest(round_even((({e})*sg*{sp.SQRT2!r}::DOUBLE+1.0)/2.0*65535.0, 0),0.0),65535.0) AS BIGINT)"
+
+
+@query(f"WITH {fx.SPLATS}, {_QUAT} SELECT splat_id, {_three('CASE WHEN k=0 THEN b ELSE a END')} AS q0, {_three('CASE WHEN k<=1 THEN c ELSE b END')} AS q1, {_three('CASE WHEN k<=2 THEN d ELSE c END')} AS q2, CAST(k AS BIGINT) AS q3 FROM s")
+def quat_smallest_three(spark, d):
+    q = sp.normalise_quaternion("rw", "rx", "ry", "rz")
+    p = sp.pack_quaternion(q)
+    return fx.splats(spark, d).select("splat_id", *[c.alias(f"q{k}") for k, c in enumerate(p)])
+
+
+@query(f"WITH {fx.SPLATS} SELECT splat_id, TRUE AS close FROM spl")
+def quat_round_trip(spark, d):
+    s = fx.splats(spark, d).select("splat_id", F.array(*sp.normalise_quaternion("rw", "rx", "ry", "rz")).alias("q"))
+    q = [F.col("q")[k] for k in range(4)]
+    s = s.withColumn("p", F.array(*sp.pack_quaternion(q)))
+    back = sp.unpack_quaternion([F.col("p")[k] for k in range(4)])
+    return s.withColumn("back", F.array(*back)).select("splat_id", (sp.rotation_angle(q, [F.col("back")[k] for k in range(4)]) < 1e-3).alias("close"))
+
+
+_ERR = f"{_SCHUNK}, w AS (SELECT *, " + ", ".join(f"min({c}) OVER (PARTITION BY chunk) AS {c}l, max({c}) OVER (PARTITION BY chunk) AS {c}h" for c in ("x", "y", "z", "s0", "s1", "s2", "dc0")) + " FROM sc), "
+
+
+def _back_sql(c: str, bits: int) -> str:
+    return f"({c}l + CASE WHEN {c}h-{c}l=0 THEN 1.0 ELSE {c}h-{c}l END*(CAST({_linear_sql(c, c + 'l', c + 'h', bits)} AS DOUBLE)/{float((1 << bits) - 1)}))"
+
+
+@query(
+    f"WITH {_ERR}b AS (SELECT *, {', '.join(f'{c}-{_back_sql(c, n)} AS d_{c}' for c, n in (('x', 12), ('y', 12), ('z', 12), ('s0', 10), ('s1', 10), ('s2', 10), ('dc0', 10)))} FROM w), e AS (SELECT *, sqrt(d_x*d_x+d_y*d_y+d_z*d_z) AS p, exp(greatest(s0,s1,s2)) AS size FROM b) "
+    f"SELECT {r6('max(p)', 9)} AS pos_abs_max, {r6('quantile_cont(p/size, 0.99)', 9)} AS pos_rel_p99, {r6('max(p/size)', 9)} AS pos_rel_max, {r6('max(greatest(abs(d_s0),abs(d_s1),abs(d_s2)))', 9)} AS scale_abs_max, {r6('max(abs(d_dc0))', 9)} AS dc0_abs_max, {r6('sqrt(avg(d_dc0*d_dc0))/sqrt(avg(dc0*dc0))', 6)} AS dc0_rms_share FROM e"
+)
+def quant_error_report(spark, d):
+    bits = {"x": 12, "y": 12, "z": 12, "s0": 10, "s1": 10, "s2": 10, "dc0": 10}
+    made = splats.error_report(splats.dequantise(splats.quantise(_schunk(spark, d), bits), bits), ("x", "y", "z"), ("s0", "s1", "s2"), ("dc0",))
+    return made.select(*[rounded(c, 6 if c.endswith("share") else 9).alias(c) for c in made.columns])
+
+
+@query(f"WITH {fx.SPLATS}, v AS (SELECT *, x/sqrt(x*x+y*y+z*z) AS ux, y/sqrt(x*x+y*y+z*z) AS uy, z/sqrt(x*x+y*y+z*z) AS uz FROM spl) SELECT splat_id, {r6('greatest(0.5 + 0.28209479177387814*dc0 + -0.4886025119029199*uy*sh0 + 0.4886025119029199*uz*sh1 + -0.4886025119029199*ux*sh2, 0.0)')} AS red FROM v")
+def sh_degree1_colour(spark, d):
+    n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    v = fx.splats(spark, d).select("*", *[(F.col(a) / n).alias(f"u{a}") for a in "xyz"])
+    return v.select("splat_id", rounded(sp.sh_colour("dc0", ["sh0", "sh1", "sh2"], "ux", "uy", "uz", 1)).alias("red"))
+
+
+@query(f"WITH {fx.SPLATS}, p AS (SELECT splat_id, abs(x)*20 AS px, splat_id*10+1 AS n FROM spl), f AS (SELECT *, least(greatest(pow(px/1.5,2.0),0.1),1.0) AS f FROM p), k AS (SELECT splat_id, n, least(greatest(pow(2.0, floor(4.0*log2(f)+0.5)/4.0),0.1),1.0) AS k FROM f) SELECT splat_id, {r6('k')} AS fraction, CAST(CASE WHEN k >= 1 THEN n ELSE greatest(1, ceil(n*k)) END AS BIGINT) AS kept FROM k")
+def keep_fraction(spark, d):
+    s = fx.splats(spark, d).select("splat_id", sp.keep_fraction(F.abs("x") * 20).alias("f"), (F.col("splat_id") * 10 + 1).alias("n"))
+    return s.select("splat_id", rounded("f").alias("fraction"), sp.keep_count("n", "f").cast("long").alias("kept"))
+
+
+@query(f"WITH {fx.SPLATS} SELECT splat_id, {r6('sign(s0)*(exp(abs(s0))-1)', 6)} AS inv_log, {r6('ln(least(greatest(abs(opacity),1e-6),1.0-1e-6)/(1.0-least(greatest(abs(opacity),1e-6),1.0-1e-6)))', 6)} AS logit FROM spl")
+def log_logit(spark, d):
+    return fx.splats(spark, d).select("splat_id", rounded(sp.inverse_log("s0")).alias("inv_log"), rounded(sp.logit(F.abs("opacity"))).alias("logit"))
+
+
+@query(f"WITH {fx.SPLATS} SELECT splat_id, CAST(CASE splat_id % 6 WHEN 0 THEN 0.5 WHEN 1 THEN 1.5 WHEN 2 THEN 2.5 WHEN 3 THEN -1.0 ELSE 0.0 END AS DOUBLE) AS v, CASE WHEN splat_id % 4 < 3 THEN (splat_id % 4) * 10 END AS p FROM spl")
+def codebook_lookup(spark, d):
+    s = fx.splats(spark, d).withColumn("byte", F.col("splat_id") % 6).withColumn("lab", F.col("splat_id") % 4)
+    rows = spark.range(3).select(F.col("id").alias("label"), (F.col("id") * 10).alias("values"))
+    return splats.palette(splats.codebook(s, "byte", [0.5, 1.5, 2.5, -1.0], "v"), "lab", rows, "p").select("splat_id", "v", "p")
+
+
+@query(f"WITH {fx.SPLATS} SELECT count(*) AS splats, min(x) AS x_low, max(x) AS x_high, min(y) AS y_low, max(y) AS y_high, min(z) AS z_low, max(z) AS z_high, CAST(0 AS BIGINT) AS not_finite, count(*) FILTER (WHERE least(s0,s1,s2) < -0.3) AS tiny, min(opacity) AS opacity_low, max(opacity) AS opacity_high FROM spl")
+def splat_describe(spark, d):
+    return splats.describe(fx.splats(spark, d), scales=["s0", "s1", "s2"], tiny=-0.3)
+
+
+@query(f"WITH {fx.SPLATS} SELECT splat_id, x*0.5+y*0.25-z+2.0 AS depth FROM spl ORDER BY depth, splat_id LIMIT 50")
+def depth_sort(spark, d):
+    view = [0, 0, 0.5, 0, 0, 0, 0.25, 0, 0, 0, -1.0, 0, 0, 0, 2.0, 1]
+    return splats.depth_order(fx.splats(spark, d), view, 50).select("splat_id", "depth")
+
+
+@query(f"WITH {_SCHUNK}, q AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY ((splat_id+chunk)*48271) % 2147483647, splat_id) - 1 AS seq, (CASE WHEN x > 0 THEN 1 ELSE 0 END)+(CASE WHEN y > 0 THEN 2 ELSE 0 END)+(CASE WHEN z > 0 THEN 4 ELSE 0 END) AS octant FROM sc), t AS (SELECT count(*) AS a, count(*) FILTER (WHERE seq < 40) AS s FROM q) SELECT CAST(octant AS BIGINT) AS octant, {r6('CAST(count(*) AS DOUBLE)/any_value(a)')} AS share_all, {r6('CAST(count(*) FILTER (WHERE seq < 40) AS DOUBLE)/any_value(s)')} AS share_prefix FROM q, t GROUP BY octant")
+def octant_histogram(spark, d):
+    s = splats.octant_shares(splats.in_chunk_order(_schunk(spark, d)), (0.0, 0.0, 0.0), 40)
+    return s.select(F.col("octant").cast("long").alias("octant"), rounded("share_all").alias("share_all"), rounded("share_prefix").alias("share_prefix"))
+
+
+# machine learning: no SQL states these
+
+
+@query()
+def rf_train_predict(spark, d):
+    from ..operators import ml
+
+    p = fx.forest_rows(spark, d)
+    model = ml.train_forest(p.filter(F.col("point_id") % 5 != 0), ["f0", "f1", "f2", "f3"], trees=20, depth=6)
+    return ml.classify(model, p.filter(F.col("point_id") % 5 == 0)).select("point_id", "labels", "prediction")
+
+
+@query()
+def rf_importance(spark, d):
+    from ..operators import ml
+
+    model = ml.train_forest(fx.forest_rows(spark, d), ["f0", "f1", "f2", "f3"], trees=20, depth=6)
+    return spark.createDataFrame(ml.importances(model), "feature string, importance double")
