@@ -15,10 +15,11 @@ input are ignored by ``encode`` and may have any name. An empty table gives an e
 from __future__ import annotations
 
 import base64
+import re
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
-import re
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,79 +35,68 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Buckets of positions by merge rank under a two-level occupancy bitmap."""
-
-    __slots__ = ("buckets", "leaves", "top")
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.leaves: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank >> 8
-        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank & 255)
-        self.top |= 1 << leaf
-
-    def pop(self) -> tuple[int, list[int]]:
-        """The lowest occupied rank and its positions from left to right; the bucket is then empty."""
-        leaf = (self.top & -self.top).bit_length() - 1
-        word = self.leaves[leaf]
-        bit = word & -word
-        word ^= bit
-        self.leaves[leaf] = word
-        if not word:
-            self.top ^= 1 << leaf
-        rank = leaf << 8 | bit.bit_length() - 1
-        positions = self.buckets.pop(rank)
-        positions.sort()
-        return rank, positions
-
-
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
+    """Token ids of one pre-token.
+
+    ``buckets`` holds positions by rank, ``leaves`` the occupied ranks of each group of 256 and
+    ``top`` the occupied groups; the queue is written out in place because a call for each step
+    would cost more than the step.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     if n < 2:
-        return [ranks[piece[i : i + 1]] for i in range(n)]
+        return [ranks[piece]] if n else []
     end = list(range(1, n + 1))  # where the symbol that begins at i ends, and so where the next begins
     before = list(range(-1, n - 1))
     pair = [-1] * n  # rank of the pair that begins at i, -1 if there is none
-    queue = RankQueue()
-    get, push = ranks.get, queue.push
+    buckets: dict[int, list[int]] = {}
+    leaves: dict[int, int] = {}
+    top = 0
+    get = ranks.get
     for i in range(n - 1):
         r = get(piece[i : i + 2])
         if r is not None:
             pair[i] = r
-            push(r, i)
-    while queue.top:
-        rank, positions = queue.pop()
+            if r in buckets:
+                buckets[r].append(i)
+            else:
+                buckets[r] = [i]
+                leaf = r >> 8
+                leaves[leaf] = leaves.get(leaf, 0) | 1 << (r & 255)
+                top |= 1 << leaf
+    while top:
+        leaf = (top & -top).bit_length() - 1  # find-first-set, twice
+        word = leaves[leaf]
+        rank = leaf << 8 | (word & -word).bit_length() - 1
+        word &= word - 1
+        leaves[leaf] = word
+        if not word:
+            top &= top - 1
+        positions = buckets.pop(rank)
+        if len(positions) > 1:
+            positions.sort()
         for k, i in enumerate(positions):
-            if pair[i] != rank:
+            if pair[i] != rank:  # stale
                 continue
             j = end[i]
             stop = end[i] = end[j]
-            pair[j] = -1
-            lowest = rank
+            pair[j] = pair[i] = -1
+            lower = False
             if stop < n:
                 before[stop] = i
                 r = get(piece[i : end[stop]])
-                if r is None:
-                    pair[i] = -1
-                else:
+                if r is not None:
                     pair[i] = r
-                    push(r, i)
-                    lowest = min(lowest, r)
-            else:
-                pair[i] = -1
+                    lower = r < rank
+                    if r in buckets:
+                        buckets[r].append(i)
+                    else:
+                        buckets[r] = [i]
+                        leaf = r >> 8
+                        leaves[leaf] = leaves.get(leaf, 0) | 1 << (r & 255)
+                        top |= 1 << leaf
             h = before[i]
             if h >= 0:
                 r = get(piece[h:stop])
@@ -114,11 +104,23 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                     pair[h] = -1
                 else:
                     pair[h] = r
-                    push(r, h)
-                    lowest = min(lowest, r)
-            if lowest < rank:  # a new pair goes first
-                for p in positions[k + 1 :]:
-                    push(rank, p)
+                    lower = lower or r < rank
+                    if r in buckets:
+                        buckets[r].append(h)
+                    else:
+                        buckets[r] = [h]
+                        leaf = r >> 8
+                        leaves[leaf] = leaves.get(leaf, 0) | 1 << (r & 255)
+                        top |= 1 << leaf
+            if lower and k + 1 < len(positions):  # the new pair goes before the rest of this bucket
+                rest = positions[k + 1 :]
+                if rank in buckets:
+                    buckets[rank] += rest
+                else:
+                    buckets[rank] = rest
+                    leaf = rank >> 8
+                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & 255)
+                    top |= 1 << leaf
                 break
     out, i = [], 0
     while i < n:
@@ -144,13 +146,18 @@ class ByteBPE:
         inside = re.sub(r"\\s", f"[{SPACE}]", inside)
         self.pretokens = regex.compile(inside)
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-        self.memo = Memo(self._chunk)
+        self.memo = Memo(self._chunk, 1_200_000)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = merge_piece(piece.encode(), self.ranks)
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pretokens.findall(chunk):
-            ids += merge_piece(piece.encode(), self.ranks)
-        return np.array(ids, "<u4").tobytes()
+        found = self.pretokens.findall(chunk)
+        if len(found) == 1:
+            return self._piece(chunk)
+        memo = self.memo  # a pre-token is a chunk of its own elsewhere
+        return b"".join([memo[p] if len(p) < 64 and p != chunk else self._piece(p) for p in found])
 
     def encode(self, text: str) -> np.ndarray:
         chunks = self.chunks.findall(text)
