@@ -169,7 +169,7 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     score = 0.0
     for end, (kind, label, length) in phrases.iter(joined):
         if kind == "base":
-            places.append(joined.count(" ", 0, end - length))
+            places.append(joined.count(" ", 0, end - length - 1))
             base.add(label)
             score = 1.0
         else:
