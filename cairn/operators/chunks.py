@@ -86,33 +86,34 @@ def node_code(low: Sequence[int], edge: int) -> Column:
 def assign_chunks(points: DataFrame, low: Sequence[int], edge: int, depth: int = 7, max_points: int = MAX_CHUNK, extra: int = 14) -> DataFrame:
     """Points with ``chunk`` (a Morton prefix) and ``chunk_depth``; cells that stay too full are refined deeper.
 
-    Counts are partial aggregates; each deeper round looks only at points of nodes that are still too
-    full, and stops after ``extra`` rounds or when a cell is as small as two units.
+    Both steps work on counts: the grid's cells and, of cells that hold too many points, their cells
+    up to ``extra`` levels down (or two units wide). The deeper counts are clustered by grid cell and sorted
+    by the chain of prefixes once, which serves the windows of all depths.
     """
     coded = points.withColumn("code", node_code(low, edge))
     at = lambda d: F.shiftright("code", 3 * (BITS - d))
-    counted = coded.groupBy(at(depth).alias("node")).agg(F.count("*").alias("points"))
-    df = counted
+    df = coded.groupBy(at(depth).alias("node")).agg(F.count("*").alias("points"))
     for d in range(depth + 1):
         df = df.withColumn(f"n{d}", F.sum("points").over(Window.partitionBy(F.shiftright("node", 3 * (depth - d)))))
-    found = F.coalesce(*[F.when(F.col(f"n{d}") <= max_points, F.lit(d)) for d in range(depth + 1)])
-    table = df.select("node", found.alias("d"))
-    out = coded.withColumn("node", at(depth)).join(table, "node", "left")
-    full = out.filter(F.col("d").isNull())
-    done = [out.filter(F.col("d").isNotNull()).withColumn("chunk_depth", F.col("d"))]
-    d = depth
-    while d < min(depth + extra, BITS) and (edge >> d) > 2 and not full.isEmpty():
-        d += 1
-        deeper = full.drop("node", "d").withColumn("node", at(d))
-        few = deeper.groupBy("node").agg(F.count("*").alias("points")).filter(F.col("points") <= max_points).select("node", F.lit(d).alias("d"))
-        deeper = deeper.join(few, "node", "left")
-        done.append(deeper.filter(F.col("d").isNotNull()).withColumn("chunk_depth", F.col("d")))
-        full = deeper.filter(F.col("d").isNull())
-    done.append(full.withColumn("chunk_depth", F.lit(d)))
-    made = done[0]
-    for x in done[1:]:
-        made = made.unionByName(x)
-    return made.withColumn("chunk", F.expr(f"shiftright(code, 3 * ({BITS} - chunk_depth))")).drop("node", "d", "code")
+    table = df.select("node", F.coalesce(*[F.when(F.col(f"n{d}") <= max_points, F.lit(d)) for d in range(depth + 1)]).alias("chunk_depth"))
+    coded = coded.withColumn("node", at(depth))
+    shallow = coded.join(table.filter(F.col("chunk_depth").isNotNull()), "node")
+
+    deepest = depth
+    while deepest < min(depth + extra, BITS) and (edge >> deepest) > 2:
+        deepest += 1
+    full = table.filter(F.col("chunk_depth").isNull()).select("node")
+    fine = coded.join(full, "node").withColumn("fine", at(deepest))
+    counts = fine.groupBy("node", "fine").agg(F.count("*").alias("points"))
+    chain = ["node"] + [f"p{d}" for d in range(depth + 1, deepest + 1)]
+    counts = counts.select("*", *[F.shiftright("fine", 3 * (deepest - d)).alias(f"p{d}") for d in range(depth + 1, deepest + 1)])
+    counts = counts.repartition("node").sortWithinPartitions(*chain)
+    for k, d in enumerate(range(depth + 1, deepest + 1), 2):
+        counts = counts.withColumn(f"n{d}", F.sum("points").over(Window.partitionBy(*chain[:k])))
+    found = F.coalesce(*[F.when(F.col(f"n{d}") <= max_points, F.lit(d)) for d in range(depth + 1, deepest + 1)], F.lit(deepest))
+    deep = fine.join(counts.select("node", "fine", found.alias("chunk_depth")), ["node", "fine"]).drop("fine")
+    made = shallow.unionByName(deep)
+    return made.withColumn("chunk", F.expr(f"shiftright(code, 3 * ({BITS} - chunk_depth))")).drop("node", "code")
 
 
 # order inside a chunk

@@ -137,7 +137,7 @@ def radius_features(points: DataFrame, radii: Sequence[float], unit: float, name
     return features_of_moments(moments(points, [squared_ticks(r, unit) for r in radii]), unit, [n for n in FEATURES if n in names], suffixes)
 
 
-def nearest(points: DataFrame, r2: int, rounds: int = 3) -> DataFrame:
+def nearest(points: DataFrame, r2: int, rounds: int = 2) -> DataFrame:
     """``point_id, nn_d2``: squared distance to the nearest other point.
 
     The cell is doubled for the points that found none, ``rounds`` times; what is left after that is
@@ -146,7 +146,8 @@ def nearest(points: DataFrame, r2: int, rounds: int = 3) -> DataFrame:
     left, found = points, None
     for k in range(rounds):
         bound = r2 * 4**k
-        got = cell_join(left, points, bound).filter(F.col("point_id") != F.col("nb_id")).groupBy("point_id").agg(F.min("d2").alias("nn_d2"))
+        # kept, since the next round and the result both read it
+        got = cell_join(left, points, bound).filter(F.col("point_id") != F.col("nb_id")).groupBy("point_id").agg(F.min("d2").alias("nn_d2")).persist()
         found = got if found is None else found.unionByName(got)
         left = left.join(got, "point_id", "left_anti")
     b = points.agg(*[F.min(f"q{a}").alias(f"l{a}") for a in AXES], *[F.max(f"q{a}").alias(f"h{a}") for a in AXES]).first()
