@@ -108,3 +108,40 @@ def class_legend(counts: DataFrame, names: dict[int, str]) -> DataFrame:
     """Class counts with names from a model's metadata (a bounded literal), in numeric order."""
     table = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
     return counts.select("class_id", F.coalesce(F.try_element_at(table, F.col("class_id")), F.col("class_id").cast("string")).alias("name"), "points").orderBy("class_id")
+
+
+def write_split(df: DataFrame, path: str) -> None:
+    """One folder for each segment that has points."""
+    df.write.mode("overwrite").partitionBy("segment_id").parquet(path)
+
+
+def name_splits(spark, path: str, roles: dict[int, str]) -> dict[str, DataFrame]:
+    """Segments' folders as temporary views named by role, such as ``{1: "training", 2: "validation"}``."""
+    df = spark.read.parquet(path)
+    out = {}
+    for segment, role in roles.items():
+        out[role] = df.filter(F.col("segment_id") == segment)
+        out[role].createOrReplaceTempView(role)
+    return out
+
+
+def append_entry(log: Sequence[dict], entry: dict) -> list[dict]:
+    """The edit log with one more entry, last in order."""
+    return [*log, {**entry, "order": max((e["order"] for e in log), default=0) + 1}]
+
+
+def remove_entries(log: Sequence[dict], key: str, value) -> list[dict]:
+    """The edit log without the entries of one segment or class; the replay of the rest is the result."""
+    return [e for e in log if e.get(key) != value]
+
+
+def merge_log(log: Sequence[dict], sources: Sequence[int], target: int) -> list[dict]:
+    """Entries of merged segments go to the target, and it is visible where any of them was."""
+    all_ = {*sources, target}
+    out = []
+    for e in log:
+        seen = e.get("visible")
+        if seen is not None and all_ & set(seen):
+            seen = tuple(sorted((set(seen) - set(sources)) | {target}))
+        out.append({**e, **({"segment": target} if e.get("segment") in all_ else {}), **({"visible": seen} if seen is not None else {})})
+    return out

@@ -275,12 +275,43 @@ def budget_multiplier(model: DataFrame, size, base: int, threshold: float, budge
 
 
 def coalesce_ranges(ranges: DataFrame, key: str, gap: int = 0, most: int | None = None) -> DataFrame:
-    """Merge ``[start, stop)`` ranges of each key that overlap or lie within ``gap`` of each other."""
-    w = Window.partitionBy(key).orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    apart = reach.isNull() | (F.col("start") > reach + gap)
-    df = ranges.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
+    """Merge ``[start, stop)`` ranges of each key that overlap or lie within ``gap`` of each other.
+
+    With ``most`` a merged range grows no longer than that; the choice depends on the ranges before, so
+    each key's ranges (those of one request) are folded as an array.
+    """
+    if most is None:
+        w = Window.partitionBy(key).orderBy("start", "stop")
+        reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        apart = reach.isNull() | (F.col("start") > reach + gap)
+        df = ranges.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return df.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
+    one = F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    df = ranges.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("all"))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+
+    def step(done, x):
+        last = F.element_at(done, -1)
+        stop = F.greatest(last["stop"], x["stop"])
+        joins = (F.size(done) > 0) & (x["start"] <= last["stop"] + gap) & (stop - last["start"] <= most)
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), stop.alias("stop"))))).otherwise(F.concat(done, F.array(x)))
+
+    folded = F.aggregate("all", F.slice("all", 1, 1), lambda done, x: step(done, x))
+    return df.select(key, F.explode(F.when(F.size("all") > 0, folded).otherwise(none)).alias("r")).select(key, "r.start", "r.stop")
+
+
+def chunk_table(points: DataFrame, head_levels: int) -> DataFrame:
+    """One row for each chunk: points, bounds, level sizes, offsets of its head and body."""
+    box = points.groupBy("chunk").agg(F.count("*").alias("points"), F.array(*[F.min(f"q{a}") for a in AXES]).alias("low"), F.array(*[F.max(f"q{a}") for a in AXES]).alias("high"))
+    levels = level_points(points)
+    lists = levels.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "points"))), lambda x: x["points"]).alias("level_points"))
+    offsets = head_and_body(levels, head_levels).select("chunk", "head_offset", "body_offset")
+    return box.join(lists, "chunk").join(offsets, "chunk")
+
+
+def chunk_json(table: DataFrame) -> DataFrame:
+    """The chunk table as one JSON object in each row."""
+    return table.select("chunk", F.to_json(F.struct(*table.columns)).alias("value"))
 
 
 def worst_tile(points: DataFrame, tile: int) -> DataFrame:

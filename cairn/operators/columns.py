@@ -94,3 +94,9 @@ def permutation_check(ids: DataFrame, cloud: DataFrame) -> DataFrame:
     """Ids that differ between two tables, counted with repeats: empty if one is a permutation of the other."""
     a, b = ids.select("point_id"), cloud.select("point_id")
     return a.exceptAll(b).unionByName(b.exceptAll(a))
+
+
+def upper_median(df: DataFrame, column: str) -> DataFrame:
+    """The element at half the length of the sorted values; for tables of chunks."""
+    values = F.array_sort(F.collect_list(column))
+    return df.agg(F.get(values, F.floor(F.count(column) / 2).cast("int")).alias("median"))

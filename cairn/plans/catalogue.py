@@ -860,3 +860,37 @@ def rf_importance(spark, d):
 
     model = ml.train_forest(fx.forest_rows(spark, d), ["f0", "f1", "f2", "f3"], trees=20, depth=6)
     return spark.createDataFrame(ml.importances(model), "feature string, importance double")
+
+
+# further pieces
+
+
+@query(f"WITH {fx.PTS_V}, c AS (SELECT qx // 1000 AS chunk, count(*) AS points FROM pts_v GROUP BY 1), o AS (SELECT points, row_number() OVER (ORDER BY points) - 1 AS k FROM c) SELECT points AS median FROM o WHERE k = (SELECT count(*) // 2 FROM c)")
+def chunk_size_median(spark, d):
+    c = fx.pts_v(spark, d).groupBy(F.floor(F.col("qx") / 1000).alias("chunk")).agg(F.count("*").alias("points"))
+    return columns.upper_median(c, "points")
+
+
+@query(f"WITH {fx.PTS_V} SELECT point_id FROM pts_v WHERE CAST(qx AS DOUBLE)*CAST(r AS DOUBLE) >= 0.7*1000.0")
+def lod_keep(spark, d):
+    p = fx.pts_v(spark, d).select("point_id", F.col("qx").cast("double").alias("spacing"), F.col("r").cast("double").alias("ppu"))
+    return p.filter(chunks.kept_by_detail("spacing", "ppu", 1000.0)).select("point_id")
+
+
+@query(f"WITH {fx.PTS_V}, {_CHUNKED}, {_LEVELS} SELECT chunk, count(*) AS points, min(qx) AS low_x, max(qz) AS high_z, count(*) FILTER (WHERE level = 0) AS first_level FROM lv GROUP BY chunk")
+def chunk_table(spark, d):
+    t = chunks.chunk_table(_levels(spark, d), 2)
+    return t.select("chunk", "points", F.col("low")[0].alias("low_x"), F.col("high")[2].alias("high_z"), F.col("level_points")[0].alias("first_level"))
+
+
+@query(f"WITH {fx.PTS_V}, {fx.ANN}, c AS (SELECT point_id, CASE WHEN {_cut_sql(fx.CUTS[1], '0')} THEN 5 ELSE 0 END AS s FROM pts_v) SELECT point_id, CAST(s AS BIGINT) AS segment_id FROM c")
+def edit_log(spark, d):
+    log = annotate.append_entry(annotate.remove_entries(fx.CUTS, "segment", 1), {"segment": 9, "regions": [("rect", (0, 0, -1, -1))]})
+    log = annotate.merge_log(annotate.remove_entries(log, "segment", 3), [2], 5)
+    return annotate.replay_cuts(fx.pts_v(spark, d), log).select("point_id", F.col("segment_id").cast("long").alias("segment_id"))
+
+
+@query(f"WITH {fx.PTS_E}, {fx.PTS_V} SELECT point_id, qx, qy, qz FROM pts_v WHERE point_id % 100 = 1 UNION ALL SELECT point_id, qx, qy, qz FROM pts_e WHERE point_id % 50 = 1")
+def concat_clouds(spark, d):
+    names = ["point_id", "qx", "qy", "qz"]
+    return mesh.with_points(fx.pts_v(spark, d).filter("point_id % 100 = 1").select(*names), fx.pts_e(spark, d).filter("point_id % 50 = 1").select(*names))

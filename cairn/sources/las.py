@@ -268,3 +268,32 @@ class LasSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LasSource)
+
+
+def inspect(path: str) -> dict:
+    """What a file's header says."""
+    h = read_header(path)
+    base = {n for n, _, _ in [*_LEGACY, *_MODERN]} | {"gps_time", *_RGB}
+    return {"version": h.version, "format": h.fmt, "points": h.count, "canonical": h.canonical, "extra": [n for n, _, _ in h.fields if n not in base], "scale": h.scale, "origin": h.origin, "low": h.low, "high": h.high}
+
+
+#: Columns of a canonical table, in order; the last four are Extra Bytes (fixed values).
+CANONICAL = ("X", "Y", "Z", "intensity", "return_bits", "classification", "scan_angle", "user_data", "point_source_id", "gps_time", "red", "green", "blue", "NormalX", "NormalY", "NormalZ", "POINT_ID")
+
+
+def canonicalize(df):
+    """A table of any format with the canonical columns: missing ones are 0, ids are row numbers, normals 0."""
+    from pyspark.sql import functions as F
+
+    kinds = {"gps_time": "double", "NormalX": "float", "NormalY": "float", "NormalZ": "float", "POINT_ID": "bigint"}
+    made = []
+    for c in CANONICAL:
+        if c in df.columns:
+            v = F.col(c)
+        elif c == "POINT_ID":
+            v = F.col("row")
+        else:
+            v = F.lit(0)
+        made.append(v.cast(kinds.get(c, "int")).alias(c))
+    extra = [c for c in df.columns if c not in CANONICAL and c != "row"]
+    return df.select(*made, *extra)

@@ -83,3 +83,17 @@ def write_splats(df: DataFrame, path: str) -> None:
 def read_splats(spark: SparkSession, path: str, source_order: bool = False) -> DataFrame:
     df = spark.read.parquet(path)
     return df.orderBy("splat_id") if source_order else df
+
+
+def package(files: dict[str, bytes]) -> bytes:
+    """A ZIP of named files, for downloads put together on the driver; names stay inside the archive's root."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in sorted(files.items()):
+            if name.startswith("/") or ".." in name.split("/"):
+                raise ValueError(f"not a name inside the archive: {name!r}")
+            z.writestr(name, body)
+    return out.getvalue()
