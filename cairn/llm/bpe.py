@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, list_array, map_batches, prepare, text_of
+from .common import Memo, claim, list_array, map_batches, prepare, text_of
 
 #: White space of the Unicode property, as the pattern's library reads \s (fixed values).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -146,7 +146,7 @@ class ByteBPE:
         inside = re.sub(r"\\s", f"[{SPACE}]", inside)
         self.pretokens = regex.compile(inside)
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-        self.memo = Memo(self._chunk, 1_200_000)
+        self.memo = Memo(self._chunk, 1_200_000, "byte-bpe")
 
     def _piece(self, piece: str) -> bytes:
         ids = merge_piece(piece.encode(), self.ranks)
@@ -173,6 +173,7 @@ _loaded: dict[tuple[str, str], ByteBPE] = {}
 
 def tokenizer(path: str, pattern: str) -> ByteBPE:
     """The vocabulary in this process, read once."""
+    claim("byte-bpe")
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = ByteBPE(path, pattern)
     return _loaded[path, pattern]

@@ -14,6 +14,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -92,28 +93,80 @@ class WorkTables:
             p.getFileSystem(conf).delete(p, True)
 
 
+#: Bits of the bitmap of ``likely_in``: 4 MB whatever the input.
+BITMAP_BITS = 25
+
+
+def likely_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key's hash is set in a bitmap of the ids' hashes: all that are among the ids, and a few more.
+
+    Put before a join of wide rows with a small part of their keys, so that only those rows are
+    shuffled. The bitmap's size is fixed; with very many ids it lets more rows through.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    p = place(ids.columns[0])
+    maps = ids.select(F.shiftright(p, 15).cast("int").alias("__bucket"), p.bitwiseAND(F.lit(32767)).alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    at = place(key)
+    byte = F.expr("cast(conv(hex(substring(__map, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    marked = df.withColumn("__bucket", F.shiftright(at, 15).cast("int")).withColumn("__bit", at.bitwiseAND(F.lit(32767)))
+    hit = marked.join(F.broadcast(maps), "__bucket").filter(byte.bitwiseAND(F.expr("cast(pow(2, __bit % 8) as int)")) != 0)
+    return hit.select(*df.columns)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+@contextmanager
+def no_collector():
+    """Without Python's cycle collector, which walks the long lists of words again and again; they have no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply a function to each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = fn(b)
+            with no_collector():
+                out = fn(b)
             if out is not None and out.num_rows:
                 yield out
 
     return df.mapInArrow(run, schema)
 
 
+_holders: list[tuple[str, Callable[[], None]]] = []
+_claimed = [""]
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Name the owner of what a worker process keeps between batches."""
+    _holders.append((owner, clear))
+
+
+def claim(owner: str) -> None:
+    """A worker serves one operator after the other: what the others have kept goes."""
+    if _claimed[0] != owner:
+        _claimed[0] = owner
+        for name, clear in _holders:
+            if name != owner:
+                clear()
+
+
 class Memo(dict):
     """A bounded memo: filled by ``make``, emptied when full, so that its size never follows the input."""
 
-    def __init__(self, make: Callable, limit: int = 700_000):
+    def __init__(self, make: Callable, limit: int = 700_000, owner: str = "words"):
         super().__init__()
         self.make, self.limit = make, limit
+        hold(owner, self.clear)
 
     def __missing__(self, key):
         if len(self) >= self.limit:
@@ -144,12 +197,13 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode())
 
 
-_word_hashes = Memo(_word_hash)
+_word_hashes = Memo(_word_hash, 150_000, "shingles")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(words: list[str], width: int = 5) -> np.ndarray:
     """64-bit hashes of all runs of ``width`` words, in order; of the whole sequence if it is shorter."""
+    claim("shingles")
     n = len(words)
     h = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, n)
     if not n:

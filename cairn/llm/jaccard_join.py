@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WorkTables, map_batches, prepare, shingle_hashes, text_of, words_of
+from .common import WorkTables, likely_in, map_batches, prepare, shingle_hashes, text_of, words_of
 from .components import components
 
 WIDTH = 5
@@ -115,77 +115,64 @@ def _sets(parts: int):
     return run
 
 
-def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """Consecutive slices of an array, given by their bytes."""
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-_SHARED = "slot bigint, n int, tokens binary, counts binary"
-
-
-def _shared(t: pa.Table) -> pa.Table:
-    """Of one range of hashes: each document's hashes that another has too, with their frequencies."""
-    tokens, slots, sizes = [], [], []
-    for r in t.select(["slot", "tokens", "counts", "sizes"]).to_pylist():
-        c = np.frombuffer(r["counts"], "<u4")
-        own = np.repeat(np.arange(len(c)), c)
-        tokens.append(np.frombuffer(r["tokens"], "<u8"))
-        slots.append(r["slot"] + own)
-        sizes.append(np.frombuffer(r["sizes"], "<u4")[own])
-    token, slot, size = np.concatenate(tokens), np.concatenate(slots), np.concatenate(sizes)
-    order = np.argsort(token, kind="stable")
-    begins = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) != 0]))
-    times = np.diff(np.append(begins, len(order)))
-    df = np.empty(len(order), np.uint32)
-    df[order] = np.repeat(times, times)
-    keep = np.flatnonzero(df > 1)
-    keep = keep[np.argsort(slot[keep], kind="stable")]
-    token, slot, size, df = token[keep], slot[keep], size[keep], df[keep]
-    begins = np.flatnonzero(np.concatenate([[True], np.diff(slot) != 0])) if len(slot) else np.zeros(0, int)
-    lengths = np.diff(np.append(begins, len(slot))).astype(np.int32)
-    return pa.table([pa.array(slot[begins]), pa.array(size[begins].astype(np.int32)), _binary(token, lengths * 8), _binary(df.astype("<u4"), lengths * 4)], [c.split()[0] for c in _SHARED.split(", ")])
+_SHARED = "part int, slots binary, sizes binary, lengths binary, tokens binary, counts binary"
+_RARE = "token bigint, n int, slot bigint"
 
 
-_RARE = "token bigint, n int, slot bigint"
+def _shared(parts: int):
+    """Of one range of hashes: each document's hashes that another has too, with their frequencies.
 
+    Documents are dealt out to ``parts`` rows, so the rows don't multiply with the ranges.
+    """
 
-def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by document: the rarest shared hashes of those that share enough."""
-    held: list = []  # rows of the last document, whose end is not yet seen
-    names = [c.split()[0] for c in _RARE.split(", ")]
+    def run(t: pa.Table) -> pa.Table:
+        tokens, slots, sizes = [], [], []
+        for r in t.select(["slot", "tokens", "counts", "sizes"]).to_pylist():
+            c = np.frombuffer(r["counts"], "<u4")
+            own = np.repeat(np.arange(len(c)), c)
+            tokens.append(np.frombuffer(r["tokens"], "<u8"))
+            slots.append(r["slot"] + own)
+            sizes.append(np.frombuffer(r["sizes"], "<u4")[own])
+        token, slot, size = np.concatenate(tokens), np.concatenate(slots), np.concatenate(sizes)
+        order = np.argsort(token, kind="stable")
+        begins = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) != 0]))
+        times = np.diff(np.append(begins, len(order)))
+        df = np.empty(len(order), np.uint32)
+        df[order] = np.repeat(times, times)
+        keep = np.flatnonzero(df > 1)
+        part = (slot[keep].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
+        keep = keep[np.lexsort((slot[keep], part))]
+        part = np.sort(part)
+        token, slot, size, df = token[keep], slot[keep], size[keep], df[keep].astype("<u4")
+        cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        rows = []
+        for p in range(parts):
+            a, b = cuts[p], cuts[p + 1]
+            if a == b:
+                continue
+            first = np.flatnonzero(np.concatenate([[True], np.diff(slot[a:b]) != 0]))
+            lengths = np.diff(np.append(first, b - a)).astype("<i4")
+            rows.append((p, slot[a:b][first].tobytes(), size[a:b][first].astype("<i4").tobytes(), lengths.tobytes(), token[a:b].tobytes(), df[a:b].tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.table([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], [c.split()[0] for c in _SHARED.split(", ")])
 
-    def close(slot: int, n: int, parts: list) -> tuple | None:
-        token = np.concatenate([np.frombuffer(p[0], "<u8") for p in parts])
-        most = int(needed(n))
-        if len(token) < most:
-            return None
-        df = np.concatenate([np.frombuffer(p[1], "<u4") for p in parts])
-        order = np.lexsort((token, df))[: len(token) - most + 1]
-        return token[order].view(np.int64), n, slot
+    return run
 
-    def emit(found: list) -> pa.RecordBatch:
-        count = [len(f[0]) for f in found]
-        return pa.record_batch([pa.array(np.concatenate([f[0] for f in found])), pa.array(np.repeat(np.array([f[1] for f in found], np.int32), count)), pa.array(np.repeat(np.array([f[2] for f in found], np.int64), count))], names)
 
-    for b in batches:
-        found = []
-        for slot, n, tokens, counts in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if held and held[0] != slot:
-                f = close(*held)
-                if f:
-                    found.append(f)
-                held = []
-            if not held:
-                held = [slot, n, []]
-            held[2].append((tokens, counts))
-        if found:
-            yield emit(found)
-    if held:
-        f = close(*held)
-        if f:
-            yield emit([f])
+def _rare(t: pa.Table) -> pa.Table:
+    """Of one part of the documents: the rarest shared hashes of those that share enough."""
+    read = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
+    lengths = np.concatenate(read("lengths", "<i4"))
+    slot, size = (np.repeat(np.concatenate(read(c, k)), lengths) for c, k in (("slots", "<i8"), ("sizes", "<i4")))
+    token, df = np.concatenate(read("tokens", "<u8")), np.concatenate(read("counts", "<u4"))
+    order = np.lexsort((token, df, slot))
+    slot, size, token = slot[order], size[order].astype(np.int64), token[order]
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(slot) != 0]))
+    held = np.diff(np.append(begins, len(slot)))
+    most = needed(size[begins])
+    place = np.arange(len(slot)) - np.repeat(begins, held)
+    keep = (place <= np.repeat(held - most, held)) & np.repeat(held >= most, held)
+    return pa.table([pa.array(token[keep].view(np.int64)), pa.array(size[keep].astype(np.int32)), pa.array(slot[keep])], [c.split()[0] for c in _RARE.split(", ")])
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +287,8 @@ def link(sets: list[np.ndarray], probes: list[bool] | None = None, stored: list[
     rank = np.empty(len(tokens), np.int64)
     rank[np.lexsort((tokens, -times))] = np.arange(len(tokens))
     cuts = np.cumsum([len(s) for s in sets])[:-1]
-    ranked = [np.sort(r).tolist() for r in np.split(rank[inverse], cuts)]
+    shared = list(range(len(tokens)))  # one object for each rank, however many sets have it
+    ranked = [list(map(shared.__getitem__, np.sort(r).tolist())) for r in np.split(rank[inverse], cuts)]
     trie = Trie(len(sets), percent)
     order = sorted(range(len(sets)), key=lambda i: (len(ranked[i]), i))
     if probes is None:
@@ -347,10 +335,11 @@ def join(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
     # equal sets: every document has the first one of its set
     classes = work.keep(rows.join(first, ["s1", "s2"], "left").select("slot", "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id"))).alias("first")), "classes")
 
-    shared = made.filter(F.col("kind") == 1).groupBy("pid").applyInArrow(_shared, _SHARED)
-    rare = shared.repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(_rare, _RARE)
+    shared = made.filter(F.col("kind") == 1).groupBy("pid").applyInArrow(_shared(parts), _SHARED)
+    rare = shared.groupBy("part").applyInArrow(_rare, _RARE)
     heads = work.keep(rare.repartition(parts, "token").sortWithinPartitions("token", "n", "slot").mapInArrow(_heads, _LINKS).distinct(), "heads")
     work.drop("sets")
+    work.release()
 
     of = lambda name: classes.filter(F.col("first").isNotNull()).select(F.col("slot").alias(name), F.col("first").alias(f"{name}_first"))
     joins = heads.join(of("u"), "u").join(of("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
@@ -358,7 +347,7 @@ def join(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
 
     # whole sets of the candidates, in chunks by size where a component is large
     count = groups.groupBy("group").agg(F.count("*").alias("members"))
-    chosen = source.join(groups, "doc_id").dropDuplicates(["doc_id"])
+    chosen = likely_in(source, "doc_id", groups.select("doc_id")).join(groups, "doc_id").dropDuplicates(["doc_id"])
 
     def read(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in b.column(2).to_pylist()]
@@ -370,6 +359,7 @@ def join(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
     big = big.withColumn("pieces", F.ceil(F.col("members") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.struct(F.least(F.col("chunk"), k).alias("a"), F.greatest(F.col("chunk"), k).alias("b")))
     big = big.withColumn("pair", F.explode(pair)).select("group", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "chunk", "doc_id", "tokens")
+    work.release()
     links = small.unionByName(big).groupBy("group", "a", "b").applyInArrow(_verify, _LINKS)
     roots = work.keep(components(links, work, "links"), "roots")
     work.drop("candidates", "heads", "groups")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, prepare, text_of
+from .common import claim, hold, map_batches, prepare, text_of
 
 PIECE = 24
 SAMPLE_DOCS = 2000
@@ -227,6 +227,11 @@ class Labeller:
         self.net = net
         self.row: dict[str, int] = {}
         self.sums = np.zeros((1024, len(net.languages) + 1), np.float32)
+        hold("language", self.clear)
+
+    def clear(self) -> None:
+        self.row.clear()
+        self.sums = self.sums[:1024].copy()
 
     def _add(self, words: list[str]) -> None:
         if len(self.row) + len(words) > MEMO_LIMIT:
@@ -287,6 +292,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
     key = net.V.tobytes()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        claim("language")
         if key not in _labellers:
             _labellers.clear()
             _labellers[key] = Labeller(net)
@@ -315,6 +321,7 @@ def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     where = docs.columns.index("text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        claim("language")
         if key not in _labellers:
             _labellers.clear()
             _labellers[key] = Labeller(net)

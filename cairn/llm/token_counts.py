@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_batches, prepare, text_of
+from .common import Memo, claim, map_batches, prepare, text_of
 
 SPACE = "▁"
 
@@ -39,7 +39,7 @@ class Pieces:
         self.rank = {sp.id_to_piece(i): order[sp.get_score(i)] for i in normal}
         self.cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.rank)
         self.parts = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
-        self.memo = Memo(self.merge)
+        self.memo = Memo(self.merge, 700_000, "pieces")
 
     def merge(self, text: str) -> int:
         """Initial symbols minus merges."""
@@ -85,6 +85,7 @@ _loaded: dict[str, Pieces] = {}
 
 
 def pieces(path: str) -> Pieces:
+    claim("pieces")
     if path not in _loaded:
         _loaded[path] = Pieces(path)
     return _loaded[path]
