@@ -15,6 +15,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,17 @@ def no_collector():
             gc.enable()
 
 
+def uncollected(run: Callable) -> Callable:
+    """A batch generator that runs without the cycle collector."""
+
+    @wraps(run)
+    def inner(batches):
+        with no_collector():
+            yield from run(batches)
+
+    return inner
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply a function to each Arrow batch."""
 
@@ -197,7 +209,7 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode())
 
 
-_word_hashes = Memo(_word_hash, 150_000, "shingles")
+_word_hashes = Memo(_word_hash, 250_000, "shingles")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 

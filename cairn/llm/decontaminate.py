@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shingle_hashes, text_of, words_of
+from .common import prepare, shingle_hashes, text_of, uncollected, words_of
 
 WIDTH = 5
 THRESHOLD = 0.75
@@ -137,7 +137,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_text: st
                     share = pa.array([r[2] / r[3] for r in rows], pa.float64())
                     yield pa.record_batch([*cols, share], [c.split()[0] for c in _SCHEMA.split(", ")])
 
-        found = source.mapInArrow(run, _SCHEMA)
+        found = source.mapInArrow(uncollected(run), _SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -154,7 +154,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array([not index.search(words_of(t)) for t in b.column(where).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(uncollected(run), docs.schema)
     return docs
 
 

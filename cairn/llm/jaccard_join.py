@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WorkTables, likely_in, map_batches, prepare, shingle_hashes, text_of, words_of
+from .common import WorkTables, likely_in, map_batches, prepare, shingle_hashes, uncollected, words_of
 from .components import components
 
 WIDTH = 5
@@ -328,7 +328,7 @@ def join(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select("doc_id", F.col(text).alias("text"))
 
-    made = work.keep(source.mapInArrow(_sets(parts), _SETS), "sets")
+    made = work.keep(source.mapInArrow(uncollected(_sets(parts)), _SETS), "sets")
     rows = made.filter(F.col("kind") == 0).select("slot", "doc_id", "n", "s1", "s2")
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     first = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
