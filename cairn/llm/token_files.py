@@ -25,17 +25,21 @@ ordered by text and stay separate documents; other columns are ignored; an empty
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, Memo, list_array, map_batches, prepare, text_of
+from .common import WORDS, Memo, ascii_lower, claim, list_array, no_collector, prepare, text_of
 
 BLOCK_TOKENS = 1 << 18
+#: New runs that are encoded as one text.
+GROUP = 24
 SCHEMA = "part int, block int, start bigint, n_tokens bigint, bits int, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
@@ -74,42 +78,108 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return ((value >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+def _lowered(text: str) -> str:
+    """The text, with A-Z lower where the library's result can't depend on it."""
+    if "<|" in text:
+        return text
+    if text.isascii():
+        return text.lower()
+    low = ascii_lower(text)
+    return low if is_normalized("NFC", text) and is_normalized("NFC", low) else text
+
+
+#: Marks that are a pre-token of their own after a letter (fixed values).
+PUNCTUATION = ".,;:!?"
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _is_word(run: str) -> bool:
+    """Lower-case Latin letters only, none of which can be composed or lowered."""
+    return _LATIN.fullmatch(run) is not None
+
+
 class WordTokenizer:
     """The tokenizers library behind a bounded memo of the runs between ASCII white space.
 
     The vocabulary's pre-tokens hold no white space and its normaliser joins nothing across it, so
-    the ids of a text are those of its runs in order. The runs that a batch adds are encoded in one call.
+    the ids of a text are those of its runs in order. It composes characters and then lower-cases, so
+    A-Z is lowered before the memo where there is nothing to compose and no special string.
+
+    Most new runs are one lower-case word of Latin letters, alone or with one mark of punctuation
+    after it. Such a word is one pre-token that no normaliser changes: the words go through the
+    library's model together, cut at white space only, and each ends at an id whose token has the
+    word-end suffix. All other new runs go through the whole tokenizer with a special string between them.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, separator: str = "<|endoftext|>"):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.memo = Memo(self._one)
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.library.model.end_of_word_suffix
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        for token, k in self.library.get_vocab().items():
+            self.ends[k] = token.endswith(suffix)
+        self.separator = f" {separator} "
+        self.separator_id = self.library.token_to_id(separator)
+        self.memo = Memo(self._one, 400_000, "word-bpe")
 
     def _one(self, run: str) -> bytes:
         return np.array(self.library.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [WORDS.findall(t) for t in texts]
+    def _ids(self, tokenizer, texts: list[str]) -> np.ndarray:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([np.array(e.ids, "<u4") for e in found]) if found else np.zeros(0, "<u4")
+
+    def _fill(self, runs: list[str], ids: np.ndarray, ends: np.ndarray, skip: int) -> None:
+        """Cut the ids of many runs; ``skip`` ids lie between two of them."""
+        memo, raw, start = self.memo, ids.tobytes(), 0
+        for r, end in zip(runs, ends.tolist(), strict=True):
+            memo[r] = raw[start : 4 * end]
+            start = 4 * (end + skip)
+
+    def _add(self, runs: set[str]) -> None:
         memo = self.memo
-        new = list({r for rs in runs for r in rs if r not in memo})
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            if len(memo) + len(some) > memo.limit:
-                memo.clear()
-            for r, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[r] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([memo[r] for r in rs]), "<u4") for rs in runs]
+        if len(memo) + 2 * len(runs) > memo.limit:
+            memo.clear()
+        pairs = [r for r in runs if r[-1] in PUNCTUATION and _is_word(r[:-1])]
+        words = [r for r in runs.difference(pairs).union([r[:-1] for r in pairs], PUNCTUATION) if r not in memo]
+        plain = [r for r in words if _is_word(r)]
+        ids = self._ids(self.words, [" ".join(plain[a : a + GROUP]) for a in range(0, len(plain), GROUP)])
+        self._fill(plain, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
+        other = [r for r in words if not _is_word(r) and "<|" not in r]
+        ids = self._ids(self.library, [self.separator.join([*other[a : a + GROUP], ""]) for a in range(0, len(other), GROUP)])
+        self._fill(other, ids, np.flatnonzero(ids == self.separator_id), 1)
+        for r in pairs:
+            memo[r] = memo[r[:-1]] + memo[r[-1]]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        with no_collector():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        runs = [WORDS.findall(_lowered(t)) for t in texts]
+        found = [list(map(self.memo.get, rs)) for rs in runs]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
+        new = {rs[i] for rs, g in zip(runs, gaps, strict=True) for i in g}
+        if new:
+            self._add(new)
+            memo = self.memo
+            for rs, f, g in zip(runs, found, gaps, strict=True):
+                for i in g:
+                    f[i] = memo[rs[i]]
+        return [np.frombuffer(b"".join(f), "<u4") for f in found]
 
 
 _loaded: dict[str, WordTokenizer] = {}
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
+    claim("word-bpe")
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
