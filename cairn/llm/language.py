@@ -227,7 +227,6 @@ class Labeller:
         self.net = net
         self.row: dict[str, int] = {}
         self.sums = np.zeros((1024, len(net.languages) + 1), np.float32)
-        hold("language", self.clear)
 
     def clear(self) -> None:
         self.row.clear()
@@ -281,6 +280,7 @@ class Labeller:
 
 
 _labellers: dict[bytes, Labeller] = {}
+hold("language", lambda: [x.clear() for x in _labellers.values()])
 
 
 def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
