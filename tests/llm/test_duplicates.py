@@ -221,6 +221,40 @@ def test_verify_insertion():
     assert first[1] >= 0 and 0.75 <= best[1] < 1 and first[2] == last[2] == -1
 
 
+def around_anchor(h, c):
+    row = np.zeros(2 * substrings.LENGTH - 1, np.uint32)
+    substrings._place(row, h.astype(np.uint32), 0, c)
+    return row
+
+
+def brute_match(a, b, ca, cb):
+    n = substrings.LENGTH
+    near = lambda h, c: [set(h[s : s + n].tolist()) for s in range(max(0, c - n + 1), min(c, len(h) - n) + 1)]
+    return max((len(p & q) / len(p | q) for p in near(a, ca) for q in near(b, cb)), default=0.0)
+
+
+@pytest.mark.parametrize("size", range(50, 56))
+def test_verify_edited_short_documents(size):
+    """One word put in or left out of a document with room for few starts, against all pairs of passages."""
+    r, lost, wanted = random.Random(size), 0, 0
+    for trial in range(60):
+        words = prose(size, 40_000 + 100 * size + trial)
+        at = r.randrange(1, size)
+        other = words[:at] + ["added"] + words[at:] if trial % 2 or size == 50 else words[:at] + words[at + 1 :]
+        a, b = (shingle_hashes(words_of(lines(w))).astype(np.uint32) for w in (words, other))
+        ca = r.choice([i for i, v in enumerate(a.tolist()) if v in set(b.tolist())])
+        cb = b.tolist().index(a[ca])
+        best = brute_match(a, b, ca, cb)
+        first, _, got = substrings.verify_all(around_anchor(a, ca)[None], around_anchor(b, cb)[None])
+        if best >= 0.75:
+            wanted += 1
+            lost += first[0] < 0
+            assert first[0] < 0 or got[0] <= best + 1e-9
+        else:
+            assert first[0] == -1
+    assert wanted > 30 and lost == 0
+
+
 # pipeline
 
 
