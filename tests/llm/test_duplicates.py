@@ -255,6 +255,41 @@ def test_verify_edited_short_documents(size):
     assert wanted > 30 and lost == 0
 
 
+def test_substrings_exact_around_hot_phrase(spark):
+    """Each repeated run of 50 words is covered, though many documents hold a shorter phrase of it."""
+    rows, pairs = [], []
+    for g in range(12):
+        phrase = prose(42, 60_000 + g)
+        before, after = prose(4, 61_000 + g), prose(4, 62_000 + g)
+        for m in range(40):
+            inside = before + phrase + after if m in (17, 33) else phrase
+            i = 100 * g + m
+            rows.append((i, lines(prose(40 + m, 63_000 + i) + inside + prose(45, 73_000 + i))))
+        pairs.append((100 * g + 17, 100 * g + 33))
+    random.Random(3).shuffle(rows)
+    found = substrings.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), WorkTables(spark, "t")).collect()
+    words = {d: words_of(t) for d, t in rows}
+    by = defaultdict(list)
+    for r in found:
+        by[frozenset((r.doc_id, r.match_id))].append(r)
+    for a, b in pairs:
+        rs = by[frozenset((a, b))]
+        assert len(rs) == 1 and rs[0].similarity == 1.0
+        start = 40 + rs[0].doc_id % 100
+        assert rs[0].start_word <= start and rs[0].end_word >= start + 50
+        assert words[a][57:107] == words[b][73:123]
+
+
+def test_runs_of():
+    g = np.random.default_rng(9)
+    h = g.integers(0, 1 << 63, 150).astype(np.uint64)
+    h[90:140] = h[10:60]
+    run, low = substrings.runs_of(h)
+    assert len(run) == 150 - substrings.LENGTH + 1 and len(set(run.tolist())) == len(run) - 5
+    assert (run[90:95] == run[10:15]).all()
+    assert low.tolist() == [int(substrings.mixed(h[s : s + substrings.LENGTH], 0).min()) for s in range(len(run))]
+
+
 # pipeline
 
 
