@@ -86,6 +86,7 @@ def _sets(parts: int):
             docs, rows = b.num_rows, []
             sizes, sent, tokens = np.zeros(docs, np.uint32), np.zeros(docs, np.int64), []
             sums = np.zeros((docs, 2), np.int64)
+            ids = b.column(0).to_pylist()
             for i, t in enumerate(b.column(1).to_pylist()):
                 h = shingle_set(t)
                 sizes[i] = len(h)
@@ -93,7 +94,7 @@ def _sets(parts: int):
                     continue
                 digest = xxhash.xxh3_128_digest(h.tobytes())
                 sums[i] = np.frombuffer(digest, "<i8")
-                if digest not in seen:
+                if ids[i] is not None and digest not in seen:
                     seen.add(digest)
                     some = h[: prefix_length(len(h))]
                     sent[i] = len(some)

@@ -83,6 +83,14 @@ def test_join_in_chunks(spark, monkeypatch):
     check_join(spark, [(i, lines(mutated(base, i % 7, i))) for i in range(80)])
 
 
+def test_join_null_id_ahead(spark):
+    base = prose(120, 21)
+    rows = [(None, lines(base)), (1, lines(base)), (2, lines(mutated(base, 2, 8)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(df, WorkTables(spark, "t")).collect()}
+    assert got == {None: None, 1: 1, 2: 1}
+
+
 def test_trie_against_all_pairs():
     g = np.random.default_rng(2)
     sets = [np.unique(g.choice(60, g.integers(3, 25))).astype(np.uint64) for _ in range(150)]
