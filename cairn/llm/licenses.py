@@ -14,6 +14,7 @@ adds nothing; repeated rows and null ``doc_id`` are kept; other columns of the i
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,12 +130,17 @@ def evaluate(tokens: list[str]) -> tuple[float, set[str]] | None:
 def expression_at(line: str) -> tuple[float, set[str]] | None:
     """The longest prefix of the line's tokens that is an expression; prose may follow it."""
     tokens = tokens_of(line)
-    cut = len(tokens)
-    for i in range(1, len(tokens)):  # two operands in a row: the expression ended before the second
-        if tokens[i] not in _BINDS and tokens[i] != ")" and tokens[i - 1] not in _BINDS and tokens[i - 1] != "(":
-            cut = i
+    cuts, operand, depth = [], True, 0
+    for i, t in enumerate(tokens):
+        if operand != (t not in _BINDS and t != ")") or (t == ")" and not depth):
             break
-    return evaluate(tokens[:cut]) if cut else None
+        operand = t in _BINDS or t == "("
+        depth += (t == "(") - (t == ")")
+        if not operand and not depth:
+            cuts.append(i + 1)
+    # what one prefix can't evaluate (a "with" of many), longer ones can't either
+    cut = bisect_left(cuts, True, key=lambda n: evaluate(tokens[:n]) is None)
+    return evaluate(tokens[: cuts[cut - 1]]) if cut else None
 
 
 _automata: list = []

@@ -95,6 +95,12 @@ def test_license_binding():
     assert licenses.expression_at(" MIT and then some prose") == (0.5, {"mit", "then"})
 
 
+@pytest.mark.parametrize("line, want", [(" MIT)", {"mit"}), (" MIT OR", {"mit"}), (" (MIT OR ISC) AND (", {"mit", "isc"}), (" MIT OR (ISC AND", {"mit"}), (" )", None), (" OR MIT", None), (" MIT ISC", {"mit"})])
+def test_license_longest_prefix(line, want):
+    found = licenses.expression_at(line)
+    assert (found and found[1]) == want
+
+
 def test_license_tags_and_overlaps():
     got = licenses.scan("// SPDX-License-Identifier: MIT OR Apache-2.0\nunder the MIT license under the mit license version 2")
     assert got[1] == 2 and got[5] == "apache-2.0,mit"
