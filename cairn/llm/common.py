@@ -1,13 +1,13 @@
 """Plumbing shared by the training-data operators.
 
 Work tables go to the folder that ``spark.checkpoint.dir`` names, the only place that every
-executor and the driver can see; a temporary folder is made only where that setting is absent.
+executor and the driver can see. A temporary folder is made only where that setting is absent and
+all of Spark runs on this machine (as in tests); on a cluster its absence is an error.
 """
 
 from __future__ import annotations
 
 import gc
-import io
 import os
 import re
 import tempfile
@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; documents can be long, so batches are short.
+#: Rows and bytes of one Arrow batch; a longer document is a batch of its own.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 #: ASCII white space of the word and line contracts.
 BLANK = " \t\n\v\f\r"
@@ -33,8 +34,10 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the batch size and give executors this package, once for each application."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound Arrow batches, where the session says nothing itself, and give executors this package, once for each application."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not spark.conf._jconf.contains(f"spark.sql.execution.arrow.{name}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
@@ -57,18 +60,38 @@ def work_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder for work tables")
         base = "file://" + tempfile.mkdtemp(prefix="cairn-work-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_collected: list[list[WorkTables]] = []
+
+
+@contextmanager
+def collecting():
+    """The work tables begun inside, so that who writes a result can clear() them afterwards."""
+    _collected.append([])
+    try:
+        yield _collected[-1]
+    finally:
+        _collected.pop()
+
+
 class WorkTables:
-    """Tables written to the shared folder, so that lost executors lose no work; drop() deletes them."""
+    """Tables written to the shared folder, so that lost executors lose no work.
+
+    A result may be read from them until it is written; then clear() deletes what is left, drop() some.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: list[str] = []
+        for made in _collected:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -87,11 +110,15 @@ class WorkTables:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            self._delete(self.path(name))
+
+    def clear(self) -> None:
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Bits of the bitmap of ``likely_in``: 4 MB whatever the input.
@@ -203,37 +230,115 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall(ascii_lower(text)) if text else []
 
 
-def _word_hash(word: str) -> int:
+_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in one array and where each begins (one more than texts); null is empty."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or at[0] == at[-1]:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and byte after the last of every word, and the number of words of each text."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
+    word = ~_SPACE[data]
+    some = at[:-1] < at[1:]
+    edge, end = at[:-1][some], at[1:][some] - 1
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    begins[edge] = word[edge]
+    ends[:-1] &= ~word[1:]
+    ends[end] = word[end]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(ends) + 1, np.diff(np.searchsorted(starts, at))
+
+
+def _finish(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= _MULTIPLY
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span after lower-casing A-Z: eight bytes at a time, all spans at once."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(word.encode())
+    low = np.zeros(len(data) + 8, np.uint8)
+    np.take(_LOWER, data, out=low[: len(data)])
+    eight = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))
+    length = ends - starts
+    h = length.astype(np.uint64)
+    h *= _MULTIPLY
+    some: np.ndarray | slice = slice(None)
+    for k in range(0, _LONG, 8):
+        if k:
+            some = np.flatnonzero(length > k)
+            if not len(some):
+                break
+        x = eight[starts[some] + k]
+        x &= _MASK[np.minimum(length[some] - k, 8)]
+        x ^= h[some]
+        h[some] = _finish(x)
+    for i in np.flatnonzero(length > _LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(low[starts[i] : ends[i]].tobytes())
+    return h
+
+
+def hash_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, in order, and the number of words of each text."""
+    data, at = text_bytes(texts)
+    starts, ends, counts = word_spans(data, at)
+    return hash_spans(data, starts, ends), counts
+
+
+def hash_runs(h: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of ``width`` words of each text, in order, and their number; of the whole sequence if it is shorter."""
+    first = np.cumsum(counts) - counts
+    n = len(h)
+    padded = np.concatenate([h, np.zeros(width, np.uint64)])
+
+    def rolled(at: np.ndarray | slice, w: int) -> np.ndarray:
+        out = padded[:n][at].copy()
+        for k in range(1, w):
+            out ^= out >> np.uint64(29)
+            out *= _MULTIPLY
+            out += padded[k : n + k][at]
+        out ^= out >> np.uint64(32)
+        out *= _MULTIPLY
+        return out
 
+    out = rolled(slice(None), width)
+    for m in range(1, width):
+        short = first[counts == m]
+        if len(short):
+            out[short] = rolled(short, m)
+    lengths = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+    keep = np.arange(n) - np.repeat(first, counts) < np.repeat(lengths, counts)
+    return out[keep], lengths
 
-_word_hashes = Memo(_word_hash, 250_000, "shingles")
-_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+
+def shingles_of(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
+    """For each text the hashes of its runs of ``width`` words."""
+    h, lengths = hash_runs(*hash_words(texts), width)
+    return np.split(h, np.cumsum(lengths)[:-1]) if len(lengths) else []
 
 
 def shingle_hashes(words: list[str], width: int = 5) -> np.ndarray:
-    """64-bit hashes of all runs of ``width`` words, in order; of the whole sequence if it is shorter."""
-    claim("shingles")
-    n = len(words)
-    h = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, n)
-    if not n:
-        return h
-    w = min(width, n)
-    out = h[: n - w + 1].copy()
-    for k in range(1, w):
-        out ^= out >> np.uint64(29)
-        out *= _MULTIPLY
-        out += h[k : n - w + 1 + k]
-    out ^= out >> np.uint64(32)
-    out *= _MULTIPLY
-    return out
-
-
-def pack_bytes(*parts: bytes) -> bytes:
-    out = io.BytesIO()
-    for p in parts:
-        out.write(len(p).to_bytes(8, "little"))
-        out.write(p)
-    return out.getvalue()
+    """As ``shingles_of`` for a list of words."""
+    return shingles_of(pa.array([" ".join(words)], pa.string()), width)[0]

@@ -8,16 +8,30 @@ from pyspark.sql import functions as F
 from .common import WorkTables
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+#: Hubs are nodes of more than a ``HUBS``-th of all link ends, so there are never more than ``HUBS`` of them.
+HUBS = 10_000
+#: Fewer ends are no hub, whatever the share.
+LEAST_HUB = 500
+
+
+def _with_least(links: DataFrame, least: DataFrame, count: int) -> DataFrame:
+    """Every link with its ``u``'s ``m``. Links of hubs aren't shuffled: their least nodes, at most ``HUBS`` rows, are broadcast."""
+    most = max(LEAST_HUB, count // HUBS)
+    hubs = F.broadcast(least.filter(F.col("ends") > most).select("u", "m"))
+    few = least.filter(F.col("ends") <= most).select("u", "m")
+    return links.join(hubs, "u", "left_anti").join(few, "u").unionByName(links.join(hubs, "u"))
+
+
+def _large_star(links: DataFrame, count: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("ends"))
+    return _with_least(both, least, 2 * count).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, count: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("ends"))
+    moved = _with_least(down, least, count).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -35,8 +49,9 @@ def components(links: DataFrame, work: WorkTables, name: str) -> DataFrame:
     current = work.keep(links.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     state, k = _state(current), 0
     while state[0]:
-        after = work.keep(_small_star(_large_star(current).distinct()).distinct(), f"{name}-{k + 1}")
-        work.drop(f"{name}-{k}")
+        large = work.keep(_large_star(current, state[0]).distinct(), f"{name}-{k}-large")
+        after = work.keep(_small_star(large, state[0]).distinct(), f"{name}-{k + 1}")
+        work.drop(f"{name}-{k}", f"{name}-{k}-large")
         k += 1
         current, before, state = after, state, _state(after)
         if state == before:

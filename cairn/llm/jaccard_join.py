@@ -16,13 +16,16 @@ different sets is lost:
 4. **Tries.** In each component, sets are ordered by one global order (frequent first, then hash) and
    stored in a radix trie. A probe walks it, sharing the overlap of common beginnings, and leaves a
    subtree when the sizes below it, the misses so far or the rest of the probe are too little, or
-   when all sets below are in its own component already. Components of more than ``CHUNK`` documents are cut
-   into chunks by size, and pairs of chunks go to tasks of their own, so no task holds an unbounded group.
+   when all sets below are in its own component already. Components of more than ``CHUNK_BYTES`` of hashes
+   are cut into classes by set size, linked sets being in the same or in neighbouring classes, and classes
+   into chunks of that many bytes; pairs of chunks that can link go to tasks of their own, so no task
+   holds an unbounded group.
 5. Components of the verified links, spread to equal sets.
 
 Defined cases: a document without words (or with a null text) has an empty set, links with nothing and is
 its own component; shorter texts than five words are one shingle; a null ``doc_id`` links with nothing and
-has a null component; rows that repeat an id and a text are one document; other columns are ignored by
+has a null component; rows that repeat an id are one document, which links with all that any of its texts
+links with, and each row has its own text's ``n_shingles``; other columns are ignored by
 ``join`` and kept by ``keep_first``; an empty table gives an empty table.
 """
 
@@ -36,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WorkTables, likely_in, map_batches, prepare, shingle_hashes, uncollected, words_of
+from .common import WorkTables, likely_in, map_batches, prepare, shingles_of, uncollected
 from .components import components
 
 WIDTH = 5
 PERCENT = 75
-CHUNK = 20_000
+CHUNK_BYTES = 8 << 20
+#: Size classes grow by this factor; it is over 100 / PERCENT, so linked sets are at most one class apart.
+STEP = 1.35
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -63,8 +68,10 @@ def needed(n, percent: int = PERCENT):
     return spare(least_overlap(n, percent), percent)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(words_of(text), WIDTH))
+def digest_of(hashes: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 _SETS = "kind int, slot bigint, doc_id bigint, n int, s1 bigint, s2 bigint, pid int, tokens binary, counts binary, sizes binary"
@@ -72,8 +79,6 @@ _SETS = "kind int, slot bigint, doc_id bigint, n int, s1 bigint, s2 bigint, pid
 
 def _sets(parts: int):
     """Rows of kind 0, one for each document, and of kind 1, prefixes dealt out by hash."""
-    import xxhash
-
     names = [c.split()[0] for c in _SETS.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -87,12 +92,12 @@ def _sets(parts: int):
             sizes, sent, tokens = np.zeros(docs, np.uint32), np.zeros(docs, np.int64), []
             sums = np.zeros((docs, 2), np.int64)
             ids = b.column(0).to_pylist()
-            for i, t in enumerate(b.column(1).to_pylist()):
-                h = shingle_set(t)
-                sizes[i] = len(h)
+            for i, h in enumerate(shingles_of(b.column(1), WIDTH)):
                 if not len(h):
                     continue
-                digest = xxhash.xxh3_128_digest(h.tobytes())
+                h = np.unique(h)
+                sizes[i] = len(h)
+                digest = digest_of(h)
                 sums[i] = np.frombuffer(digest, "<i8")
                 if ids[i] is not None and digest not in seen:
                     seen.add(digest)
@@ -346,35 +351,64 @@ def join(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
     joins = heads.join(of("u"), "u").join(of("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
     groups = work.keep(components(joins, work, "joins").select(F.col("node").alias("doc_id"), F.col("root").alias("group")), "groups")
 
-    # whole sets of the candidates, in chunks by size where a component is large
-    count = groups.groupBy("group").agg(F.count("*").alias("members"))
-    chosen = likely_in(source, "doc_id", groups.select("doc_id")).join(groups, "doc_id").dropDuplicates(["doc_id"])
+    # whole sets of the candidates; rows that share an id have a set each
+    chosen = likely_in(source, "doc_id", groups.select("doc_id")).join(groups, "doc_id")
 
     def read(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t) for t in b.column(2).to_pylist()]
-        return pa.record_batch([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "group", "n", "tokens"])
-
-    sets = work.keep(map_batches(chosen.select("doc_id", "group", "text"), read, "doc_id bigint, group bigint, n int, tokens binary"), "candidates")
-    small = sets.join(count.filter(F.col("members") <= CHUNK), "group").select("group", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("chunk"), "doc_id", "tokens")
-    big = sets.join(count.filter(F.col("members") > CHUNK), "group")
-    big = big.withColumn("pieces", F.ceil(F.col("members") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.struct(F.least(F.col("chunk"), k).alias("a"), F.greatest(F.col("chunk"), k).alias("b")))
-    big = big.withColumn("pair", F.explode(pair)).select("group", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "chunk", "doc_id", "tokens")
+        sets = [np.unique(h) for h in shingles_of(b.column(2), WIDTH)]
+        sums = np.array([np.frombuffer(digest_of(s), "<i8") for s in sets], np.int64).reshape(-1, 2)
+        cols = [b.column(0), b.column(1), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        return pa.record_batch(cols, ["doc_id", "group", "s1", "s2", "n", "tokens"])
+
+    sets = map_batches(chosen.select("doc_id", "group", "text"), read, "doc_id bigint, group bigint, s1 bigint, s2 bigint, n int, tokens binary")
+    sets = work.keep(sets.filter(F.col("n") > 0).dropDuplicates(["doc_id", "s1", "s2"]).drop("s1", "s2"), "candidates")
     work.release()
-    links = small.unionByName(big).groupBy("group", "a", "b").applyInArrow(_verify, _LINKS)
-    roots = work.keep(components(links, work, "links"), "roots")
+    links = _in_chunks(sets).groupBy("group", "a", "b").applyInArrow(_verify, _LINKS)
+    # a document that is in several classes of equal sets joins them
+    several = classes.filter(F.col("first").isNotNull()).groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter(F.col("low") < F.col("high")).select(F.col("doc_id").alias("u"))
+    same = several.join(classes.select(F.col("doc_id").alias("u"), F.col("first").alias("v")), "u").filter(F.col("v").isNotNull())
+    roots = work.keep(components(links.unionByName(same), work, "links"), "roots")
     work.drop("candidates", "heads", "groups")
     return classes.join(roots, classes["first"] == roots["node"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "first").alias("component_id"))
 
 
+def _in_chunks(sets: DataFrame) -> DataFrame:
+    """Sets with ``group``, the pair of chunks ``a, b`` that a task compares and the ``chunk`` the set is in.
+
+    A chunk is a size class of a group or a salted part of one, numbered ``class << 32 | salt``; small groups are one chunk.
+    """
+    bytes_ = F.octet_length("tokens")
+    sets = sets.withColumn("class", F.floor(F.log("n") / F.lit(float(np.log(STEP)))).cast("long"))
+    total = sets.groupBy("group").agg(F.sum(bytes_).alias("total"))
+    large = total.filter(F.col("total") > CHUNK_BYTES).select("group")
+    small = sets.join(large, "group", "left_anti").select("group", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("chunk"), "doc_id", "tokens")
+    big = sets.join(large, "group", "left_semi")
+    parts = big.groupBy("group", "class").agg(F.ceil(F.sum(bytes_) / CHUNK_BYTES).cast("long").alias("salts"))
+    near = parts.select("group", F.col("class").alias("next"), F.col("salts").alias("next_salts"))
+    of = parts.join(near.withColumn("class", F.col("next") - 1).drop("next"), ["group", "class"], "left")
+    below = near.withColumn("class", F.col("next") + 1).select("group", "class", F.col("next_salts").alias("last_salts"))
+    of = of.join(below, ["group", "class"], "left")
+    big = big.join(of, ["group", "class"]).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.col("salts")))
+    chunk = lambda c, salt: F.shiftleft(c, 32) + salt
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    own = chunk(F.col("class"), F.col("salt"))
+    pairs = F.concat(
+        F.transform(upto(F.col("salts")), lambda k: F.struct(F.least(own, chunk(F.col("class"), k)).alias("a"), F.greatest(own, chunk(F.col("class"), k)).alias("b"))),
+        F.transform(upto(F.col("next_salts")), lambda k: F.struct(own.alias("a"), chunk(F.col("class") + 1, k).alias("b"))),
+        F.transform(upto(F.col("last_salts")), lambda k: F.struct(chunk(F.col("class") - 1, k).alias("a"), own.alias("b"))),
+    )
+    big = big.withColumn("chunk", own).withColumn("pair", F.explode(pairs))
+    return small.unionByName(big.select("group", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "chunk", "doc_id", "tokens"))
+
+
 def keep_first(docs: DataFrame, work: WorkTables) -> DataFrame:
-    """The rows, with all their columns, that are the first of their component or have a null id.
+    """The rows, with all their columns, of documents that are the first of their component, and those with a null id.
 
-    Of rows that share an id one stays.
+    Rows that share an id are one document: all its different texts stay, of rows with equal texts one.
     """
-    first = join(docs, work).filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    known = docs.join(first, docs["doc_id"] == first["__first"], "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter(F.col("doc_id").isNull()))
+    first = join(docs, work).filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
+    known = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return known.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def sql() -> str:
