@@ -13,11 +13,12 @@ has a block of its own):
     payload  binary       ids, little-endian bit order, ``bits`` bits each, padded to 8 bytes
 
 Id ``k`` of a block lies at bit ``k * bits``, so ``unpack`` reads any slice without what precedes
-it, and the block rows' statistics on ``part`` and ``start`` lead a reader to the block.
+it, and the block rows' statistics on ``part`` and ``start`` lead a reader to the block: ``read_range``
+fetches any stretch of the whole stream from the blocks that hold it.
 
 Writing is one range shuffle of the texts; the file commit is Spark's, so lost executors and
 repeated tasks leave no half-written or doubled blocks. Only the sums of the parts, one row for each
-file, come to the driver.
+file, come to the driver. Texts are encoded some megabytes and blocks read one at a time.
 
 Defined cases: a null or empty text has the end id only; null ``doc_id`` comes first; equal ids are
 ordered by text and stay separate documents; other columns are ignored; an empty table writes no block.
@@ -25,21 +26,22 @@ ordered by text and stay separate documents; other columns are ignored; an empty
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, Memo, ascii_lower, claim, list_array, no_collector, prepare, text_of
+from .common import claim, list_array, no_collector, prepare, text_bytes, text_of
 
 BLOCK_TOKENS = 1 << 18
 #: New runs that are encoded as one text.
-GROUP = 24
+GROUP = 200
+#: Bytes of the texts that are encoded together; a longer one is encoded alone.
+ENCODE_BYTES = 4 << 20
 SCHEMA = "part int, block int, start bigint, n_tokens bigint, bits int, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
@@ -78,37 +80,29 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return ((value >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def _lowered(text: str) -> str:
-    """The text, with A-Z lower where the library's result can't depend on it."""
-    if "<|" in text:
-        return text
-    if text.isascii():
-        return text.lower()
-    low = ascii_lower(text)
-    return low if is_normalized("NFC", text) and is_normalized("NFC", low) else text
-
-
 #: Marks that are a pre-token of their own after a letter (fixed values).
 PUNCTUATION = ".,;:!?"
-_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: One word of Latin letters, alone or with one mark after it.
+_WORD = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[{PUNCTUATION}]?$"
 
 
-def _is_word(run: str) -> bool:
-    """Lower-case Latin letters only, none of which can be composed or lowered."""
-    return _LATIN.fullmatch(run) is not None
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all members of stretches, one stretch after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class WordTokenizer:
-    """The tokenizers library behind a bounded memo of the runs between ASCII white space.
+    """The tokenizers library, asked once for each distinct run between ASCII white space of some texts.
 
     The vocabulary's pre-tokens hold no white space and its normaliser joins nothing across it, so
-    the ids of a text are those of its runs in order. It composes characters and then lower-cases, so
-    A-Z is lowered before the memo where there is nothing to compose and no special string.
+    the ids of a text are those of its runs in order. Arrow splits the texts and numbers their
+    distinct runs; numpy puts the runs' ids in the texts' order. Nothing is kept from batch to batch.
 
-    Most new runs are one lower-case word of Latin letters, alone or with one mark of punctuation
-    after it. Such a word is one pre-token that no normaliser changes: the words go through the
+    Most runs are one word of Latin letters, alone or with one mark of punctuation after it. Such a word
+    is one pre-token which the normaliser only lowers: the distinct words go through the
     library's model together, cut at white space only, and each ends at an id whose token has the
-    word-end suffix. All other new runs go through the whole tokenizer with a special string between them.
+    word-end suffix. All other runs go through the whole tokenizer with a special string between them.
     """
 
     def __init__(self, path: str, separator: str = "<|endoftext|>"):
@@ -126,53 +120,97 @@ class WordTokenizer:
             self.ends[k] = token.endswith(suffix)
         self.separator = f" {separator} "
         self.separator_id = self.library.token_to_id(separator)
-        self.memo = Memo(self._one, 400_000, "word-bpe")
+        marks = [self._one(m) for m in PUNCTUATION]
+        self.mark_ids = np.concatenate(marks)
+        self.mark_sizes = np.array([len(m) for m in marks])
+        self.mark_of = np.full(256, -1)
+        self.mark_of[list(PUNCTUATION.encode())] = np.arange(len(marks))
 
-    def _one(self, run: str) -> bytes:
-        return np.array(self.library.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+    def _one(self, run: str) -> np.ndarray:
+        return np.array(self.library.encode(run, add_special_tokens=False).ids, "<u4")
 
-    def _ids(self, tokenizer, texts: list[str]) -> np.ndarray:
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> np.ndarray:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return np.concatenate([np.array(e.ids, "<u4") for e in found]) if found else np.zeros(0, "<u4")
 
-    def _fill(self, runs: list[str], ids: np.ndarray, ends: np.ndarray, skip: int) -> None:
-        """Cut the ids of many runs; ``skip`` ids lie between two of them."""
-        memo, raw, start = self.memo, ids.tobytes(), 0
-        for r, end in zip(runs, ends.tolist(), strict=True):
-            memo[r] = raw[start : 4 * end]
-            start = 4 * (end + skip)
-
-    def _add(self, runs: set[str]) -> None:
-        memo = self.memo
-        if len(memo) + 2 * len(runs) > memo.limit:
-            memo.clear()
-        pairs = [r for r in runs if r[-1] in PUNCTUATION and _is_word(r[:-1])]
-        words = [r for r in runs.difference(pairs).union([r[:-1] for r in pairs], PUNCTUATION) if r not in memo]
-        plain = [r for r in words if _is_word(r)]
-        ids = self._ids(self.words, [" ".join(plain[a : a + GROUP]) for a in range(0, len(plain), GROUP)])
-        self._fill(plain, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
-        other = [r for r in words if not _is_word(r) and "<|" not in r]
-        ids = self._ids(self.library, [self.separator.join([*other[a : a + GROUP], ""]) for a in range(0, len(other), GROUP)])
-        self._fill(other, ids, np.flatnonzero(ids == self.separator_id), 1)
-        for r in pairs:
-            memo[r] = memo[r[:-1]] + memo[r[-1]]
+    def _words(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and the number of each word's."""
+        ids = self._ids(self.words, [" ".join(stems[a : a + GROUP]) for a in range(0, len(stems), GROUP)])
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def _others(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any runs, and the number of each run's."""
+        special = {i: self._one(r) for i, r in enumerate(runs) if "<|" in r}
+        plain = ["" if i in special else r for i, r in enumerate(runs)] if special else runs
+        ids = self._ids(self.library, [self.separator.join([*plain[a : a + GROUP], ""]) for a in range(0, len(plain), GROUP)])
+        stops = np.flatnonzero(ids == self.separator_id)
+        sizes = np.diff(stops, prepend=-1) - 1
+        ids = np.delete(ids, stops)
+        if special:
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, found in special.items():
+                parts[i], sizes[i] = found, len(found)
+            ids = np.concatenate(parts)
+        return ids, sizes
+
+    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct runs, and the number of each run's."""
+        if not len(runs):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        simple = pc.match_substring_regex(runs, _WORD)
+        is_word = simple.to_numpy(zero_copy_only=False)
+        words = runs.filter(simple)
+        stems = pc.utf8_lower(pc.utf8_rtrim(words, characters=PUNCTUATION)).dictionary_encode()
+        stem_ids, stem_sizes = self._words(stems.dictionary.to_pylist())
+        other_ids, other_sizes = self._others(runs.filter(pc.invert(simple)).to_pylist())
+        which = stems.indices.to_numpy()
+        data, at = text_bytes(words)
+        mark = self.mark_of[data[at[1:] - 1]] if len(words) else np.zeros(0, np.int64)
+        marked = mark >= 0
+        own = stem_sizes[which] if len(which) else np.zeros(0, np.int64)
+        sizes = np.zeros(len(runs), np.int64)
+        sizes[is_word] = own + np.where(marked, self.mark_sizes[mark], 0)
+        sizes[~is_word] = other_sizes
+        starts = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), "<u4")
+        begins = starts[is_word]
+        out[places(begins, own)] = stem_ids[places((np.cumsum(stem_sizes) - stem_sizes)[which], own)]
+        mark = mark[marked]
+        out[places((begins + own)[marked], self.mark_sizes[mark])] = self.mark_ids[places((np.cumsum(self.mark_sizes) - self.mark_sizes)[mark], self.mark_sizes[mark])]
+        out[places(starts[~is_word], other_sizes)] = other_ids
+        return out, sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids, counts = self.encode_array(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of each text's ids."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        runs = pc.ascii_split_whitespace(texts.fill_null("") if texts.null_count else texts)
+        at = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+        numbered = runs.flatten().dictionary_encode()
         with no_collector():
-            return self._encode(texts)
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [WORDS.findall(_lowered(t)) for t in texts]
-        found = [list(map(self.memo.get, rs)) for rs in runs]
-        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
-        new = {rs[i] for rs, g in zip(runs, gaps, strict=True) for i in g}
-        if new:
-            self._add(new)
-            memo = self.memo
-            for rs, f, g in zip(runs, found, gaps, strict=True):
-                for i in g:
-                    f[i] = memo[rs[i]]
-        return [np.frombuffer(b"".join(f), "<u4") for f in found]
+            ids, sizes = self._runs(numbered.dictionary)
+        which = numbered.indices.to_numpy()
+        each = sizes[which]
+        return ids[places((np.cumsum(sizes) - sizes)[which], each)], np.diff(np.concatenate([[0], np.cumsum(each)])[at])
+
+
+def some_texts(texts: pa.Array, most: int = ENCODE_BYTES) -> Iterator[pa.Array]:
+    """The texts in stretches of at most so many bytes, or of one text."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy()
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > most:
+            yield texts.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if len(texts) > start:
+        yield texts.slice(start)
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -197,7 +235,8 @@ def blocks_of(docs: DataFrame, path: str, end_id: int, text: str = "text", parts
         part = TaskContext.get().partitionId()
         tokens = word_tokenizer(path)
         bits = width_of(tokens.library.get_vocab_size())
-        end = np.array([end_id], "<u4")
+        narrow = "<u2" if bits <= 16 else "<u4"  # of what waits for its block to be full
+        end = np.array([end_id], narrow)
         ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         block = start = size = 0
@@ -208,14 +247,17 @@ def blocks_of(docs: DataFrame, path: str, end_id: int, text: str = "text", parts
             return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for b in batches:
-            for doc, found in zip(b.column(0).to_pylist(), tokens.encode(b.column(1).to_pylist()), strict=True):
-                if size and size + len(found) + 1 > BLOCK_TOKENS:
-                    yield close()
-                    block, start, size = block + 1, start + size, 0
-                    ids, doc_ids = [], []
-                ids.append(np.concatenate([found, end]))
-                doc_ids.append(doc)
-                size += len(found) + 1
+            names = iter(b.column(0).to_pylist())
+            for texts in some_texts(b.column(1)):
+                flat, counts = tokens.encode_array(texts)
+                for found in np.split(flat, np.cumsum(counts)[:-1]):
+                    if size and size + len(found) + 1 > BLOCK_TOKENS:
+                        yield close()
+                        block, start, size = block + 1, start + size, 0
+                        ids, doc_ids = [], []
+                    ids.append(np.concatenate([found.astype(narrow), end]))
+                    doc_ids.append(next(names))
+                    size += len(found) + 1
         if ids:
             yield close()
 
@@ -251,26 +293,59 @@ def checksums(spark: SparkSession, target: str) -> DataFrame:
     return _documents(spark, target, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint", _checksums)
 
 
-def _documents(spark: SparkSession, target: str, schema: str, make) -> DataFrame:
-    prepare(spark)
-    blocks = read_blocks(spark, target)
+def _before(blocks: DataFrame) -> dict[int, int]:
+    """For each part the ids of all parts before it."""
     before, total = {}, 0
     for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row for each file
         before[r.part] = total
         total += r.n
+    return before
+
+
+def read_range(spark: SparkSession, target: str, start: int, count: int) -> DataFrame:
+    """``at, ids``: ids ``start`` to ``start + count`` of the whole stream, a row for each block that holds some of them.
+
+    Only blocks that hold some are read, and of those only the slices are unpacked.
+    """
+    prepare(spark)
+    blocks, stop = read_blocks(spark, target), start + count
+    before = _before(blocks)
+    parts = sorted(before)
+    ends = {p: before[q] for p, q in zip(parts, parts[1:], strict=False)}
+    holding = None
+    for p in [p for p in parts if before[p] < stop and ends.get(p, stop) >= start]:
+        first = F.col("start") + F.lit(before[p])
+        some = blocks.filter((F.col("part") == p) & (F.col("start") < stop - before[p]) & (F.col("start") + F.col("n_tokens") > start - before[p]))
+        some = some.select(first.alias("at"), "n_tokens", "bits", "payload")
+        holding = some if holding is None else holding.unionByName(some)
+    if holding is None:
+        return spark.createDataFrame([], "at bigint, ids array<bigint>")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                at, n, bits = (b.column(k)[i].as_py() for k in range(3))
+                low, high = max(start, at), min(stop, at + n)
+                ids = unpack(b.column(3)[i].as_buffer(), bits, low - at, high - low).astype(np.int64)
+                yield pa.record_batch([pa.array([low]), list_array(ids, [len(ids)], pa.int64())], ["at", "ids"])
+
+    return holding.mapInArrow(each, "at bigint, ids array<bigint>")
+
+
+def _documents(spark: SparkSession, target: str, schema: str, make) -> DataFrame:
+    prepare(spark)
+    blocks = read_blocks(spark, target)
+    before = _before(blocks)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for r in b.to_pylist():
-            lengths = np.array(r["lengths"], np.int64)
-            starts = before[r["part"]] + r["start"] + np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            ids = unpack(r["payload"], r["bits"], 0, r["n_tokens"])
-            out.append(pa.record_batch(make(pa.array(r["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), ids, lengths), [c.split()[0] for c in schema.split(", ")]))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                yield run(b.slice(i, 1))
+                part, start, n, bits = (b.column(k)[i].as_py() for k in range(4))
+                lengths = b.column(5)[i].values.to_numpy().astype(np.int64)
+                starts = before[part] + start + np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                ids = unpack(b.column(6)[i].as_buffer(), bits, 0, n)
+                yield pa.record_batch(make(b.column(4)[i].values, pa.array(starts, pa.int64()), ids, lengths), names)
 
     return blocks.select("part", "start", "n_tokens", "bits", "doc_ids", "lengths", "payload").mapInArrow(each, schema)
