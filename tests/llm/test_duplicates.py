@@ -78,9 +78,27 @@ def test_join_hot_passage_and_chain(spark):
 
 
 def test_join_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "CHUNK", 10)
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 8_000)
     base = prose(120, 9)
-    check_join(spark, [(i, lines(mutated(base, i % 7, i))) for i in range(80)])
+    rows = [(i, lines(mutated(base, i % 7, i))) for i in range(80)]
+    # a chain of growing texts crosses the size classes
+    check_join(spark, rows + [(100 + i, lines(base[: 60 + 3 * i])) for i in range(20)])
+
+
+def test_size_classes_are_neighbours():
+    n = np.arange(1, 20_000)
+    cls = np.floor(np.log(n) / np.log(jaccard_join.STEP))
+    assert (np.abs(cls - np.floor(np.log(jaccard_join.least_overlap(n)) / np.log(jaccard_join.STEP))) <= 1).all()
+
+
+def test_join_repeated_ids(spark):
+    base, other = prose(60, 31), prose(60, 32)
+    rows = [(1, lines(base)), (2, lines([*base, "q"])), (2, lines(other)), (3, lines([*other, "q"])), (5, lines(prose(60, 33))), (5, lines([*base, "q"])), (6, lines(prose(60, 34))), (6, lines(prose(60, 34)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = jaccard_join.join(df, WorkTables(spark, "t")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((d, len(set(shingle_hashes(words_of(t)).tolist())), 6 if d == 6 else 1) for d, t in rows)
+    kept = jaccard_join.keep_first(df, WorkTables(spark, "t")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted({(d, t) for d, t in rows if d in (1, 6)})
 
 
 def test_join_null_id_ahead(spark):
@@ -130,7 +148,7 @@ def test_keep_first(spark, awkward, work):
 
 def test_components(spark, work):
     r = random.Random(4)
-    links = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1200)]
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1200)] + [(3000, 2000 + i) for i in range(700)]
     got = {x.node: x.root for x in components(spark.createDataFrame(links, "u bigint, v bigint"), work, "c").collect()}
     root = {}
 
@@ -298,6 +316,135 @@ def test_runs_of():
     assert low.tolist() == [int(substrings.mixed(h[s : s + substrings.LENGTH], 0).min()) for s in range(len(run))]
 
 
+def brute_passages(rows):
+    """For each two documents whether passages of both are alike, by the sets of all their runs of LENGTH shingles."""
+    n, sets = substrings.LENGTH, {}
+    every = {v: i for i, v in enumerate(sorted({x for _, t in rows for x in shingle_hashes(words_of(t)).tolist()}))}
+    for d, t in rows:
+        h = [every[x] for x in shingle_hashes(words_of(t)).tolist()]
+        if len(h) >= n:
+            sets[d] = [frozenset(h[s : s + n]) for s in range(len(h) - n + 1)]
+    everything = {d: frozenset().union(*s) for d, s in sets.items()}
+    out = set()
+    for a in sets:
+        for b in sets:
+            if a < b and len(everything[a] & everything[b]) >= n // 2:
+                common = everything[a] & everything[b]
+                some = [p for p in sets[a] if len(p & common) >= n // 2]
+                if any(100 * len(p & q) >= 75 * len(p | q) for p in some for q in sets[b]):
+                    out.add((a, b))
+    return out
+
+
+def test_aligned():
+    """The bound by places is at most the similarity of the sets, and equal to it where nothing repeats."""
+    g = np.random.default_rng(3)
+    n = substrings.LENGTH
+    lengths = np.array([140, 60, n, 20])
+    x = g.integers(0, 25, lengths.sum()).astype(np.uint64)
+    x[:140] = np.arange(140) + 100
+    x[150:190] = 7
+    y = x.copy()
+    y[[5, 70, 71, 72, 160, 205]] = 99
+    got = substrings.aligned(x, y, lengths)
+    edge = 0
+    for size in lengths.tolist():
+        for s in range(size):
+            p, q = (set(v[edge + s : edge + s + n].tolist()) for v in (x, y))
+            similar = len(p & q) / len(p | q)
+            if s + n > size:
+                assert got[edge + s] == 0
+            else:
+                assert got[edge + s] <= similar + 1e-9
+                if len(p) == len(q) == n:
+                    assert got[edge + s] == pytest.approx(similar if similar >= 0.75 else 0)
+        edge += size
+    assert (got > 0).sum() > 50
+    assert substrings.distinct_counts(x[:200], np.repeat([0, 1], [140, 60]))[[0, 140]].tolist() == [n, len(set(x[140 : 140 + n].tolist()))]
+
+
+def test_substrings_recall(spark):
+    """Near repeats, some around phrases that many documents hold, against all passages of all documents."""
+    r, rows = random.Random(17), []
+    for g in range(6):
+        phrase = prose(30, 90_000 + g)
+        passages = [prose(12, 91_000 + 10 * g + k) + phrase + prose(14, 92_000 + 10 * g + k) for k in range(3)]
+        for m in range(24):
+            i = 100 * g + m
+            inside = list(passages[m % 3]) if m < 12 else phrase
+            if m < 12 and m % 2:
+                inside[r.randrange(len(inside))] = "edited"
+            if m < 12 and m % 4 == 3:
+                inside.insert(r.randrange(10), "added")
+            rows.append((i, lines(prose(r.randint(20, 60), 93_000 + i) + inside + prose(r.randint(20, 60), 94_000 + i))))
+    wanted = brute_passages(rows)
+    found = substrings.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), WorkTables(spark, "t")).collect()
+    got = {(min(x.doc_id, x.match_id), max(x.doc_id, x.match_id)) for x in found}
+    assert len(wanted) > 80 and got <= wanted
+    # a link counts if the documents are joined, directly or through others
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in got:
+        root[find(a)] = find(b)
+    linked = sum(find(a) == find(b) for a, b in wanted) / len(wanted)
+    alone = {d for p in wanted for d in p}
+    assert linked >= 0.9 and len({d for p in got for d in p}) >= 0.95 * len(alone)
+
+
+def test_substrings_small_rounds_and_salts(spark, monkeypatch):
+    """Pieces of trees, crowded documents and meetings in many steps give what one of each gives."""
+    rows, _ = planted(5, 80)
+    copy = prose(90, 77)
+    rows += [(1000 + i, lines(prose(20, 600 + i) + mutated(copy, i % 2, i) + prose(30, 700 + i))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    key = lambda r: (r.doc_id, r.match_id, r.start_word, r.end_word, r.match_start, r.similarity)
+    whole = sorted(map(key, substrings.passages(df, WorkTables(spark, "t")).collect()))
+    flagged = {d for r in whole for d in r[:2]}
+    assert {1000 + i for i in range(60)} <= flagged
+    monkeypatch.setattr(substrings, "SALT", 7)
+    assert sorted(map(key, substrings.passages(df, WorkTables(spark, "t")).collect())) == whole
+
+
+def test_meeting_in_steps():
+    """Held windows meet later ones as if all came at once."""
+    g = np.random.default_rng(8)
+    tokens = [np.concatenate([g.integers(1, 1 << 60, 40), np.arange(200, 290), g.integers(1, 1 << 60, 30)]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(30)]
+    rec = substrings.window_records(tokens, list(range(30)))
+    rec = rec[np.argsort(rec["own"], kind="stable")]
+    whole = substrings.Meeting().add(rec, rec["own"].astype(np.int64))
+    steps, parts = substrings.Meeting(), []
+    for d in range(0, 30, 4):
+        some = rec[(rec["own"] >= d) & (rec["own"] < d + 4)]
+        parts.append(steps.add(some, some["own"].astype(np.int64)))
+    assert len(steps.rec) < len(rec)
+    assert sorted(map(tuple, np.concatenate(parts).tolist())) == sorted(map(tuple, whole.tolist()))
+
+
+def test_windows_in_pieces(monkeypatch):
+    """Every passage lies in one window of its min-hash, however the document is cut."""
+    h = np.random.default_rng(4).integers(0, 1 << 63, 700).astype(np.uint64)
+    monkeypatch.setattr(substrings, "ROUND", 150)
+    rec = substrings.window_records([h[:30], h], [0, 1])
+    n = substrings.LENGTH
+    for k in range(substrings.HASHES):
+        v = substrings.mixed(h, k)
+        mine = rec[(rec["own"] == 1) & (rec["hash"] == k)]
+        for s in range(len(h) - n + 1):
+            assert (((mine["l"] <= s) & (mine["r"] >= s + n - 1)) & (mine["value"] == v[s : s + n].min())).sum() == 1
+
+
+def test_substrings_repeated_ids(spark):
+    shared, other = prose(70, 81), prose(70, 82)
+    rows = [(1, lines(prose(30, 1) + shared)), (1, lines(prose(30, 2) + other)), (2, lines(prose(50, 3) + shared)), (3, lines(prose(50, 4) + other)), (4, lines(prose(90, 5))), (4, lines(prose(90, 5))), (5, lines(shared[:49]))]
+    found = substrings.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), WorkTables(spark, "t")).collect()
+    assert {frozenset((r.doc_id, r.match_id)) for r in found} == {frozenset((1, 2)), frozenset((1, 3))}
+
+
 # pipeline
 
 
