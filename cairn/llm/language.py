@@ -1,191 +1,238 @@
-"""Language ID: a bidirectional gated recurrent network over bytes, trained in numpy.
-
-The network reads the UTF-8 bytes of each run of letters (lower case, in pieces of at most
-``PIECE`` bytes, the state starting anew at each) forwards and backwards, labels every byte with
-probabilities of the languages, and a document's probability is the mean over all its bytes.
-Because a run's labels depend on the run alone, their sums are memoised with a bound: whole texts
-are read, but a word that comes again costs one look-up.
-
-Training: backpropagation through time with Adam, fixed seeds, on a bounded sample: about
-``SAMPLE_DOCS`` documents chosen by a hash of their text, and up to ``SAMPLE_WORDS`` runs at even
-steps over the whole of each. Rows with a null ``lang`` or a held-out ``doc_id`` are never learned from.
-
-Defined cases: a null text or one without a letter gets ``und`` and score 0; a null ``doc_id``
-counts as held out; a table without rows to learn from predicts ``und`` for all; equal
-probabilities go to the language that sorts first; repeated rows are predicted one by one; other
-columns are ignored by ``predict`` and kept by ``keep_known``.
+"""Language ID: a bidirectional gated recurrent network over a document's bytes, trained in numpy.
+
+The network reads the UTF-8 bytes of a whole text (A-Z in lower case, all else as it is) forwards and
+backwards, labels every byte with probabilities of the languages, and a document's probability is the
+mean over all its bytes. Both directions step together: the state ``h`` holds one half for each, and
+
+    a = W[byte] + h U          W has a row for each byte, U a block for each direction
+    z, c = (1 + s(a_z)) / 2, s(a_c)          s(x) = x / (1 + |x|)
+    h = h + z (c - h)          z is the update gate, c the candidate
+    p = softmax(forward h at the byte . V_f + backward h at the byte . V_b + d)
+
+So that memory is bounded and many bytes are labelled at once, a text is run in pieces of ``PIECE``
+bytes which begin ``RUN_UP`` bytes before and end ``RUN_UP`` bytes after the bytes that they label: each
+direction's state has read at least that much of the text, or all there is, before it labels.
+
+Training: backpropagation through time with Adam, fixed seeds, on a bounded sample: about ``SAMPLE_DOCS``
+documents of each language, chosen by a hash of their id and text, read whole, and from all of their bytes
+``SAMPLE_PIECES`` stretches drawn at random. Rows with a null ``lang`` or a held-out ``doc_id``, and texts without a
+letter, are never learned from.
+
+Defined cases: a null text or one without a letter (Unicode category L) gets ``und`` and score 0; a null
+``doc_id`` counts as held out; a table without rows to learn from predicts ``und`` for all, and ``keep_known``
+then rejects only what has no letter; equal probabilities go to the language that sorts first; repeated rows are
+predicted one by one; other columns are ignored by ``predict`` and kept by ``keep_known``; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, hold, map_batches, prepare, text_of
-
-PIECE = 24
-SAMPLE_DOCS = 2000
-SAMPLE_WORDS = 40
-HIDDEN = 16
-EMBED = 12
+from .common import map_batches, prepare, text_bytes
+
+PIECE = 512
+RUN_UP = 64
+#: Pieces that run together.
+ROWS = 512
+#: Documents of each language that are learned from, about.
+SAMPLE_DOCS = 100
+#: Stretches of the sampled documents in an epoch, and bytes of each.
+SAMPLE_PIECES = 12_000
+SAMPLE_BYTES = 96
+EPOCHS = 3
+HIDDEN = 8
 FOLDS = 5
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
-MEMO_LIMIT = 600_000
+LETTER = regex.compile(r"\p{L}")
+_PAD = 256
+_LOWER = np.arange(257, dtype=np.int16)
+_LOWER[65:91] += 32
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.clip(x, -30, 30, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _soft(x: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|) in place."""
+    np.abs(x, out=room)
+    room += 1
+    x /= room
+    return x
 
 
 class Network:
-    """Weights of both directions and of the label layer."""
+    """Weights of both directions and of the label layer.
+
+    Columns of ``W`` and ``U``: gates forwards and backwards, candidates forwards and backwards. The row for
+    padding shuts both gates, so that a state stays 0 until its text begins.
+    """
 
-    NAMES = ("E", "Wf", "Uf", "bf", "Wb", "Ub", "bb", "V", "c")
+    NAMES = ("W", "U", "V", "d")
 
-    def __init__(self, languages: list[str], seed: int = 7, hidden: int = HIDDEN, embed: int = EMBED):
+    def __init__(self, languages: list[str], seed: int = 7, hidden: int = HIDDEN):
         g = np.random.default_rng(seed)
-        scale = lambda *s: (g.standard_normal(s) * s[0] ** -0.5).astype(np.float32)
         self.languages, self.hidden = list(languages), hidden
-        n = len(languages)
-        self.E = (g.standard_normal((257, embed)) * 0.5).astype(np.float32)  # row 256: padding
-        self.Wf, self.Uf, self.bf = scale(embed, 3 * hidden), scale(hidden, 3 * hidden), np.zeros(3 * hidden, np.float32)
-        self.Wb, self.Ub, self.bb = scale(embed, 3 * hidden), scale(hidden, 3 * hidden), np.zeros(3 * hidden, np.float32)
-        self.V, self.c = scale(2 * hidden, n), np.zeros(n, np.float32)
-
-    def _run(self, steps: np.ndarray, mask: np.ndarray, W, U, b, trace: bool):
-        """States after each step; steps: time x rows x embedding, mask: time x rows x 1."""
-        H = self.hidden
-        T, B, _ = steps.shape
-        inputs = steps @ W + b
-        h = np.zeros((B, H), np.float32)
-        states = np.empty((T, B, H), np.float32)
-        kept = []
+        h, n = hidden, len(languages)
+        self.W = (g.standard_normal((257, 4 * h)) * 0.7).astype(np.float32)
+        self.W[:, : 2 * h] -= 0.7  # gates begin rather shut: memory is long
+        self.W[_PAD, : 2 * h] = -1e9
+        self.U = (g.standard_normal((2 * h, 4 * h)) * h**-0.5).astype(np.float32)
+        self.V, self.d = (g.standard_normal((2 * h, n)) * h**-0.5).astype(np.float32), np.zeros(n, np.float32)
+        self.ways = np.tile(np.repeat([True, False], h), 2)  # columns that read forwards
+        self.U[self.ways != np.tile(np.repeat([True, False], h), 1)[:, None]] = 0
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(self.ways, self.W, 0).astype(self.W.dtype), np.where(self.ways, 0, self.W).astype(self.W.dtype)
+
+    def states(self, ids: np.ndarray, trace: list | None = None) -> np.ndarray:
+        """States after each step, time x rows x both halves; at a step the halves are at opposite places of a row."""
+        T, B = ids.shape
+        k, kind = 2 * self.hidden, self.W.dtype
+        ahead, back = self._tables()
+        h, out = np.zeros((B, k), kind), np.empty((T, B, k), kind)
+        a, b, room = (np.empty((B, 2 * k), kind) for _ in range(3))
         for t in range(T):
-            x = inputs[t]
-            gates = _sigmoid(x[:, : 2 * H] + h @ U[:, : 2 * H])
-            z, r = gates[:, :H], gates[:, H:]
-            q = r * h
-            c = np.tanh(x[:, 2 * H :] + q @ U[:, 2 * H :])
-            new = h + z * (c - h)
-            new = np.where(mask[t], new, h)
-            if trace:
-                kept.append((h, z, r, q, c))
-            states[t] = h = new
-        return states, kept
-
-    def _back(self, steps, mask, W, U, kept, grad_states):
-        """Gradients by going back through time."""
-        H = self.hidden
-        T, B, D = steps.shape
-        dW, dU, db = np.zeros_like(W), np.zeros_like(U), np.zeros(3 * H, np.float32)
-        dsteps = np.zeros_like(steps)
-        dh = np.zeros((B, H), np.float32)
-        for t in range(T - 1, -1, -1):
-            h, z, r, q, c = kept[t]
-            dh = dh + grad_states[t]
-            live = dh * mask[t]
-            rest = dh - live
-            dc = live * z * (1 - c * c)
-            dz = live * (c - h) * z * (1 - z)
-            dq = dc @ U[:, 2 * H :].T
-            dr = dq * h * r * (1 - r)
-            da = np.concatenate([dz, dr, dc], axis=1)
-            dU[:, : 2 * H] += h.T @ da[:, : 2 * H]
-            dU[:, 2 * H :] += q.T @ dc
-            dW += steps[t].T @ da
-            db += da.sum(0)
-            dsteps[t] = da @ W.T
-            dh = rest + live * (1 - z) + dq * r + da[:, : 2 * H] @ U[:, : 2 * H].T
-        return dW, dU, db, dsteps
-
-    @staticmethod
-    def _softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(-1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(-1, keepdims=True)
-        return x
-
-    def _forward(self, ids: np.ndarray, mask: np.ndarray, trace: bool = False):
-        steps = self.E[ids]
-        m = mask[:, :, None]
-        f, kf = self._run(steps, m, self.Wf, self.Uf, self.bf, trace)
-        b, kb = self._run(steps[::-1], m[::-1], self.Wb, self.Ub, self.bb, trace)
-        both = np.concatenate([f, b[::-1]], axis=2)
-        return steps, m, both, kf, kb, self._softmax(both @ self.V + self.c)
-
-    def loss_and_gradients(self, ids: np.ndarray, mask: np.ndarray, labels: np.ndarray):
-        """Mean cross-entropy over positions and its gradient for each weight."""
-        steps, m, both, kf, kb, p = self._forward(ids, mask, True)
-        H, n = self.hidden, max(1.0, float(mask.sum()))
-        picked = np.take_along_axis(p, np.broadcast_to(labels[None, :, None], (*p.shape[:2], 1)), 2)
-        loss = float(-(np.log(np.maximum(picked, 1e-12)) * m).sum() / n)
-        d = p.copy()
-        np.put_along_axis(d, np.broadcast_to(labels[None, :, None], (*p.shape[:2], 1)), picked - 1, 2)
-        d *= m / n
-        flat = d.reshape(-1, d.shape[2])
-        dV, dc = both.reshape(-1, 2 * H).T @ flat, flat.sum(0)
-        dboth = d @ self.V.T
-        dWf, dUf, dbf, s1 = self._back(steps, m, self.Wf, self.Uf, kf, dboth[:, :, :H])
-        dWb, dUb, dbb, s2 = self._back(steps[::-1], m[::-1], self.Wb, self.Ub, kb, dboth[::-1, :, H:])
-        dE = np.zeros_like(self.E)
-        np.add.at(dE, ids.ravel(), (s1 + s2[::-1]).reshape(-1, self.E.shape[1]))
-        return loss, dict(zip(self.NAMES, (dE, dWf, dUf, dbf, dWb, dUb, dbb, dV, dc), strict=True))
-
-    def label(self, pieces: list[bytes]) -> np.ndarray:
-        """Sums over each piece's bytes of the languages' probabilities."""
-        out = np.zeros((len(pieces), len(self.languages)), np.float32)
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        for a in range(0, len(order), 2048):
-            some = order[a : a + 2048]
-            ids, mask = batch_of([pieces[i] for i in some])
-            out[some] = (self._forward(ids, mask)[-1] * mask[:, :, None]).sum(0)
+            np.take(ahead, ids[t], axis=0, out=a, mode="clip")
+            np.take(back, ids[T - 1 - t], axis=0, out=b, mode="clip")
+            a += b
+            np.matmul(h, self.U, out=b)
+            a += b
+            _soft(a, room)
+            z = a[:, :k] * 0.5
+            z += 0.5
+            step = a[:, k:] - h
+            if trace is not None:
+                trace.append((h.copy(), a.copy(), z, step.copy()))
+            step *= z
+            h += step
+            out[t] = h
         return out
 
-
-def batch_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Time x rows: byte values, padded with 256, and the mask of real bytes."""
-    longest = max(map(len, pieces))
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    raw = np.frombuffer(b"".join(p.ljust(longest, b"\0") for p in pieces), np.uint8).reshape(len(pieces), longest).T
-    mask = np.arange(longest)[:, None] < lengths[None, :]
-    return np.where(mask, raw, 256).astype(np.int64), mask.astype(np.float32)
-
-
-def pieces_of(word: str) -> list[bytes]:
-    raw = word.encode()
-    return [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+    def probabilities(self, states: np.ndarray) -> np.ndarray:
+        """Of each place's languages: time x rows x languages."""
+        h = self.hidden
+        p = states[:, :, :h] @ self.V[:h]
+        p += states[::-1, :, h:] @ self.V[h:]
+        p += self.d
+        p -= p.max(-1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(-1, keepdims=True)
+        return p
+
+    def loss_and_gradients(self, ids: np.ndarray, labels: np.ndarray):
+        """Mean cross-entropy over the places that aren't padding, and its gradient for each weight."""
+        T, B = ids.shape
+        h, k = self.hidden, 2 * self.hidden
+        trace: list = []
+        states = self.states(ids, trace)
+        p = self.probabilities(states)
+        real = (ids != _PAD)[:, :, None]
+        n = max(1, int(real.sum()))
+        at = np.broadcast_to(labels[None, :, None], (T, B, 1))
+        loss = float(-(np.log(np.maximum(np.take_along_axis(p, at, 2), 1e-12)) * real).sum() / n)
+        np.put_along_axis(p, at, np.take_along_axis(p, at, 2) - 1, 2)
+        p *= real / p.dtype.type(n)
+        flat = p.reshape(-1, p.shape[2])
+        dV = np.concatenate([states[:, :, :h].reshape(-1, h).T @ flat, states[::-1, :, h:].reshape(-1, h).T @ flat])
+        dd = flat.sum(0)
+        dstates = np.concatenate([p @ self.V[:h].T, (p @ self.V[h:].T)[::-1]], axis=2)
+        dU, da = np.zeros_like(self.U), np.empty((T, B, 2 * k), p.dtype)
+        dh = np.zeros((B, k), p.dtype)
+        for t in range(T - 1, -1, -1):
+            before, a, z, step = trace[t]
+            dh += dstates[t]
+            d = da[t]
+            np.multiply(dh, step, out=d[:, :k])
+            d[:, :k] *= 0.5
+            np.multiply(dh, z, out=d[:, k:])
+            slope = 1 - np.abs(a)
+            slope *= slope
+            d *= slope
+            dU += before.T @ d
+            dh *= 1 - z
+            dh += d @ self.U.T
+        dU[self.U == 0] = 0
+        dW = np.zeros_like(self.W)
+        np.add.at(dW, ids.ravel(), np.where(self.ways, da, 0).reshape(-1, 2 * k))
+        np.add.at(dW, ids[::-1].ravel(), np.where(self.ways, 0, da).reshape(-1, 2 * k))
+        dW[_PAD] = 0
+        return loss, dict(zip(self.NAMES, (dW, dU, dV, dd), strict=True))
+
+    def pooled(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each text, which lie one after the other, the mean over its bytes of the languages' probabilities (0 if it is empty)."""
+        data, n = _LOWER[data], np.diff(at)
+        doc = np.repeat(np.arange(len(n)), -(-n // PIECE))
+        first = at[:-1][doc] + PIECE * (np.arange(len(doc)) - np.searchsorted(doc, doc))  # of the bytes that are labelled
+        last = np.minimum(first + PIECE, at[1:][doc])
+        begin, end = np.maximum(first - RUN_UP, at[:-1][doc]), np.minimum(last + RUN_UP, at[1:][doc])
+        order = np.argsort(end - begin, kind="stable")
+        sums = np.zeros((len(n), len(self.languages)))
+        for k in range(0, len(order), ROWS):
+            some = order[k : k + ROWS]
+            T = int((end - begin)[some].max())
+            place = begin[some] + np.arange(T)[:, None]
+            inside = place < end[some]
+            ids = np.where(inside, data[np.minimum(place, len(data) - 1)], _PAD).astype(np.intp)
+            p = self.probabilities(self.states(ids))
+            p *= ((place >= first[some]) & (place < last[some]))[:, :, None]
+            np.add.at(sums, doc[some], p.sum(0, dtype=np.float64))
+        return sums / np.maximum(n, 1)[:, None]
+
+    def predict(self, texts: pa.Array) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        known = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+        some = texts.filter(pa.array(known))
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        if len(some):
+            p = self.pooled(*text_bytes(some))
+            for i, k, v in zip(np.flatnonzero(known).tolist(), p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
+                out[i] = self.languages[k], min(1.0, v)
+        return out
 
 
-def train(pieces: list[bytes], labels: list[int], languages: list[str], epochs: int = 3, rows: int = 512, rate: float = 0.01, seed: int = 7) -> Network:
+def pieces_of(texts: list[bytes], labels: list[int], g: np.random.Generator, count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``size`` bytes drawn over all bytes of the texts (time x rows, shorter texts padded), and their labels."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+    at = np.cumsum(lengths) - lengths
+    # languages in turn, so that a language of short texts is learned as well
+    y = np.array(labels, np.int64)
+    doc = np.zeros(count, np.int64)
+    kinds = np.unique(y)
+    for j, kind in enumerate(kinds.tolist()):
+        own = np.flatnonzero(y == kind)
+        turn = np.arange(j, count, len(kinds))
+        doc[turn] = g.choice(own, len(turn), p=lengths[own] / lengths[own].sum())
+    start = (g.random(count) * np.maximum(lengths[doc] - size + 1, 1)).astype(np.int64)
+    place = start + np.arange(size)[:, None]
+    inside = place < lengths[doc]
+    return np.where(inside, data[np.minimum(at[doc] + place, len(data) - 1)], _PAD).astype(np.intp), y[doc]
+
+
+def train(texts: list[bytes], labels: list[int], languages: list[str], epochs: int = EPOCHS, pieces: int = SAMPLE_PIECES, rows: int = 96, rate: float = 0.02, seed: int = 7) -> Network:
     net = Network(languages, seed)
     g = np.random.default_rng(seed)
-    y = np.array(labels, np.int64)
     first = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
     second = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
-    step, total = 0, epochs * -(-len(pieces) // rows)
+    step, total = 0, epochs * -(-pieces // rows)
     for _ in range(epochs):
-        order = g.permutation(len(pieces))
-        for a in range(0, len(order), rows):
+        ids, y = pieces_of(texts, labels, g, pieces, SAMPLE_BYTES)
+        order = g.permutation(pieces)
+        for a in range(0, pieces, rows):
             some = order[a : a + rows]
-            ids, mask = batch_of([pieces[i] for i in some])
-            _, grads = net.loss_and_gradients(ids, mask, y[some])
+            _, grads = net.loss_and_gradients(ids[:, some], y[some])
             norm = np.sqrt(sum(float((d * d).sum()) for d in grads.values()))
             clip = min(1.0, 1.0 / max(norm, 1e-9))
             step += 1
-            now = rate * (1 - 0.9 * step / total)
+            now = rate * (1 - 0.95 * step / total)
             for k, d in grads.items():
                 d = d * clip
                 first[k] += 0.1 * (d - first[k])
@@ -195,113 +242,31 @@ def train(pieces: list[bytes], labels: list[int], languages: list[str], epochs:
     return net
 
 
-def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Network | None:
-    """The network learned from a bounded sample; None if nothing can be learned from."""
-    rows = docs.select("doc_id", F.col(text).alias("text"), "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    known = rows.groupBy().agg(F.count("*").alias("n")).first().n
-    if not known:
+def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Network | None:
+    """The network learned from about ``sample_docs`` documents of each language; None if nothing can be learned from."""
+    rows = docs.select("doc_id", F.col(text).alias("text"), "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    if not counts:
         return None
     steps = 1 << 30
-    share = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(steps)) < int(min(1.0, sample_docs / known) * steps))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
-    share = share.select("lang", words.alias("w")).filter(F.size("w") > 0)
-    share = share.select("lang", F.filter("w", lambda x, i: i % F.ceil(F.size("w") / F.lit(sample_words)) == 0).alias("w"))
-    got = sorted((r.lang, list(r.w)) for r in share.limit(2 * sample_docs).collect())
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, sample_docs / n) * steps))])
+    chosen = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(steps)) < share[F.col("lang")])
+    got = sorted((r.lang, r.text.encode()) for r in chosen.select("lang", "text").collect())
     if not got:
         return None
     languages = sorted({lang for lang, _ in got})
-    number = {lang: i for i, lang in enumerate(languages)}
-    pieces, labels = [], []
-    for lang, ws in got:
-        for w in ws:
-            for p in pieces_of(w):
-                pieces.append(p)
-                labels.append(number[lang])
-    return train(pieces, labels, languages)
-
-
-class Labeller:
-    """A network with the memo of its sums: a table of rows that grows to a bound and then starts anew."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.row: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(net.languages) + 1), np.float32)
-
-    def clear(self) -> None:
-        self.row.clear()
-        self.sums = self.sums[:1024].copy()
-
-    def _add(self, words: list[str]) -> None:
-        if len(self.row) + len(words) > MEMO_LIMIT:
-            self.row.clear()
-        owners, pieces = [], []
-        for k, w in enumerate(words):
-            for p in pieces_of(w):
-                owners.append(k)
-                pieces.append(p)
-        got = self.net.label(pieces)
-        table = np.zeros((len(words), self.sums.shape[1]), np.float32)
-        np.add.at(table[:, :-1], owners, got)
-        np.add.at(table[:, -1], owners, np.fromiter(map(len, pieces), np.float32, len(pieces)))
-        start, need = len(self.row), len(self.row) + len(words)
-        if need > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros((max(need - len(self.sums), len(self.sums)), self.sums.shape[1]), np.float32)])
-        self.sums[start:need] = table
-        self.row.update(zip(words, range(start, need), strict=True))
-
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        runs = [LETTERS.findall(t.lower()) for t in texts]
-        out: list[tuple[str, float]] = []
-        for ws in runs:
-            if not ws:
-                out.append((UNKNOWN, 0.0))
-                continue
-            total = np.zeros(self.sums.shape[1])
-            for a in range(0, len(ws), 100_000):
-                some = ws[a : a + 100_000]
-                new = list(dict.fromkeys(w for w in some if w not in self.row))
-                if len(self.row) + len(new) > MEMO_LIMIT:
-                    new = list(dict.fromkeys(some))
-                if new:
-                    self._add(new)
-                total += self.sums[np.fromiter(map(self.row.__getitem__, some), np.int64, len(some))].sum(0, dtype=np.float64)
-            p = total[:-1] / total[-1]
-            k = int(p.argmax())
-            out.append((self.net.languages[k], float(min(1.0, p[k]))))
-        return out
-
-    def learn(self, texts: list[str]) -> None:
-        """Add the unknown runs of many texts in one call of the network."""
-        new = list(dict.fromkeys(w for t in texts for w in LETTERS.findall(t.lower()) if w not in self.row))
-        for a in range(0, len(new), 100_000):
-            if len(self.row) + len(new) <= MEMO_LIMIT:
-                self._add(new[a : a + 100_000])
-
-
-_labellers: dict[bytes, Labeller] = {}
-hold("language", lambda: [x.clear() for x in _labellers.values()])
+    return train([t for _, t in got], [languages.index(lang) for lang, _ in got], languages)
 
 
 def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row."""
     prepare(docs.sparkSession)
-    source = docs.select("doc_id", held_out().alias("held_out"), text_of(text).alias("text"))
+    source = docs.select("doc_id", held_out().alias("held_out"), F.col(text).alias("text"))
     if net is None:
         return source.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    key = net.V.tobytes()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        claim("language")
-        if key not in _labellers:
-            _labellers.clear()
-            _labellers[key] = Labeller(net)
-        labeller = _labellers[key]
-        got: list[tuple[str, float]] = []
-        texts = b.column(2).to_pylist()
-        for a in range(0, len(texts), 200):
-            labeller.learn(texts[a : a + 200])
-            got += labeller.predict(texts[a : a + 200])
+        got = net.predict(b.column(2))
         return pa.record_batch([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return map_batches(source, run, "doc_id bigint, held_out boolean, lang_pred string, score double")
@@ -312,25 +277,15 @@ LEAST_SCORE = 0.3
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows, with all their columns, whose text has a recognised language."""
+    """The rows, with all their columns, whose text has a recognised language; a letter is enough where no row says its language."""
     net = fit(docs)
     if net is None:
-        return docs.limit(0)
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     prepare(docs.sparkSession)
-    key = net.V.tobytes()
     where = docs.columns.index("text")
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        claim("language")
-        if key not in _labellers:
-            _labellers.clear()
-            _labellers[key] = Labeller(net)
-        labeller = _labellers[key]
-        keep: list[bool] = []
-        texts = [t or "" for t in b.column(where).to_pylist()]
-        for a in range(0, len(texts), 200):
-            labeller.learn(texts[a : a + 200])
-            keep += [lang != UNKNOWN and score >= least for lang, score in labeller.predict(texts[a : a + 200])]
-        return b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(lambda batches: map(run, batches), docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in net.predict(b.column(where))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
