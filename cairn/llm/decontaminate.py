@@ -2,18 +2,26 @@
 
 Benchmark items are short and documents long, so their Jaccard similarity is small even when a
 document holds a whole item; the search is for containment, the share of the item's shingles that
-the document has. Items are dealt into geometric classes by their number of shingles. An item's
-sketch is its smallest shingle hashes (bottom-k MinHash); with the class's upper bound ``u`` on the
-size and threshold ``t``, ``k = u - ceil(t * u) + 1`` hashes are enough that a document which holds a
-share ``t`` of the item holds at least one of them, so the search loses nothing. Candidates are
-verified by exact containment of the word shingles themselves.
+the document has. Items are dealt into partitions by their number of shingles, and each partition has an
+index and a threshold of its own:
+
+* An item's sketch is its smallest shingle hashes (bottom-k MinHash). With the partition's upper bound
+  ``u`` on the size and threshold ``t``, ``k = u - ceil(t * u) + 1`` hashes are enough that a document which
+  holds a share ``t`` of the item holds at least one of them.
+* All those hashes lie under the largest of the partition's sketches, the partition's ceiling. A document's sketch
+  for the partition is its hashes up to that ceiling, the larger the items the fewer of them; only these are looked up.
+
+So the search loses nothing. Candidates are verified by exact containment of the word shingles themselves.
 
 Documents are read once where they lie, without a shuffle. The index is sent to executors in blocks
-of at most ``BLOCK_BYTES`` of item text; a larger benchmark takes more blocks, each against all documents.
+of at most ``BLOCK_BYTES`` of item text, whose index of numpy arrays is smaller than four times that; a larger
+benchmark takes more blocks, each against all documents.
 
 Defined cases: a null text has no words and holds nothing; an item without words or with a null text
 is never found; an item of fewer than five words is one shingle of all its words; repeated items and
-documents are reported each for itself; null ids are kept; other columns are ignored by ``matches``.
+documents are reported each for itself, and of items or documents alike all; null ids are kept; other columns
+are ignored by ``matches`` and kept by ``drop_contaminated``; an empty table of documents gives an empty
+table, and without items nothing is found and all documents are kept.
 """
 
 from __future__ import annotations
@@ -26,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shingle_hashes, text_of, uncollected, words_of
+from .common import hash_runs, hash_words, prepare, shingle_hashes, text_of, uncollected, words_of
 
 WIDTH = 5
 THRESHOLD = 0.75
 BLOCK_BYTES = 16 << 20
 _TABLE = 20  # bits of the table that sorts out most hashes
+#: Items whose shingles a worker keeps.
+KEPT_ITEMS = 2000
 
 
 def size_class(n: int) -> int:
@@ -47,63 +57,81 @@ def sketch_size(n: int, threshold: float = THRESHOLD) -> int:
     return min(n, u - math.ceil(threshold * u) + 1)
 
 
+class Partition:
+    """Sketches of the items of one size class and shingle width: sorted hashes, and the items of each."""
+
+    def __init__(self, sketches: list[tuple[int, np.ndarray]]):
+        flat = np.concatenate([h for _, h in sketches])
+        owner = np.repeat(np.array([k for k, _ in sketches], np.int32), [len(h) for _, h in sketches])
+        order = np.argsort(flat, kind="stable")
+        self.hashes, self.items = flat[order], owner[order]
+        self.ceiling = self.hashes[-1]
+        self.table = np.zeros(1 << _TABLE, bool)
+        self.table[self._slot(self.hashes)] = True
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64((1 << _TABLE) - 1)).astype(np.int64)
+
+    def candidates(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Distinct ``(document, item)`` rows of documents whose sketch shares a hash with an item's."""
+        some = np.flatnonzero(h <= self.ceiling)
+        some = some[self.table[self._slot(h[some])]]
+        low, high = (np.searchsorted(self.hashes, h[some], side) for side in ("left", "right"))
+        times = high - low
+        if not times.any():
+            return np.zeros((0, 2), np.int64)
+        at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        return np.unique(np.stack([np.repeat(doc[some], times), self.items[at]], 1).astype(np.int64), axis=0)
+
+
 class Index:
-    """Sketches of a block of items, by shingle width."""
+    """A block of items: their texts and the partitions of their sketches, by shingle width and size class."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.ids, self.words, self.hashes = [], [], []
-        found: dict[int, dict[int, list[int]]] = {}
+        self.ids, self.texts = [], []
+        sketches: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
             words = words_of(text)
             if not words:
                 continue
-            k, width = len(self.ids), min(WIDTH, len(words))
             h = np.unique(shingle_hashes(words, WIDTH))
+            sketches.setdefault((min(WIDTH, len(words)), size_class(len(h))), []).append((len(self.ids), h[: sketch_size(len(h), threshold)]))
             self.ids.append(item)
-            self.words.append(words)
-            self.hashes.append(h)
-            for x in h[: sketch_size(len(h), threshold)].tolist():
-                found.setdefault(width, {}).setdefault(x, []).append(k)
-        self.found = found
-        self.tables = {}
-        for width, sketches in found.items():
-            keys = np.fromiter(sketches, np.uint64, len(sketches))
-            keys.sort()
-            table = np.zeros(1 << _TABLE, bool)
-            table[(keys & np.uint64((1 << _TABLE) - 1)).astype(np.int64)] = True
-            self.tables[width] = (keys, table)
-        self.shingles: dict[int, set[tuple[str, ...]]] = {}
-
-    def _shingles(self, k: int) -> set[tuple[str, ...]]:
-        if k not in self.shingles:
-            w = min(WIDTH, len(self.words[k]))
-            self.shingles[k] = set(zip(*[self.words[k][i:] for i in range(w)], strict=False))
-        return self.shingles[k]
-
-    def search(self, words: list[str]) -> list[tuple[int | None, int, int]]:
-        """Item, shared shingles and the item's shingles, of all items that the words hold."""
-        out = []
-        for width, (keys, table) in self.tables.items():
-            if len(words) < width:
-                continue
-            h = shingle_hashes(words, width)
-            h = h[table[(h & np.uint64((1 << _TABLE) - 1)).astype(np.int64)]]
-            if not len(h):
-                continue
-            at = np.searchsorted(keys, h)
-            at[at == len(keys)] = 0
-            hits = h[keys[at] == h]
-            if not len(hits):
-                continue
-            own: set[tuple[str, ...]] | None = None
-            for k in sorted({k for x in set(hits.tolist()) for k in self.found[width][x]}):
-                if own is None:
-                    own = set(zip(*[words[i:] for i in range(width)], strict=False))
-                item = self._shingles(k)
-                shared = len(item & own)
-                if shared >= self.threshold * len(item):
-                    out.append((self.ids[k], shared, len(item)))
+            self.texts.append(text)
+        self.partitions: dict[int, list[Partition]] = {}
+        for (width, _), some in sorted(sketches.items(), key=lambda x: x[0]):
+            self.partitions.setdefault(width, []).append(Partition(some))
+        self._kept: dict[int, tuple[int, set]] = {}
+
+    def _item(self, k: int) -> tuple[int, set[tuple[str, ...]]]:
+        if k not in self._kept:
+            if len(self._kept) >= KEPT_ITEMS:
+                self._kept.clear()
+            words = words_of(self.texts[k])
+            width = min(WIDTH, len(words))
+            self._kept[k] = width, set(zip(*[words[i:] for i in range(width)], strict=False))
+        return self._kept[k]
+
+    def search(self, texts: pa.Array) -> list[tuple[int, int | None, int, int]]:
+        """Text's number, item, shared shingles and the item's shingles, of all items that the texts hold, by text and item."""
+        words, counts = hash_words(texts)
+        found = []
+        for width, partitions in self.partitions.items():
+            h, lengths = hash_runs(words, counts, width)
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            found += [p.candidates(h, doc) for p in partitions]
+        out, last, own = [], None, {}
+        for d, k in sorted(map(tuple, np.concatenate([*found, np.zeros((0, 2), np.int64)]).tolist())):
+            width, item = self._item(k)
+            if d != last:
+                last, own = d, {0: words_of(texts[d].as_py())}
+            if width not in own:
+                own[width] = set(zip(*[own[0][i:] for i in range(width)], strict=False))
+            shared = len(item & own[width])
+            if shared >= self.threshold * len(item):
+                out.append((d, self.ids[k], shared, len(item)))
         return out
 
 
@@ -117,7 +145,7 @@ def _blocks(items: DataFrame, item_text: str) -> Iterator[Index]:
     n = max(1, -(-size // BLOCK_BYTES))
     for k in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Index(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is not None, x[0], x[1])))
+        yield Index(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
@@ -131,10 +159,11 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_text: st
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for b in batches:
-                rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in index.search(words_of(t))]
+                rows = index.search(b.column(1))
                 if rows:
-                    cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                    share = pa.array([r[2] / r[3] for r in rows], pa.float64())
+                    doc, item, shared, size = zip(*rows, strict=True)
+                    cols = [b.column(0).take(pa.array(doc)), *[pa.array(c, pa.int64()) for c in (item, shared, size)]]
+                    share = pa.array([a / n for a, n in zip(shared, size, strict=True)], pa.float64())
                     yield pa.record_batch([*cols, share], [c.split()[0] for c in _SCHEMA.split(", ")])
 
         found = source.mapInArrow(uncollected(run), _SCHEMA)
@@ -152,7 +181,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for b in batches:
-                yield b.filter(pa.array([not index.search(words_of(t)) for t in b.column(where).to_pylist()], pa.bool_()))
+                keep = np.ones(b.num_rows, bool)
+                keep[[d for d, *_ in index.search(b.column(where))]] = False
+                yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(uncollected(run), docs.schema)
     return docs
