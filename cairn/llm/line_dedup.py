@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WorkTables, list_array, map_batches, prepare, text_of
 
@@ -177,13 +178,15 @@ def lines_kept(raw: bytes, bitmap: bytes | None, last: int | None) -> tuple[int,
 
 
 def _with_bitmaps(docs: DataFrame, work: WorkTables, text: str) -> DataFrame:
-    bitmaps = work.keep(keep_bitmaps(docs, work, text).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.col("last_dropped").alias("__last"), F.col("keep").alias("__keep")), "bitmaps")
-    return docs.join(bitmaps, docs["doc_id"].eqNullSafe(bitmaps["__doc"]) & (_row_key(text) == bitmaps["__row"]), "left")
+    """``row``, a struct of the input's columns, so that their names meet no others, with ``last`` and ``keep``."""
+    bitmaps = work.keep(keep_bitmaps(docs, work, text).select(F.col("doc_id").alias("doc"), F.col("row").alias("text_row"), F.col("last_dropped").alias("last"), "keep"), "bitmaps")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("own"), _row_key(text).alias("own_row"))
+    return rows.join(bitmaps, rows["own"].eqNullSafe(bitmaps["doc"]) & (rows["own_row"] == bitmaps["text_row"]), "left").select("row", "last", "keep")
 
 
 def digest(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256`` of every row."""
-    joined = _with_bitmaps(docs.select("doc_id", F.col(text).alias("text")), work, "text").select("doc_id", text_of().cast("binary").alias("text"), "__last", "__keep")
+    joined = _with_bitmaps(docs.select("doc_id", F.col(text).alias("text")), work, "text").select("row.doc_id", text_of("row.text").cast("binary").alias("text"), "last", "keep")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         got = [lines_kept(*x) for x in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
@@ -197,26 +200,31 @@ def digest(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
 
 def apply(docs: DataFrame, work: WorkTables) -> DataFrame:
     """The rows with all their columns, ``text`` without its dropped lines and ``n_chars`` to match."""
-    joined = _with_bitmaps(docs, work, "text").drop("__doc", "__row")
-    where = docs.columns.index("text")
-    names, schema = docs.columns, docs.schema
+    joined = _with_bitmaps(docs, work, "text")
+    names = docs.columns
     n_chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        cols = list(b.columns)
-        bitmap, last = cols.pop(), cols.pop()
-        texts = cols[where].to_pylist()
-        for i, (keep, stop) in enumerate(zip(bitmap.to_pylist(), last.to_pylist(), strict=True)):
+        texts, counts = b.column(0).to_pylist(), b.column(1).to_pylist() if n_chars is not None else None
+        for i, (stop, keep) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)):
             if keep is not None:
-                texts[i] = lines_kept((texts[i] or "").encode(), keep, stop)[2].decode()
-        cols[where] = pa.array(texts, pa.string())
-        if n_chars is not None:
-            before = cols[n_chars].to_pylist()
-            cols[n_chars] = pa.array([len(t) if k is not None and t is not None else n for t, k, n in zip(texts, bitmap.to_pylist(), before, strict=True)], cols[n_chars].type)
-        return pa.record_batch(cols, names)
-
-    ordered = joined.select(*[joined[c] for c in names], "__last", "__keep")
-    return ordered.mapInArrow(lambda batches: map(run, batches), schema)
+                before = texts[i]
+                texts[i] = lines_kept((before or "").encode(), keep, stop)[2].decode()
+                if counts is not None and before is not None:
+                    counts[i] = len(texts[i])
+        made = [b.column(b.num_columns - 3), pa.array(texts, pa.string())]
+        return pa.record_batch([*made, pa.array(counts, pa.int64())] if counts is not None else made, ["row", "text", "n_chars"][: len(made) + (counts is not None)])
+
+    # Python sees the text and its count; the other columns pass it by in a struct, whatever their names
+    others = [c for c in names if c not in ("text", "n_chars")]
+    counted = ["row.n_chars"] if n_chars is not None else []
+    source = joined.select(F.col("row.text").alias("text"), *[F.col(c).cast("bigint").alias("n_chars") for c in counted], F.struct(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("none")).alias("rest"), "last", "keep")
+    schema = T.StructType([T.StructField("row", source.schema["rest"].dataType), T.StructField("text", T.StringType()), *[T.StructField("n_chars", T.LongType()) for _ in counted]])
+    done = source.mapInArrow(lambda batches: map(run, batches), schema)
+    made = {c: F.col("row").getField(f"c{i}") for i, c in enumerate(others)} | {"text": F.col("text")}
+    if counted:
+        made["n_chars"] = F.col("n_chars").cast(docs.schema["n_chars"].dataType)
+    return done.select(*[made[c].alias(c) for c in names])
 
 
 def sql() -> str:
