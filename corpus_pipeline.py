@@ -1,7 +1,15 @@
 """The corpus pipeline: language ID, line dedup, n-gram Jaccard join, decontamination, byte-level BPE.
 
 Every stage takes all that its predecessor kept and returns the columns of ``documents``; the last
-returns token ids. A stage's result is written as Parquet and read again before the next begins.
+returns token ids. A stage's result is written as Parquet and read again before the next begins; then the
+stage's work tables are deleted.
+
+Defined cases: documents with a null or empty text or without a letter go in the first stage, as do those of no
+recognised language (where no row says its language, a letter is enough); a null ``doc_id`` is one document to the line
+stage, alike to nothing in the join, and otherwise kept; rows that share an id are one document, of which
+all different texts stay if it is the first of its group, ties between documents going to the smallest id;
+texts of any length are read whole; other columns, whatever their names, are kept up to the last stage;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, decontaminate, jaccard_join, language, line_dedup
-from cairn.llm.common import WorkTables
+from cairn.llm.common import WorkTables, collecting
 from cairn.llm.queries import pattern, vocabulary
 
 
@@ -57,5 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = WorkTables(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = work.keep(stage(spark, docs, sf_dir), name)
+        with collecting() as made:
+            docs = work.keep(stage(spark, docs, sf_dir), name)
+        for tables in made:
+            tables.clear()
     return STAGES[-1][1](spark, docs, sf_dir)
