@@ -3,9 +3,10 @@
 Each pre-token is a doubly linked list of symbols. Every adjacent pair that is a token waits in the
 bucket of its merge rank. A two-level bitmap (one word of 256-rank leaves, one bit for each rank in
 a leaf) says which buckets are occupied; find-first-set on both levels gives the lowest rank in
-constant time, whatever the pre-token's length. Entries are never removed: an entry is stale, and
-skipped, if the pair now at its position has another rank. Cost is linear in merges, apart from the
-sort of each bucket's positions, so a pre-token of a million bytes is no special case.
+constant time, whatever the pre-token's length. A bucket yields its leftmost position first (it is a
+heap of its own). Entries are never removed before their turn: an entry is stale, and skipped, if the pair
+now at its position has another rank. Cost is linear in merges but for the logarithm of the fullest
+bucket, so a pre-token of a million bytes is no special case.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty string; repeated rows are
 encoded one by one; rows keep whatever ``doc_id`` they have, null included; other columns of the
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+from heapq import heappop, heappush
 from struct import pack as pack_ids
 
 import numpy as np
@@ -70,58 +72,47 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         leaf = (top & -top).bit_length() - 1  # find-first-set, twice
         word = leaves[leaf]
         rank = leaf << 8 | (word & -word).bit_length() - 1
-        word &= word - 1
-        leaves[leaf] = word
-        if not word:
-            top &= top - 1
-        positions = buckets.pop(rank)
+        positions = buckets[rank]
         if len(positions) > 1:
-            positions.sort()
-        for k, i in enumerate(positions):
-            if pair[i] != rank:  # stale
-                continue
-            j = end[i]
-            stop = end[i] = end[j]
-            pair[j] = pair[i] = -1
-            lower = False
-            if stop < n:
-                before[stop] = i
-                r = get(piece[i : end[stop]])
-                if r is not None:
-                    pair[i] = r
-                    lower = r < rank
-                    if r in buckets:
-                        buckets[r].append(i)
-                    else:
-                        buckets[r] = [i]
-                        leaf = r >> 8
-                        leaves[leaf] = leaves.get(leaf, 0) | 1 << (r & 255)
-                        top |= 1 << leaf
-            h = before[i]
-            if h >= 0:
-                r = get(piece[h:stop])
-                if r is None:
-                    pair[h] = -1
+            i = heappop(positions)
+        else:
+            i = positions[0]
+            del buckets[rank]
+            word &= word - 1
+            leaves[leaf] = word
+            if not word:
+                top &= top - 1
+        if pair[i] != rank:  # stale
+            continue
+        j = end[i]
+        stop = end[i] = end[j]
+        pair[j] = pair[i] = -1
+        if stop < n:
+            before[stop] = i
+            r = get(piece[i : end[stop]])
+            if r is not None:
+                pair[i] = r
+                if r in buckets:
+                    heappush(buckets[r], i)
                 else:
-                    pair[h] = r
-                    lower = lower or r < rank
-                    if r in buckets:
-                        buckets[r].append(h)
-                    else:
-                        buckets[r] = [h]
-                        leaf = r >> 8
-                        leaves[leaf] = leaves.get(leaf, 0) | 1 << (r & 255)
-                        top |= 1 << leaf
-            if lower and k + 1 < len(positions):  # the new pair goes before the rest of this bucket
-                rest = positions[k + 1 :]
-                if rank in buckets:
-                    buckets[rank] += rest
+                    buckets[r] = [i]
+                    leaf = r >> 8
+                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (r & 255)
+                    top |= 1 << leaf
+        h = before[i]
+        if h >= 0:
+            r = get(piece[h:stop])
+            if r is None:
+                pair[h] = -1
+            else:
+                pair[h] = r
+                if r in buckets:
+                    heappush(buckets[r], h)
                 else:
-                    buckets[rank] = rest
-                    leaf = rank >> 8
-                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & 255)
+                    buckets[r] = [h]
+                    leaf = r >> 8
+                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (r & 255)
                     top |= 1 << leaf
-                break
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])

@@ -1,7 +1,9 @@
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -45,6 +47,19 @@ def test_bpe_rank_that_falls_after_a_merge():
     assert bpe.merge_piece(b"abcab", ranks) == [3, 5]
 
 
+def test_bpe_time_is_near_linear():
+    """Ranks that fall after each merge don't make the queue copy what is left of a bucket."""
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 5}
+
+    def seconds(n):
+        start = time.process_time()
+        assert bpe.merge_piece(b"abc" * n, ranks) == [3] * n
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 12 * max(seconds(20_000), 0.01)
+
+
 def test_bpe_frame(awkward, empty):
     mine = bpe.tokenizer(BYTES, P.PATTERN)
     rows = bpe.round_trip(awkward, BYTES, P.PATTERN).collect()
@@ -91,6 +106,25 @@ def test_words_equal_library():
         assert library.encode(t, add_special_tokens=False).ids == ids.tolist(), t
 
 
+def test_words_in_many_batches():
+    library = Tokenizer.from_file(WORDS)
+    mine = token_files.word_tokenizer(WORDS)
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choice("aeÉßtØ.,!<|%1") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 60))) for _ in range(400)]
+    parts = [ids for some in token_files.some_texts(pa.array([*texts, None]), 900) for ids in mine.encode(some.to_pylist())]
+    assert [p.tolist() for p in parts] == [e.ids for e in library.encode_batch([*texts, ""], add_special_tokens=False)]
+
+
+def test_range_of_files(spark, awkward, work, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_TOKENS", 300)
+    token_files.write(awkward, work.path("ids"), WORDS)
+    rows = token_files.read(spark, work.path("ids")).collect()
+    stream = [i for r in sorted(rows, key=lambda r: r.start) for i in r.ids]
+    for start, count in ((0, 5), (290, 700), (len(stream) - 3, 50), (len(stream) + 5, 4)):
+        got = token_files.read_range(spark, work.path("ids"), start, count).collect()
+        assert [i for r in sorted(got) for i in r.ids] == stream[start : start + count]
+
+
 def test_files(spark, awkward, empty, work, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_TOKENS", 500)
     token_files.write(awkward, work.path("ids"), WORDS)
