@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.splat import morton
+from .ranks import row_number
 
 AXES = ("x", "y", "z")
 MAX_CHUNK = 250_000
@@ -59,22 +60,33 @@ def pyramid(histogram: DataFrame, depth: int) -> DataFrame:
     return rolled.select("depth", *[pick(a).alias(f"c{a}") for a in AXES], "points")
 
 
+def leaf_depths(counts: DataFrame, code: str, top: int, depth: int, max_points: int) -> DataFrame:
+    """``code, leaf_depth, leaf_points`` for each code of ``depth`` levels: its first prefix from ``top`` on with at most ``max_points``, else itself.
+
+    All prefixes are counted in one aggregation, which combines before it shuffles; a leaf is a prefix that fits and
+    whose parent doesn't, and there are no more of them than codes.
+    """
+    at = F.explode(F.sequence(F.lit(top), F.lit(depth))).alias("leaf_depth")
+    prefix = F.expr(f"shiftright({code}, 3 * ({depth} - leaf_depth))").alias("prefix")
+    every = counts.select(code, "points", at).select("*", prefix)
+    nodes = every.groupBy("leaf_depth", "prefix").agg(F.sum("points").alias("leaf_points"))
+    above = nodes.select((F.col("leaf_depth") + 1).alias("leaf_depth"), F.col("prefix").alias("parent"), F.col("leaf_points").alias("above"))
+    nodes = nodes.withColumn("parent", F.shiftright("prefix", 3)).join(above, ["leaf_depth", "parent"], "left")
+    leaf = (F.col("above").isNull() | (F.col("above") > max_points)) & ((F.col("leaf_points") <= max_points) | (F.col("leaf_depth") == depth))
+    return every.select(code, "leaf_depth", "prefix").distinct().join(nodes.filter(leaf).select("leaf_depth", "prefix", "leaf_points"), ["leaf_depth", "prefix"]).select(code, "leaf_depth", "leaf_points")
+
+
 def leaf_cells(histogram: DataFrame, depth: int, max_points: int = MAX_CHUNK) -> DataFrame:
     """Leaf of each cell: the first depth at which its ancestor has at most ``max_points``, else the cell itself."""
-    df = histogram
-    for d in range(depth + 1):
-        up = [F.shiftright(f"c{a}", depth - d) for a in AXES]
-        df = df.withColumn(f"n{d}", F.sum("points").over(Window.partitionBy(*up)))
-    leaf = F.coalesce(*[F.when(F.col(f"n{d}") <= max_points, F.lit(d)) for d in range(depth + 1)], F.lit(depth))
-    df = df.withColumn("leaf_depth", leaf)
-    df = df.withColumn("leaf_points", F.coalesce(*[F.when(F.col("leaf_depth") == d, F.col(f"n{d}")) for d in range(depth + 1)]))
+    coded = histogram.withColumn("code", morton("cx", "cy", "cz"))
+    df = coded.join(leaf_depths(coded.select("code", "points"), "code", 0, depth, max_points), "code")
     return df.select("cx", "cy", "cz", "points", "leaf_depth", *[F.expr(f"shiftright(c{a}, {depth} - leaf_depth)").alias(f"l{a}") for a in AXES], "leaf_points")
 
 
 def leaves(cells: DataFrame) -> DataFrame:
     """``chunk_id`` of each leaf in Z order (x fastest), from its first deepest cell; the table has a row for each chunk."""
     table = cells.groupBy("leaf_depth", "lx", "ly", "lz", F.col("leaf_points").alias("points")).agg(F.min(morton("cx", "cy", "cz")).alias("code"))
-    return table.withColumn("chunk_id", F.row_number().over(Window.orderBy("code")) - 1)
+    return row_number(table, ["code"], "chunk_id")
 
 
 def node_code(low: Sequence[int], edge: int) -> Column:
@@ -87,15 +99,13 @@ def assign_chunks(points: DataFrame, low: Sequence[int], edge: int, depth: int =
     """Points with ``chunk`` (a Morton prefix) and ``chunk_depth``; cells that stay too full are refined deeper.
 
     Both steps work on counts: the grid's cells and, of cells that hold too many points, their cells
-    up to ``extra`` levels down (or two units wide). The deeper counts are clustered by grid cell and sorted
-    by the chain of prefixes once, which serves the windows of all depths.
+    up to ``extra`` levels down (or two units wide).
     """
     coded = points.withColumn("code", node_code(low, edge))
     at = lambda d: F.shiftright("code", 3 * (BITS - d))
-    df = coded.groupBy(at(depth).alias("node")).agg(F.count("*").alias("points"))
-    for d in range(depth + 1):
-        df = df.withColumn(f"n{d}", F.sum("points").over(Window.partitionBy(F.shiftright("node", 3 * (depth - d)))))
-    table = df.select("node", F.coalesce(*[F.when(F.col(f"n{d}") <= max_points, F.lit(d)) for d in range(depth + 1)]).alias("chunk_depth"))
+    counts = coded.groupBy(at(depth).alias("node")).agg(F.count("*").alias("points"))
+    fits = F.when(F.col("leaf_points") <= max_points, F.col("leaf_depth"))
+    table = leaf_depths(counts, "node", 0, depth, max_points).select("node", fits.alias("chunk_depth"))
     coded = coded.withColumn("node", at(depth))
     shallow = coded.join(table.filter(F.col("chunk_depth").isNotNull()), "node")
 
@@ -104,14 +114,9 @@ def assign_chunks(points: DataFrame, low: Sequence[int], edge: int, depth: int =
         deepest += 1
     full = table.filter(F.col("chunk_depth").isNull()).select("node")
     fine = coded.join(full, "node").withColumn("fine", at(deepest))
-    counts = fine.groupBy("node", "fine").agg(F.count("*").alias("points"))
-    chain = ["node"] + [f"p{d}" for d in range(depth + 1, deepest + 1)]
-    counts = counts.select("*", *[F.shiftright("fine", 3 * (deepest - d)).alias(f"p{d}") for d in range(depth + 1, deepest + 1)])
-    counts = counts.repartition("node").sortWithinPartitions(*chain)
-    for k, d in enumerate(range(depth + 1, deepest + 1), 2):
-        counts = counts.withColumn(f"n{d}", F.sum("points").over(Window.partitionBy(*chain[:k])))
-    found = F.coalesce(*[F.when(F.col(f"n{d}") <= max_points, F.lit(d)) for d in range(depth + 1, deepest + 1)], F.lit(deepest))
-    deep = fine.join(counts.select("node", "fine", found.alias("chunk_depth")), ["node", "fine"]).drop("fine")
+    counts = fine.groupBy("fine").agg(F.count("*").alias("points"))
+    found = leaf_depths(counts, "fine", min(depth + 1, deepest), deepest, max_points)
+    deep = fine.join(found.select("fine", F.col("leaf_depth").alias("chunk_depth")), "fine").drop("fine")
     made = shallow.unionByName(deep)
     return made.withColumn("chunk", F.expr(f"shiftright(code, 3 * ({BITS} - chunk_depth))")).drop("node", "code")
 
@@ -121,7 +126,7 @@ def assign_chunks(points: DataFrame, low: Sequence[int], edge: int, depth: int =
 
 def shuffle_key(point_id: str = "point_id") -> Column:
     """Arithmetic permutation key: the same in any engine and independent of input order."""
-    return F.pmod(F.col(point_id) * F.lit(48271), F.lit(2147483647))
+    return F.pmod(F.pmod(F.col(point_id), F.lit(2147483647)) * F.lit(48271), F.lit(2147483647))
 
 
 def input_rank(points: DataFrame) -> DataFrame:

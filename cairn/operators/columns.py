@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import is_finite
 from ..functions.scalar import is_feature  # noqa: F401  (names of columns that count as features)
+from .ranks import kth
 
 BYTE_MISSING = 255
 
@@ -97,6 +98,8 @@ def permutation_check(ids: DataFrame, cloud: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, column: str) -> DataFrame:
-    """The element at half the length of the sorted values; for tables of chunks."""
-    values = F.array_sort(F.collect_list(column))
-    return df.agg(F.get(values, F.floor(F.count(column) / 2).cast("int")).alias("median"))
+    """The element at half the length of the sorted values that aren't null; null if there are none."""
+    df = df.filter(F.col(column).isNotNull())
+    s = df.agg(F.count("*").alias("n"), F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high")).first()
+    found = kth(df, column, s.n // 2, s.low, s.high) if s.n else None
+    return df.sparkSession.range(1).select(F.lit(found).cast(df.schema[column].dataType).alias("median"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry
-from .sample import MODULUS, largest_remainder
+from .sample import largest_remainder
 
 
 def with_areas(triangles: DataFrame) -> DataFrame:
@@ -31,9 +31,9 @@ def running_area(triangles: DataFrame) -> DataFrame:
     return df.withColumn("high", F.sum("area").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("low", F.col("high") - F.col("area"))
 
 
-def draw(row, salt: int):
-    """A uniform number from a row number and a salt."""
-    return F.pmod((row + F.lit(salt * 7919 + 1)) * F.lit(48271), F.lit(MODULUS)).cast("double") / float(MODULUS)
+def draw(*row, salt: int):
+    """A uniform number from a row's numbers and a salt; those of two salts are independent."""
+    return F.shiftrightunsigned(F.xxhash64(*row, F.lit(salt)), 11).cast("double") / float(1 << 53)
 
 
 def area_pick(triangles: DataFrame, points: int) -> DataFrame:
@@ -60,8 +60,7 @@ def sample_mesh(triangles: DataFrame, points: int, scale: float = 1e-4) -> DataF
     vertices' where the table has ``c0, c1, c2``, else the submesh's ``base``, else none.
     """
     df = area_pick(triangles, points)
-    key = F.col("draw_id") * 31 + F.col("submesh_id") * 104_729
-    root, v = F.sqrt(draw(key, 1)), draw(key, 2)
+    root, v = F.sqrt(draw("submesh_id", "draw_id", salt=1)), draw("submesh_id", "draw_id", salt=2)
     weights = (1 - root, root * (1 - v), root * v)
     df = df.select("*", *[w.alias(f"w{k}") for k, w in enumerate(weights)])
     mix = lambda names, i: sum((F.col(f"w{k}") * F.col(n)[i] for k, n in enumerate(names)), F.lit(0.0))

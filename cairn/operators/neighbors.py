@@ -22,6 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..work import written
+from .ranks import percentile
+from .sample import uniform
+
 DENSE = 50_000
 AXES = ("x", "y", "z")
 FEATURES = ("anisotropy", "height_above", "height_below", "linearity", "neighbours", "omnivariance", "planarity", "sphericity", "surface_variation", "verticality", "vertical_range")
@@ -137,30 +141,78 @@ def radius_features(points: DataFrame, radii: Sequence[float], unit: float, name
     return features_of_moments(moments(points, [squared_ticks(r, unit) for r in radii]), unit, [n for n in FEATURES if n in names], suffixes)
 
 
-def nearest(points: DataFrame, r2: int, rounds: int = 2) -> DataFrame:
-    """``point_id, nn_d2``: squared distance to the nearest other point.
+#: A cell of a wide search is cut into this many along each side.
+FINE = 8
+
 
-    The cell is doubled for the points that found none, ``rounds`` times; what is left after that is
-    compared with all points in a join on one cell that covers the cloud.
+def _nearest_within(left: DataFrame, points: DataFrame, edge: int) -> DataFrame:
+    """``point_id, nn_d2`` of the points that have another one within ``edge``, by way of boxes.
+
+    The points of each small cell become one row with their tight box and two of them. A point meets the boxes of its 27
+    cells of edge ``edge``; the nearer of a box's two points bounds the distance from above and the box itself from below,
+    so only boxes that can hold the nearest point are opened.
+    """
+    f = max(1, edge // FINE)
+    small = [F.floor(F.col(f"q{a}") / F.lit(f)).cast("long").alias(f"f{a}") for a in AXES]
+    fine = [f"f{a}" for a in AXES]
+    place = F.struct("point_id", *[f"q{a}" for a in AXES])
+    boxes = points.select("*", *small).groupBy(*fine).agg(F.min(place).alias("one"), F.max(place).alias("two"), *[g(f"q{a}").alias(f"{n}{a}") for a in AXES for n, g in (("l", F.min), ("h", F.max))])
+    # by the wide cell of the small cell's corner; a box reaches less than a wide cell beyond it
+    boxes = boxes.select("*", *[F.floor(F.col(f"f{a}") * F.lit(f) / F.lit(edge)).cast("long").alias(f"c{a}") for a in AXES])
+    reach = [(i, j, k) for i in (-2, -1, 0, 1) for j in (-2, -1, 0, 1) for k in (-2, -1, 0, 1)]
+    own = left.select("point_id", *[F.col(f"q{a}").alias(f"p{a}") for a in AXES], *[F.floor(F.col(f"q{a}") / F.lit(edge)).cast("long").alias(f"o{a}") for a in AXES])
+    around = F.explode(F.array(*[F.struct(*[(F.col(f"o{a}") + d).alias(f"c{a}") for a, d in zip(AXES, s, strict=True)]) for s in reach])).alias("cell")
+    met = own.select("point_id", *[f"p{a}" for a in AXES], around).select("point_id", *[f"p{a}" for a in AXES], "cell.*").join(boxes, [f"c{a}" for a in AXES])
+    far = lambda who: sum(((F.col(f"{who}.q{a}") - F.col(f"p{a}")) * (F.col(f"{who}.q{a}") - F.col(f"p{a}")) for a in AXES), F.lit(0))
+    above = F.least(*[F.when(F.col(f"{who}.point_id") != F.col("point_id"), far(who)) for who in ("one", "two")])
+    gap = [F.greatest(F.col(f"l{a}") - F.col(f"p{a}"), F.col(f"p{a}") - F.col(f"h{a}"), F.lit(0)) for a in AXES]
+    below = sum((g * g for g in gap), F.lit(0))
+    met = met.select("point_id", *[f"p{a}" for a in AXES], *fine, above.alias("above"), below.alias("below"))
+    met = met.withColumn("bound", F.min("above").over(Window.partitionBy("point_id"))).filter((F.col("below") <= F.col("bound")) & (F.col("below") <= edge * edge))
+    others = points.select(F.col("point_id").alias("nb_id"), *[f"q{a}" for a in AXES], *small)
+    d = [F.col(f"q{a}") - F.col(f"p{a}") for a in AXES]
+    pairs = met.join(others, fine).filter(F.col("nb_id") != F.col("point_id")).select("point_id", sum((x * x for x in d), F.lit(0)).alias("d2"))
+    return pairs.filter(F.col("d2") <= edge * edge).groupBy("point_id").agg(F.min("d2").alias("nn_d2"))
+
+
+def nearest(points: DataFrame, r2: int) -> DataFrame:
+    """``point_id, nn_d2``: squared distance to the nearest other point; no row if there is no other.
+
+    A join on cells finds the neighbours within the radius. Points that have none look on in cells of four times the edge,
+    again and again until the cell covers the cloud; what a round finds is written.
     """
-    left, found = points, None
-    for k in range(rounds):
-        bound = r2 * 4**k
-        # kept, since the next round and the result both read it
-        got = cell_join(left, points, bound).filter(F.col("point_id") != F.col("nb_id")).groupBy("point_id").agg(F.min("d2").alias("nn_d2")).persist()
-        found = got if found is None else found.unionByName(got)
-        left = left.join(got, "point_id", "left_anti")
     b = points.agg(*[F.min(f"q{a}").alias(f"l{a}") for a in AXES], *[F.max(f"q{a}").alias(f"h{a}") for a in AXES]).first()
-    if b.lx is not None:
-        whole = sum((b[f"h{a}"] - b[f"l{a}"]) ** 2 for a in AXES)
-        rest = cell_join(left, points, max(1, whole)).filter(F.col("point_id") != F.col("nb_id"))
-        found = found.unionByName(rest.groupBy("point_id").agg(F.min("d2").alias("nn_d2")))
-    return found
+    found = cell_join(points, points, r2).filter(F.col("point_id") != F.col("nb_id")).groupBy("point_id").agg(F.min("d2").alias("nn_d2"))
+    if b.lx is None:
+        return found
+    whole = math.isqrt(sum((b[f"h{a}"] - b[f"l{a}"]) ** 2 for a in AXES)) + 1
+    edge = math.isqrt(r2) + 1
+    kept = [written(found, "nearest")]
+    while edge < whole:
+        left = points
+        for k in kept:
+            left = left.join(k, "point_id", "left_anti")
+        if not left.limit(1).count():
+            break
+        edge = min(4 * edge, whole)
+        kept.append(written(_nearest_within(left, points, edge), "nearest"))
+    return reduce(lambda a, b: a.unionByName(b), kept)
 
 
 def nn_distance(points: DataFrame, r2: int, unit: float) -> DataFrame:
     """The median distance to the nearest other point: the cloud's own resolution."""
-    return nearest(points, r2).agg((F.percentile(F.sqrt("nn_d2"), 0.5) * unit).alias("voxel_distance"))
+    middle = percentile(nearest(points, r2).select(F.sqrt("nn_d2").alias("d")), "d", 0.5)
+    return points.sparkSession.range(1).select((F.lit(middle).cast("double") * unit).alias("voxel_distance"))
+
+
+def nn_distance_of_sample(points: DataFrame, r2: int, unit: float, most: int) -> DataFrame:
+    """``voxel_distance`` from about ``most`` points chosen by their ids, corrected for the points left out."""
+    n = points.count()
+    if n <= most:
+        return nn_distance(points, r2, unit)
+    some = points.filter(uniform() < most / n)
+    m = some.count()
+    return nn_distance(some, max(1, round(r2 * (n / max(m, 1)) ** (2 / 3))), unit * sampled_factor(m, n))
 
 
 def sampled_factor(sampled: int, total: int) -> float:

@@ -12,7 +12,7 @@ MODULUS = 2147483647
 def uniform(point_id="point_id", salt: int = 0) -> Column:
     """A number in 0 to 1 that depends on the id and the salt alone."""
     c = F.col(point_id) if isinstance(point_id, str) else point_id
-    return F.pmod((c + salt) * F.lit(48271), F.lit(MODULUS)).cast("double") / float(MODULUS)
+    return F.pmod(F.pmod(c + salt, F.lit(MODULUS)) * F.lit(48271), F.lit(MODULUS)).cast("double") / float(MODULUS)
 
 
 def class_fractions(points: DataFrame, cap: int, least: int = 1000, class_id: str = "class_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import splat
 from ..functions.scalar import is_finite
+from .ranks import row_number
 
 CHUNK = 250_000
 AXES = ("x", "y", "z")
@@ -39,26 +40,20 @@ def refuse_not_finite(df: DataFrame, columns: list[str]) -> DataFrame:
 def morton_chunks(splats: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Splats with ``code`` and ``chunk``: consecutive runs of ``chunk`` splats along the Morton curve.
 
-    Row numbers come in two levels: ranges of codes are counted, the counts are summed, and each range
-    numbers its own rows, so no task sees all splats.
+    Row numbers come in two levels, by quantiles of the codes, so no task sees all splats.
     """
     b = splats.agg(*[F.min(a).cast("double").alias(f"l{a}") for a in AXES], *[F.max(a).cast("double").alias(f"h{a}") for a in AXES]).first()
     if b.lx is None:
         return splats.withColumn("code", F.lit(0).cast("long")).withColumn("chunk", F.lit(0).cast("long")).withColumn("row", F.lit(0).cast("long"))
     q = [F.floor((F.col(a).cast("double") - b[f"l{a}"]) / ((b[f"h{a}"] - b[f"l{a}"]) or 1.0) * float((1 << 21) - 1)).cast("long") for a in AXES]
     df = splats.withColumn("code", splat.morton(*q))
-    # top bits of the code: at most 2**15 ranges
-    df = df.withColumn("__range", F.shiftright("code", 48))
-    counts = df.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    df = df.join(counts.select("__range", before.alias("__before")), "__range")
-    row = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy("code", "splat_id")) - 1
-    return df.withColumn("row", row).withColumn("chunk", F.floor(F.col("row") / chunk).cast("long")).drop("__range", "__before")
+    df = row_number(df, ["code", "splat_id"])
+    return df.withColumn("chunk", F.floor(F.col("row") / chunk).cast("long"))
 
 
 def in_chunk_order(df: DataFrame, seed: int = 0) -> DataFrame:
     """Each chunk's splats in a permuted order that depends on the id and the chunk alone."""
-    key = F.pmod((F.col("splat_id") + F.col("chunk") + seed) * F.lit(48271), F.lit(2147483647))
+    key = F.pmod(F.pmod(F.col("splat_id") + F.col("chunk") + seed, F.lit(2147483647)) * F.lit(48271), F.lit(2147483647))
     return df.withColumn("seq", F.row_number().over(Window.partitionBy("chunk").orderBy(key, "splat_id")) - 1)
 
 
@@ -117,10 +112,10 @@ def palette(df: DataFrame, label: str, rows: DataFrame, name: str) -> DataFrame:
 
 
 def depth_order(df: DataFrame, view: list[float], limit: int | None = None) -> DataFrame:
-    """Splats from back to front under a column-major view matrix."""
+    """Splats from back to front under a column-major view matrix; ``row`` is the place of each, of the first ``limit`` if there is one."""
     z = F.col("x") * view[2] + F.col("y") * view[6] + F.col("z") * view[10] + view[14]
-    out = df.withColumn("depth", z).orderBy("depth", "splat_id")
-    return out.limit(limit) if limit else out
+    out = row_number(df.withColumn("depth", z), ["depth", "splat_id"])
+    return out.filter(F.col("row") < limit) if limit else out
 
 
 def octant_shares(df: DataFrame, centre: tuple[float, float, float], prefix: int) -> DataFrame:

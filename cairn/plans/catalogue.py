@@ -830,10 +830,10 @@ def splat_describe(spark, d):
     return splats.describe(fx.splats(spark, d), scales=["s0", "s1", "s2"], tiny=-0.3)
 
 
-@query(f"WITH {fx.SPLATS} SELECT splat_id, x*0.5+y*0.25-z+2.0 AS depth FROM spl ORDER BY depth, splat_id LIMIT 50")
+@query(f"WITH {fx.SPLATS} SELECT splat_id, x*0.5+y*0.25-z+2.0 AS depth, row_number() OVER (ORDER BY x*0.5+y*0.25-z+2.0, splat_id) - 1 AS row FROM spl")
 def depth_sort(spark, d):
     view = [0, 0, 0.5, 0, 0, 0, 0.25, 0, 0, 0, -1.0, 0, 0, 0, 2.0, 1]
-    return splats.depth_order(fx.splats(spark, d), view, 50).select("splat_id", "depth")
+    return splats.depth_order(fx.splats(spark, d), view).select("splat_id", "depth", "row")
 
 
 @query(f"WITH {_SCHUNK}, q AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY ((splat_id+chunk)*48271) % 2147483647, splat_id) - 1 AS seq, (CASE WHEN x > 0 THEN 1 ELSE 0 END)+(CASE WHEN y > 0 THEN 2 ELSE 0 END)+(CASE WHEN z > 0 THEN 4 ELSE 0 END) AS octant FROM sc), t AS (SELECT count(*) AS a, count(*) FILTER (WHERE seq < 40) AS s FROM q) SELECT CAST(octant AS BIGINT) AS octant, {r6('CAST(count(*) AS DOUBLE)/any_value(a)')} AS share_all, {r6('CAST(count(*) FILTER (WHERE seq < 40) AS DOUBLE)/any_value(s)')} AS share_prefix FROM q, t GROUP BY octant")
@@ -890,7 +890,7 @@ def edit_log(spark, d):
     return annotate.replay_cuts(fx.pts_v(spark, d), log).select("point_id", F.col("segment_id").cast("long").alias("segment_id"))
 
 
-@query(f"WITH {fx.PTS_E}, {fx.PTS_V} SELECT point_id, qx, qy, qz FROM pts_v WHERE point_id % 100 = 1 UNION ALL SELECT point_id, qx, qy, qz FROM pts_e WHERE point_id % 50 = 1")
+@query(f"WITH {fx.PTS_E}, {fx.PTS_V} SELECT point_id, qx, qy, qz FROM pts_v UNION ALL SELECT point_id, qx, qy, qz FROM pts_e")
 def concat_clouds(spark, d):
     names = ["point_id", "qx", "qy", "qz"]
-    return mesh.with_points(fx.pts_v(spark, d).filter("point_id % 100 = 1").select(*names), fx.pts_e(spark, d).filter("point_id % 50 = 1").select(*names))
+    return mesh.with_points(fx.pts_v(spark, d).select(*names), fx.pts_e(spark, d).select(*names))

@@ -3,7 +3,8 @@
 ``spark.read.format("las").load(path)`` after ``register(spark)``. Option ``columns`` (comma separated) reads
 those fields only; record bytes are viewed, not parsed, so other fields cost nothing but the read. Paths go
 through pyarrow's file systems. Writing makes one canonical file (1.2, format 3, extra columns as Extra
-Bytes) for each partition under a temporary name and renames all on commit.
+Bytes) for each partition under a temporary name and renames all on commit: ``append`` adds files to those that are
+there, ``overwrite`` deletes them first. A task holds one batch of rows.
 
 Unsigned 32-bit fields are BIGINT: an id never passes through a float.
 """
@@ -11,6 +12,9 @@ Unsigned 32-bit fields are BIGINT: an id never passes through a float.
 from __future__ import annotations
 
 import struct
+import tempfile
+import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -181,28 +185,49 @@ class _Done(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, options, schema):
-        self.path, self.schema = options["path"], schema
+    """One file for each partition under a temporary name, renamed on commit; what was there is deleted then if it is to be overwritten."""
+
+    def __init__(self, options, schema, overwrite: bool):
+        self.path, self.schema, self.overwrite = options["path"], schema, overwrite
         self.scale = float(options.get("scale", "1e-4"))
+        self.origin = tuple(float(x) for x in options.get("origin", "0,0,0").split(","))
 
     def write(self, batches) -> _Done:
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
         task = TaskContext.get()
         name = f"_part-{task.partitionId():05d}-{task.taskAttemptId()}.las"
-        if not table.num_rows:
-            return _Done("", 0)
         fs, inner = _open(self.path)
-        fs.create_dir(inner, recursive=True)
-        with fs.open_output_stream(f"{inner}/{name}") as f:
-            f.write(encode(table, self.scale))
-        return _Done(name, table.num_rows)
+        # records wait in an unnamed file of this task, since the header that precedes them has their number and bounds
+        with tempfile.TemporaryFile() as records:
+            layout = box = None
+            count = 0
+            for b in batches:
+                if b.num_rows:
+                    layout = layout or Layout(b.schema)
+                    rec = layout.records(b)
+                    box = layout.bounds(rec, box)
+                    records.write(rec.tobytes())
+                    count += len(rec)
+            if not count:
+                return _Done("", 0)
+            fs.create_dir(inner, recursive=True)
+            records.seek(0)
+            with fs.open_output_stream(f"{inner}/{name}") as f:
+                f.write(layout.header(count, box, self.scale, self.origin))
+                while part := records.read(1 << 22):
+                    f.write(part)
+        return _Done(name, count)
 
     def commit(self, messages) -> None:
         fs, inner = _open(self.path)
-        for k, m in enumerate(m for m in messages if m is not None and m.name):
-            fs.move(f"{inner}/{m.name}", f"{inner}/part-{k:05d}.las")
+        done = [m for m in messages if m is not None and m.name]
+        if self.overwrite and fs.get_file_info(inner).type == pafs.FileType.Directory:
+            for old in files_under(inner):
+                fs.delete_file(old)
+        run = uuid.uuid4().hex[:12]
+        for k, m in enumerate(done):
+            fs.move(f"{inner}/{m.name}", f"{inner}/part-{time.time_ns():020d}-{run}-{k:05d}.las")
 
     def abort(self, messages) -> None:
         fs, inner = _open(self.path)
@@ -211,38 +236,170 @@ class _Writer(DataSourceArrowWriter):
                 fs.delete_file(f"{inner}/{m.name}")
 
 
+#: Fields of the canonical format and where they lie.
+_CANONICAL_FIELDS = [*_LEGACY, ("gps_time", "<f8", 20), *[(c, "<u2", 28 + 2 * k) for k, c in enumerate(_RGB)]]
+#: Byte columns in which a missing value has a mark of its own (fixed value).
+MARKED = {"prediction": 255, "labels": 255}
+
+
+class Layout:
+    """Records of a canonical file for tables of one schema; columns that format 3 lacks become Extra Bytes.
+
+    Whole numbers must fit their field and be there: a value that doesn't fit, a missing one or a NaN is an error, but that
+    ``prediction`` and ``labels`` have a mark for missing ones. A missing float is NaN.
+    """
+
+    def __init__(self, schema: pa.Schema):
+        base = {n for n, _, _ in _CANONICAL_FIELDS}
+        self.extra, size = [], 34
+        for f in schema:
+            if f.name not in base and f.name != "row":
+                kind = "<u4" if f.name == "POINT_ID" else "u1" if f.name in MARKED else {"int8": "i1", "int16": "<i2", "int32": "<i4", "int64": "<i8", "float": "<f4", "double": "<f8"}[str(f.type)]
+                self.extra.append((f.name, kind, size))
+                size += np.dtype(kind).itemsize
+        self.size, self.fields = size, _CANONICAL_FIELDS + self.extra
+        self.dtype = np.dtype({"names": [f[0] for f in self.fields], "formats": [f[1] for f in self.fields], "offsets": [f[2] for f in self.fields], "itemsize": size})
+
+    def records(self, table) -> np.ndarray:
+        rec = np.zeros(table.num_rows, self.dtype)
+        for name, kind, _ in self.fields:
+            at = table.schema.get_field_index(name)
+            if at < 0:
+                continue
+            column = table.column(at)
+            if kind[-2] == "f":
+                rec[name] = column.cast(pa.float64()).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.cast(pa.float64()).to_numpy()
+                continue
+            if column.null_count:
+                if name not in MARKED:
+                    raise LasError(f"{name}: {column.null_count} values are missing")
+                column = column.fill_null(MARKED[name])
+            v = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+            limits = np.iinfo(kind)
+            if len(v) and not (np.isfinite(v).all() and limits.min <= v.min() and v.max() <= limits.max):
+                raise LasError(f"{name}: values that don't fit {limits.min} to {limits.max}")
+            rec[name] = v
+        return rec
+
+    @staticmethod
+    def bounds(rec: np.ndarray, box: list | None) -> list:
+        """Smallest and largest X, Y and Z, as they are stored."""
+        own = [(int(rec[a].min()), int(rec[a].max())) for a in "XYZ"]
+        return own if box is None else [(min(a, c), max(b, d)) for (a, b), (c, d) in zip(box, own, strict=True)]
+
+    def header(self, count: int, box: list, scale: float, origin: tuple[float, float, float]) -> bytes:
+        vlr = b""
+        if self.extra:
+            body = b"".join(struct.pack("<2xBB32s4x152x", _EXTRA.index(k), 0, n.encode()[:32]) for n, k, _ in self.extra)
+            vlr = struct.pack("<2x16sHH32s", b"LASF_Spec", 4, len(body), b"Extra Bytes") + body
+        world = [v * scale + o for (low, high), o in zip(box, origin, strict=True) for v in (high, low)]
+        head = bytearray(227)
+        head[:4] = b"LASF"
+        head[24:26] = bytes((1, 2))
+        struct.pack_into("<HIIBHI", head, 94, 227, 227 + len(vlr), bool(self.extra), 3, self.size, count)
+        struct.pack_into("<3d3d6d", head, 131, scale, scale, scale, *origin, *world)
+        return bytes(head) + vlr
+
+
 def encode(table: pa.Table, scale: float = 1e-4, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> bytes:
-    """A canonical file of a table with quantised ``X, Y, Z``; columns that format 3 lacks become Extra Bytes."""
-    base = {n: k for n, k, _ in [*_LEGACY, ("gps_time", "<f8", 20), *[(c, "<u2", 28 + 2 * k) for k, c in enumerate(_RGB)]]}
-    at = {n: o for n, _, o in [*_LEGACY, ("gps_time", "<f8", 20), *[(c, "<u2", 28 + 2 * k) for k, c in enumerate(_RGB)]]}
-    extra = []
-    size = 34
-    for f in table.schema:
-        if f.name in base or f.name == "row":
-            continue
-        kind = "<u4" if f.name == "POINT_ID" else "u1" if f.name in ("prediction", "labels") else {"int8": "i1", "int16": "<i2", "int32": "<i4", "int64": "<i8", "float": "<f4", "double": "<f8"}[str(f.type)]
-        extra.append((f.name, kind, size))
-        size += np.dtype(kind).itemsize
-    fields = [(n, k, at[n]) for n, k in base.items()] + extra
-    rec = np.zeros(table.num_rows, np.dtype({"names": [f[0] for f in fields], "formats": [f[1] for f in fields], "offsets": [f[2] for f in fields], "itemsize": size}))
-    for name, kind, _ in fields:
-        if name in table.column_names:
-            v = table.column(name).to_numpy()
-            rec[name] = np.nan_to_num(v).astype(kind) if kind[-2] != "f" and v.dtype.kind == "f" else v.astype(kind)
-    vlr = b""
-    if extra:
-        body = b"".join(struct.pack("<2xBB32s4x152x", _EXTRA.index(k), 0, n.encode()[:32]) for n, k, _ in extra)
-        vlr = struct.pack("<2x16sHH32s", b"LASF_Spec", 4, len(body), b"Extra Bytes") + body
-    box = []
-    for a, o in zip("XYZ", origin, strict=True):
-        v = rec[a].astype(np.float64) * scale + o
-        box += [v.max(), v.min()]
-    head = bytearray(227)
-    head[:4] = b"LASF"
-    head[24:26] = bytes((1, 2))
-    struct.pack_into("<HIIBHI", head, 94, 227, 227 + len(vlr), bool(extra), 3, size, len(rec))
-    struct.pack_into("<3d3d6d", head, 131, scale, scale, scale, *origin, *box)
-    return bytes(head) + vlr + rec.tobytes()
+    """A canonical file of a table with quantised ``X, Y, Z``."""
+    layout = Layout(table.schema)
+    rec = layout.records(table)
+    return layout.header(len(rec), layout.bounds(rec, None), scale, origin) + rec.tobytes()
+
+
+def quantised(df, scale: float = 1e-4, columns: tuple[str, str, str] = ("x", "y", "z")):
+    """The table with ``X, Y, Z`` in ticks from its smallest coordinates, and those as the writer's ``origin`` option."""
+    from pyspark.sql import functions as F
+
+    low = df.agg(*[F.min(c).cast("double").alias(c) for c in columns]).first()
+    origin = [low[c] or 0.0 for c in columns]
+    made = [F.floor((F.col(c).cast("double") - o) / scale + 0.5).cast("int").alias(a) for a, c, o in zip("XYZ", columns, origin, strict=True)]
+    return df.select(*made, *[c for c in df.columns if c not in columns]), ",".join(map(repr, origin))
+
+
+def write_single(df, path: str, order: list[str], scale: float = 1e-4, origin: str = "0,0,0") -> int:
+    """One canonical file with the rows in an order, and their number.
+
+    Ranges of the order are written as files of a folder beside it; their records are then copied behind one header, some megabytes at a time.
+    """
+    from ..work import ship
+
+    ship(df.sparkSession)
+    register(df.sparkSession)
+    folder = f"{path}._parts-{uuid.uuid4().hex}"
+    df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).write.format("las").mode("append").option("scale", scale).option("origin", origin).save(folder)
+    fs, inner = _open(path)
+    parts = sorted(files_under(folder), key=lambda p: p.rsplit("-", 1)[1])
+    heads = [read_header(p) for p in parts]
+    count = sum(h.count for h in heads)
+    with fs.open_output_stream(inner) as out:
+        for k, h in enumerate(heads):
+            _, at = _open(h.path)
+            with fs.open_input_file(at) as f:
+                if not k:
+                    first = bytearray(f.read(h.offset))
+                    world = [g([x[a] for x in ((v.high if g is max else v.low) for v in heads)]) for a in range(3) for g in (max, min)]
+                    struct.pack_into("<I", first, 107, count)
+                    struct.pack_into("<6d", first, 179, *world)
+                    out.write(bytes(first))
+                f.seek(h.offset)
+                left = h.count * h.record
+                while left:
+                    part = f.read(min(left, 1 << 22))
+                    out.write(part)
+                    left -= len(part)
+    fs.delete_dir(_open(folder)[1])
+    return count
+
+
+def append_column(path: str, target: str, values: np.ndarray, name: str = "prediction") -> None:
+    """A copy of a file in which every record has one more byte, ``name``; records and their order stay.
+
+    The column replaces one of its name. A file whose records are followed by extended records is refused, and so is a
+    column of another length.
+    """
+    h = read_header(path)
+    fs, inner = _open(path)
+    if len(values) != h.count:
+        raise LasError(f"{path}: {h.count} records, but {len(values)} values")
+    if fs.get_file_info(inner).size > h.offset + h.count * h.record:
+        raise LasError(f"{path}: extended records follow the points")
+    values = np.ascontiguousarray(values, np.uint8)
+    there = {n: at for n, k, at in h.fields if k == "u1"}.get(name)
+    with fs.open_input_file(inner) as f, _open(target)[0].open_output_stream(_open(target)[1]) as out:
+        head = bytearray(f.read(h.offset))
+        if there is None:
+            described = struct.pack("<2xBB32s4x152x", 1, 0, name.encode()[:32])
+            at, size, vlrs = 0, *struct.unpack_from("<HxxxxI", head, 94)
+            place = size
+            for _ in range(vlrs):
+                user, number, length = bytes(head[place + 2 : place + 18]).rstrip(b"\0"), *struct.unpack_from("<HH", head, place + 18)
+                if user == b"LASF_Spec" and number == 4:
+                    at = place
+                place += 54 + length
+            if at:
+                length = struct.unpack_from("<H", head, at + 20)[0]
+                struct.pack_into("<H", head, at + 20, length + 192)
+                head[at + 54 + length : at + 54 + length] = described
+                grown = 192
+            else:
+                head[place:place] = struct.pack("<2x16sHH32s", b"LASF_Spec", 4, 192, b"Extra Bytes") + described
+                struct.pack_into("<I", head, 100, vlrs + 1)
+                grown = 54 + 192
+            struct.pack_into("<I", head, 96, h.offset + grown)
+            struct.pack_into("<H", head, 105, h.record + 1)
+        out.write(bytes(head))
+        for a in range(0, h.count, LEAST_ROWS):
+            n = min(LEAST_ROWS, h.count - a)
+            rec = np.frombuffer(f.read(n * h.record), np.uint8).reshape(n, h.record)
+            own = values[a : a + n, None]
+            if there is None:
+                out.write(np.concatenate([rec, own], axis=1).tobytes())
+            else:
+                rec = rec.copy()
+                rec[:, there] = own[:, 0]
+                out.write(rec.tobytes())
 
 
 class LasSource(DataSource):
@@ -263,10 +420,14 @@ class LasSource(DataSource):
         return _Reader(self.options, schema)
 
     def writer(self, schema, overwrite: bool):
-        return _Writer(self.options, schema)
+        return _Writer(self.options, schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    """Make ``las`` a format of the session; executors get this package, by whose name they unpickle it."""
+    from ..work import ship
+
+    ship(spark)
     spark.dataSource.register(LasSource)
 
 
