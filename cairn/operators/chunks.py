@@ -201,8 +201,9 @@ def head_and_body(chunk_levels: DataFrame, head_levels: int) -> DataFrame:
 
 
 def write_store(points: DataFrame, path: str) -> None:
-    """The chunked store: a folder for each chunk, rows in sequence."""
-    points.repartition("chunk").sortWithinPartitions("chunk", "seq").write.mode("overwrite").partitionBy("chunk").parquet(path)
+    """The chunked store: files are ranges of chunks with rows in sequence, and ``chunk`` is a column whose statistics lead to its rows."""
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points.repartitionByRange(parts, "chunk", "seq").sortWithinPartitions("chunk", "seq").write.mode("overwrite").parquet(path)
 
 
 # detail
@@ -257,6 +258,12 @@ def load_order(chunks: DataFrame, need: str = "need", loaded: str = "loaded", pp
     return chunks.orderBy(F.desc(F.col(need) / F.greatest(F.col(loaded), F.lit(1))), F.desc(ppu), "chunk")
 
 
+def load_places(chunks: DataFrame, need: str = "need", loaded: str = "loaded", ppu: str = "ppu") -> DataFrame:
+    """``place`` of each chunk in the order of loading, without one task for all."""
+    urgency = -(F.col(need) / F.greatest(F.col(loaded), F.lit(1)))
+    return row_number(chunks.withColumn("__urgency", urgency).withColumn("__ppu", -F.col(ppu)), ["__urgency", "__ppu", "chunk"], "place").drop("__urgency", "__ppu")
+
+
 def chunk_prefix(points: DataFrame, needs: DataFrame) -> DataFrame:
     """The first ``need`` points of each chunk."""
     return points.join(needs.select("chunk", "need"), "chunk").filter(F.col("seq") < F.col("need")).drop("need")

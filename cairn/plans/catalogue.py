@@ -549,13 +549,14 @@ def chunk_permutation(spark, d):
     return p.select("point_id", "chunk", F.col("rank").cast("long").alias("rank"), F.col("perm").cast("long").alias("perm"))
 
 
-def _level_ctes(levels: int, base: int) -> list[str]:
+def _level_ctes(levels: int, base: int, stop: str | None = None) -> list[str]:
     out = [f"l0 AS (SELECT *, {_PERM} AS pk, CAST(NULL AS BIGINT) AS level FROM ch)"]
     for k in range(levels):
         side = 1 << (base + k)
         cells = [f"least(greatest(floor(CAST(q{a} AS DOUBLE)/86400.0*{side}),0),{side - 1})" for a in "xyz"]
         first = f"row_number() OVER (PARTITION BY chunk, {', '.join(cells)}, level IS NULL ORDER BY pk, point_id)"
-        out.append(f"l{k + 1} AS (SELECT * REPLACE (CASE WHEN level IS NULL AND {first} = 1 THEN {k} ELSE level END AS level) FROM l{k})")
+        more = f" AND count(*) FILTER (WHERE level IS NULL) OVER (PARTITION BY chunk) >= {stop} AND 86400.0/{side} >= 2.0" if stop and k else ""
+        out.append(f"l{k + 1} AS (SELECT * REPLACE (CASE WHEN level IS NULL AND {first} = 1{more} THEN {k} ELSE level END AS level) FROM l{k})")
     return [*out, f"lv AS (SELECT * REPLACE (coalesce(level, {levels}) AS level) FROM l{levels})"]
 
 
@@ -825,7 +826,7 @@ def codebook_lookup(spark, d):
     return splats.palette(splats.codebook(s, "byte", [0.5, 1.5, 2.5, -1.0], "v"), "lab", rows, "p").select("splat_id", "v", "p")
 
 
-@query(f"WITH {fx.SPLATS} SELECT count(*) AS splats, min(x) AS x_low, max(x) AS x_high, min(y) AS y_low, max(y) AS y_high, min(z) AS z_low, max(z) AS z_high, CAST(0 AS BIGINT) AS not_finite, count(*) FILTER (WHERE least(s0,s1,s2) < -0.3) AS tiny, min(opacity) AS opacity_low, max(opacity) AS opacity_high FROM spl")
+@query(f"WITH {fx.SPLATS} SELECT count(*) AS splats, min(x) AS x_low, max(x) AS x_high, min(y) AS y_low, max(y) AS y_high, min(z) AS z_low, max(z) AS z_high, count(*) FILTER (WHERE NOT isfinite(x)) + count(*) FILTER (WHERE NOT isfinite(y)) + count(*) FILTER (WHERE NOT isfinite(z)) AS not_finite, count(*) FILTER (WHERE least(s0,s1,s2) < -0.3) AS tiny, min(opacity) AS opacity_low, max(opacity) AS opacity_high FROM spl")
 def splat_describe(spark, d):
     return splats.describe(fx.splats(spark, d), scales=["s0", "s1", "s2"], tiny=-0.3)
 
@@ -894,3 +895,44 @@ def edit_log(spark, d):
 def concat_clouds(spark, d):
     names = ["point_id", "qx", "qy", "qz"]
     return mesh.with_points(fx.pts_v(spark, d).select(*names), fx.pts_e(spark, d).select(*names))
+
+
+_ADAPTIVE = ", ".join(_level_ctes(6, 3, "greatest(20, floor(count(*) OVER (PARTITION BY chunk) * 0.5))"))
+
+
+@query(f"WITH {fx.PTS_V}, {_CHUNKED}, {_ADAPTIVE} SELECT point_id, level FROM lv")
+def level_assign_adaptive(spark, d):
+    p = chunks.assign_levels(_chunked(spark, d), (0, 0, 0), 86400, 3, 6, adaptive=True, remainder_share=0.5, remainder_least=20)
+    return p.select("point_id", F.col("level").cast("long").alias("level"))
+
+
+@query(f"WITH {fx.PTS_V} SELECT {r6('greatest(0.25, 300/2.0, sqrt(greatest(CAST(max(qx)-min(qx) AS DOUBLE), 1e-9)*greatest(CAST(max(qy)-min(qy) AS DOUBLE), 1e-9)/16))')} AS edge FROM pts_v")
+def automatic_tile(spark, d):
+    b = chunks.bounds(fx.pts_v(spark, d)).first()
+    edge = chunks.automatic_tile(b.high_x - b.low_x, b.high_y - b.low_y, 300.0)
+    return spark.range(1).select(rounded(F.lit(float(edge))).alias("edge"))
+
+
+@query(f"WITH {fx.PTS_V}, c AS (SELECT qx // 10000 AS chunk, count(*) AS need, count(*) FILTER (WHERE g < 100) AS loaded, max(r) AS ppu FROM pts_v GROUP BY 1) SELECT chunk, row_number() OVER (ORDER BY CAST(need AS DOUBLE)/greatest(loaded, 1) DESC, ppu DESC, chunk) - 1 AS place FROM c")
+def load_priority(spark, d):
+    c = fx.pts_v(spark, d).groupBy(F.floor(F.col("qx") / 10000).alias("chunk")).agg(F.count("*").alias("need"), F.count_if(F.col("g") < 100).alias("loaded"), F.max("r").alias("ppu"))
+    return chunks.load_places(c).select("chunk", "place")
+
+
+@query(f"WITH {fx.PTS_V}, c AS (SELECT qx // 10000 AS chunk, count(*) AS points, min(qx) AS low FROM pts_v GROUP BY 1) SELECT chunk, CAST(to_json({{'chunk': chunk, 'points': points, 'low': low}}) AS VARCHAR) AS value FROM c")
+def chunk_rows_as_json(spark, d):
+    c = fx.pts_v(spark, d).groupBy(F.floor(F.col("qx") / 10000).alias("chunk")).agg(F.count("*").alias("points"), F.min("qx").alias("low"))
+    return chunks.chunk_json(c)
+
+
+_B2 = "1.0925484305920792*ux*uy*sh3 + -1.0925484305920792*uy*uz*sh4 + 0.31539156525252005*(2.0*uz*uz-ux*ux-uy*uy)*sh5 + -1.0925484305920792*ux*uz*sh6 + 0.5462742152960396*(ux*ux-uy*uy)*sh7"
+
+
+@query(f"WITH {fx.SPLATS}, v AS (SELECT *, x/sqrt(x*x+y*y+z*z) AS ux, y/sqrt(x*x+y*y+z*z) AS uy, z/sqrt(x*x+y*y+z*z) AS uz FROM spl) SELECT splat_id, {r6(f'greatest(0.5 + 0.28209479177387814*dc0 + -0.4886025119029199*uy*sh0 + 0.4886025119029199*uz*sh1 + -0.4886025119029199*ux*sh2 + {_B2}, 0.0)')} AS red FROM v")
+def sh_degree2_colour(spark, d):
+    n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    v = fx.splats(spark, d).select("*", *[(F.col(a) / n).alias(f"u{a}") for a in "xyz"])
+    return v.select("splat_id", rounded(sp.sh_colour("dc0", [f"sh{k}" for k in range(8)], "ux", "uy", "uz", 2)).alias("red"))
+
+
+from . import files  # noqa: E402, F401  (registers the queries that write files and read them back)

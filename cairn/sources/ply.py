@@ -99,6 +99,23 @@ def encode(table: pa.Table, names: list[str] | None = None, ascii_: bool = False
     return "\n".join(head).encode() + body
 
 
+def write(df: DataFrame, path: str, order: list[str], names: list[str] | None = None) -> int:
+    """One binary file with the rows in an order, and their number; tasks write the records, and the driver a header before them."""
+    from .parts import Pieces
+
+    names = names or df.columns
+    empty = pa.schema([(n, {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "float": pa.float32(), "double": pa.float64()}[dict(df.dtypes)[n]]) for n in names]).empty_table()
+
+    def records(b: pa.RecordBatch) -> bytes:
+        raw = encode(pa.Table.from_batches([b]).select(names))
+        return raw[raw.index(b"end_header\n") + 11 :]
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*names)
+    pieces = Pieces(ordered, path, records)
+    return pieces.join(encode(empty).replace(b"element vertex 0", f"element vertex {pieces.rows}".encode()))
+
+
 #: Property order of an exported splat file after the position (fixed values).
 NORMALS = ("nx", "ny", "nz")
 

@@ -6,9 +6,13 @@ import gzip
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .las import _open
+from .parts import Pieces, read_ranges
+
 _ANN = "point_id bigint, segment_id int, class_id int"
 
 
@@ -21,17 +25,47 @@ def decode_annotations(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(-1, 2)
 
 
+#: Points of an annotation store that one task reads or writes.
+STRETCH = 1 << 20
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Annotated points only; the point id is the place in the store."""
+    """Annotated points only; the point id is the place in the store. Stretches are read in parallel, a compressed store whole."""
+    fs, inner = _open(path)
+    size = fs.get_file_info(inner).size
+    with fs.open_input_file(inner) as f:
+        packed = f.read(2) == b"\x1f\x8b"
+    if not packed and size % 2:
+        raise ValueError("an annotation store has two bytes for each point")
+
+    def decode(at: int, raw: bytes) -> pa.RecordBatch:
+        rows = decode_annotations(raw) if packed else np.frombuffer(raw, np.uint8).reshape(-1, 2)
+        ids = np.flatnonzero(rows[:, 0])
+        return pa.record_batch([pa.array(ids + at // 2), pa.array(rows[ids, 0].astype(np.int32) - 1), pa.array(rows[ids, 1].astype(np.int32))], ["point_id", "segment_id", "class_id"])
+
+    step = size if packed else 2 * STRETCH
+    return read_ranges(spark, path, [(a, min(step, size - a)) for a in range(0, size, step or 1)], decode, _ANN)
+
+
+def write_annotations(df: DataFrame, path: str, points: int) -> int:
+    """One store of ``points`` points from ``point_id, segment_id, class_id``; tasks write stretches of ids. The number of stretches."""
+    spark = df.sparkSession
+    stretches = -(-points // STRETCH)
 
-    def run(batches):
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                rows = decode_annotations(raw)
-                ids = np.flatnonzero(rows[:, 0])
-                yield pa.record_batch([pa.array(ids), pa.array(rows[ids, 0].astype(np.int32) - 1), pa.array(rows[ids, 1].astype(np.int32))], ["point_id", "segment_id", "class_id"])
+    def stretch(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        first = key[0].as_py() * STRETCH
+        out = np.zeros((min(STRETCH, points - first), 2), np.uint8)
+        some = t.filter(pc.is_valid(t["point_id"]))
+        at = some["point_id"].to_numpy() - first
+        out[at, 0], out[at, 1] = some["segment_id"].to_numpy() + 1, some["class_id"].to_numpy()
+        return pa.table([pa.array([key[0].as_py()]), pa.array([out.tobytes()], pa.binary())], ["stretch", "raw"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _ANN)
+    rows = df.filter(F.col("point_id").between(0, points - 1)).select(F.expr(f"point_id div {STRETCH}").alias("stretch"), "point_id", "segment_id", "class_id")
+    every = spark.range(stretches).select(F.col("id").alias("stretch")).join(rows, "stretch", "left")
+    made = every.groupBy("stretch").applyInArrow(stretch, "stretch bigint, raw binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = made.repartitionByRange(parts, "stretch").sortWithinPartitions("stretch")
+    return Pieces(made, path, lambda b: b"".join(b.column(1).to_pylist())).join(b"")
 
 
 def encode_annotations(rows: list[tuple[int, int, int]], points: int) -> bytes:
@@ -77,7 +111,9 @@ def read_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_splats(df: DataFrame, path: str) -> None:
-    df.repartition("chunk").sortWithinPartitions("chunk", "seq").write.mode("overwrite").partitionBy("chunk").parquet(path)
+    """Files are ranges of chunks in sequence: as many as shuffle partitions, not one for each chunk; statistics lead to a chunk's rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, "chunk", "seq").sortWithinPartitions("chunk", "seq").write.mode("overwrite").parquet(path)
 
 
 def read_splats(spark: SparkSession, path: str, source_order: bool = False) -> DataFrame:

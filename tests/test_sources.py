@@ -48,6 +48,50 @@ def test_las_writer(spark, tmp_path):
     assert back.filter("labels <> POINT_ID % 3").count() == 0
 
 
+def test_las_modes(spark, tmp_path):
+    las.register(spark)
+    df = lambda n: spark.range(n).select(F.col("id").cast("int").alias("X"), F.lit(1).alias("Y"), F.lit(2).alias("Z"), F.col("id").alias("POINT_ID")).repartition(3)
+    path = str(tmp_path / "out")
+    for n, mode, want in ((100, "append", 100), (10, "append", 110), (10, "overwrite", 10), (5, "overwrite", 5)):
+        df(n).write.format("las").mode(mode).save(path)
+        assert spark.read.format("las").load(path).count() == want
+
+
+def test_las_values_that_dont_fit():
+    t = point_table(4)
+    for name, values in (("red", [1, 2, 70_000, 0]), ("X", [None, 1, 2, 3]), ("POINT_ID", [-1, 1, 2, 3])):
+        k = t.column_names.index(name)
+        with pytest.raises(las.LasError, match=name):
+            las.encode(t.set_column(k, name, pa.array(values, t.schema.field(name).type)))
+    k = t.column_names.index("prediction")
+    assert las.encode(t.set_column(k, "prediction", pa.array([None, 1, 2, 3], pa.int16())))
+
+
+def test_las_one_file(spark, tmp_path):
+    df = spark.range(1000).select(F.col("id").cast("int").alias("X"), (F.col("id") % 7).cast("int").alias("Y"), F.lit(2).alias("Z"), F.col("id").alias("POINT_ID")).orderBy(F.rand(3))
+    one, two, three = (str(tmp_path / f"{k}.las") for k in "abc")
+    assert las.write_single(df, one, ["POINT_ID"]) == 1000
+    h = las.read_header(one)
+    assert h.canonical and h.low == (0.0, 0.0, 2e-4) and h.high == (pytest.approx(999e-4), pytest.approx(6e-4), 2e-4)
+    las.append_column(one, two, np.arange(1000) % 7)
+    las.append_column(two, three, np.arange(1000) % 5)
+    for path, k in ((two, 7), (three, 5)):
+        rows = spark.read.format("las").load(path).orderBy("row").collect()
+        assert [(r.POINT_ID, r.prediction) for r in rows] == [(i, i % k) for i in range(1000)]
+    with pytest.raises(las.LasError, match="values"):
+        las.append_column(one, two, np.zeros(5))
+    with open(one, "ab") as f:
+        f.write(b"extended")
+    with pytest.raises(las.LasError, match="extended"):
+        las.append_column(one, two, np.zeros(1000))
+
+
+def test_las_origin(spark):
+    df = spark.createDataFrame([(1.5, 2.0, 3.0, 1), (2.5, 1.0, 9.0, 2)], "x double, y double, z double, POINT_ID long")
+    made, origin = las.quantised(df, 0.01)
+    assert origin == "1.5,1.0,3.0" and sorted(map(tuple, made.collect())) == [(0, 100, 0, 1), (100, 0, 600, 2)]
+
+
 def test_las_errors(tmp_path):
     raw = bytearray(las.encode(point_table(5)))
     (tmp_path / "bad.las").write_bytes(b"nope" + bytes(raw[4:]))
