@@ -21,21 +21,28 @@ def bounds(df: DataFrame, column: str, ranges: int = RANGES) -> list:
 
 
 def range_of(column: Column, cuts: list) -> Column:
+    """How many cuts a value has reached."""
     return reduce(lambda a, b: a + b, [(column >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
 
 
+def computed(df: DataFrame, column: str) -> DataFrame:
+    """The table with the column computed once: the optimiser can't copy its expression to where it is named."""
+    return df.select(*[c for c in df.columns if c != column], F.inline(F.array(F.struct(F.col(column).alias(column)))))
+
+
 def row_number(df: DataFrame, order: list[str], name: str = "row", ranges: int = RANGES) -> DataFrame:
     """``name``: each row's place, from 0, in the order of the columns, the first of which is a number.
 
     Ranges of the first column are counted, the counts are summed, and each range numbers its own rows. The cuts are
     quantiles of the table, so that a dense part is cut as finely as any.
     """
-    cut = df.withColumn("__range", range_of(F.col(order[0]), bounds(df, order[0], ranges)))
+    cut = computed(df, order[0])
+    cut = cut.withColumn("__range", range_of(F.col(order[0]), bounds(cut, order[0], ranges)))
     counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = cut.join(F.broadcast(counts.select("__range", before.alias("__before"))), "__range")  # a row for each range
     place = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return cut.withColumn(name, place).drop("__range", "__before")
+    return cut.withColumn(name, place).select(*df.columns, name)
 
 
 def kth(df: DataFrame, column: str, k: int, low: float, high: float, small: int = SMALL) -> float:
