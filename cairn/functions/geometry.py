@@ -69,9 +69,13 @@ def rect_may_hold_box(low: Sequence, high: Sequence, m: Sequence[float], rect: S
     return behind | ~apart
 
 
-def sphere_in_view(x, y, z, radius, planes: Sequence[Sequence[float]]) -> Column:
-    """A sphere isn't wholly outside any plane ``(a, b, c, d)`` with unit normal pointing inwards."""
-    return reduce(lambda a, b: a & b, [_c(x) * float(p[0]) + _c(y) * float(p[1]) + _c(z) * float(p[2]) + float(p[3]) >= -_c(radius) for p in planes])
+def sphere_in_view(x, y, z, radius, planes: Sequence[Sequence[float]], eye: Sequence[float] | None = None) -> Column:
+    """A sphere isn't wholly outside any plane ``(a, b, c, d)`` with unit normal pointing inwards; one that holds the eye is seen whatever the planes."""
+    seen = reduce(lambda a, b: a & b, [_c(x) * float(p[0]) + _c(y) * float(p[1]) + _c(z) * float(p[2]) + float(p[3]) >= -_c(radius) for p in planes])
+    if eye is None:
+        return seen
+    away = reduce(lambda a, b: a + b, [(_c(v) - float(e)) * (_c(v) - float(e)) for v, e in zip((x, y, z), eye, strict=True)])
+    return seen | (away <= _c(radius) * _c(radius))
 
 
 def distance(a: Sequence, b: Sequence) -> Column:

@@ -104,6 +104,18 @@ def pick_nearest(points: DataFrame, x: float, y: float) -> DataFrame:
     return points.select("point_id", d2.alias("d2")).orderBy("d2", "point_id").limit(1)
 
 
+#: Candidates that a pick looks at closely.
+PICK = 6
+
+
+def pick_visible(points: DataFrame, m: Sequence[float], visible: Column, x: float, y: float, reach: float, most: int = PICK) -> DataFrame:
+    """``point_id, d2, w``: of the visible points before the camera and within ``reach`` of a screen position, the ``most`` nearest in order."""
+    px, py, w = geometry.project("qx", "qy", "qz", m)
+    df = points.filter(visible).select("point_id", px.alias("px"), py.alias("py"), w.alias("w")).filter(F.col("w") > 0)
+    d = [(F.col(c) - F.lit(float(at))) * (F.col(c) - F.lit(float(at))) for c, at in (("px", x), ("py", y))]
+    return df.select("point_id", (d[0] + d[1]).alias("d2"), "w").filter(F.col("d2") <= reach * reach).orderBy("d2", "point_id").limit(most)
+
+
 def class_legend(counts: DataFrame, names: dict[int, str]) -> DataFrame:
     """Class counts with names from a model's metadata (a bounded literal), in numeric order."""
     table = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])

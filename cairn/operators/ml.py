@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -37,6 +38,13 @@ def present_features(df: DataFrame, wanted: Sequence[str]) -> tuple[list[str], l
     return [c for c in wanted if c in df.columns], [c for c in wanted if c not in df.columns]
 
 
+def require_features(wanted: Sequence[str], df: DataFrame, what: str) -> None:
+    """An error if the table lacks a feature: two tables of one training have the same features."""
+    lacking = present_features(df, wanted)[1]
+    if lacking:
+        raise ValueError(f"the {what} table lacks {lacking}")
+
+
 def memory_cap(budget: int, features: int) -> int:
     """Points that a training budget in bytes allows."""
     return max(100_000, int(budget * 0.5 / (8 * features + 8)))
@@ -47,6 +55,8 @@ def train_forest(points: DataFrame, features: Sequence[str], label: str = "label
     have, lacking = present_features(points, features)
     if not have:
         raise ValueError(f"no feature of {lacking} is in the table")
+    if lacking:
+        warnings.warn(f"features that the table lacks are left out: {lacking}", stacklevel=2)
     df = sample.stratified_sample(points, cap, class_id=label) if cap else points
     df = df.withColumn("__label", F.col(label).cast("string"))
     stages = [

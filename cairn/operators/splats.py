@@ -76,13 +76,19 @@ def dequantise(df: DataFrame, bits: dict[str, int]) -> DataFrame:
     return df.select("*", *[splat.dequantise_linear(F.col(f"{c}_q"), F.col(f"{c}_low"), F.col(f"{c}_high"), n).alias(f"{c}_d") for c, n in bits.items()])
 
 
-def error_report(df: DataFrame, xyz: tuple[str, ...], scale: tuple[str, ...], others: tuple[str, ...] = ()) -> DataFrame:
-    """Errors of decoded columns ``<name>_d``: position relative to splat size (p99, max), largest of the rest, rms share."""
+def error_report(df: DataFrame, xyz: tuple[str, ...], scale: tuple[str, ...], others: tuple[str, ...] = (), rotation: tuple[str, str] | None = None) -> DataFrame:
+    """Errors of decoded columns ``<name>_d``: position relative to splat size (p99, max), largest of the rest, rms share.
+
+    ``rotation`` names an array of four and its decoded one; their largest angle is reported.
+    """
     difference = lambda c: F.col(c).cast("double") - F.col(f"{c}_d")
     position: Column = F.sqrt(sum((difference(c) * difference(c) for c in xyz[1:]), difference(xyz[0]) * difference(xyz[0])))
     size = F.exp(F.greatest(*[F.col(c).cast("double") for c in scale]))
     df = df.select("*", position.alias("__p"), (position / size).alias("__r"))
     out = [F.max("__p").alias("pos_abs_max"), F.percentile("__r", 0.99).alias("pos_rel_p99"), F.max("__r").alias("pos_rel_max"), F.max(F.greatest(*[F.abs(difference(c)) for c in scale])).alias("scale_abs_max")]
+    if rotation:
+        q = [[F.col(c)[k] for k in range(4)] for c in rotation]
+        out.append(F.max(splat.rotation_angle(*q)).alias("rotation_max"))
     for c in others:
         out += [F.max(F.abs(difference(c))).alias(f"{c}_abs_max"), (F.sqrt(F.avg(difference(c) * difference(c))) / F.sqrt(F.avg(F.col(c).cast("double") * F.col(c)))).alias(f"{c}_rms_share")]
     return df.agg(*out)

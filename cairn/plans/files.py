@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import chunks, columns, metrics
+from ..functions import geometry as geo
+from ..operators import annotate, chunks, columns, metrics, ml, neighbors
 from ..sources import las, ply, stores, text
 from ..work import new_path
 from . import fixtures as fx
-from .catalogue import _CHUNKED, _LEVELS, _SCHUNK, _levels, _schunk, query, r6, rounded
+from .catalogue import _CHUNK, _CHUNKED, _LEVELS, _M, _PLANES, _SCHUNK, _chunk_boxes, _levels, _schunk, query, r6, rounded
 
 
 def _las_points(spark, d):
@@ -140,3 +141,63 @@ def column_refresh(spark, d):
     store, values = fx.pts_v(spark, d).withColumn("prediction", F.lit(9).cast("long")), fx.values_subset(spark, d)
     left = columns.prune(store, [c for c in values.columns if c != "point_id"])
     return columns.merge(left, values).select("point_id", "prediction", F.col("f1").cast("double").alias("f1"))
+
+
+_SPLAT_FILE = ["x", "y", "z", "opacity", "s0", "s1", "s2", "rw", "rx", "ry", "rz"]
+
+
+@query(f"WITH {fx.SPLATS} SELECT row_number() OVER (ORDER BY splat_id) - 1 AS row, " + ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in _SPLAT_FILE) + " FROM spl")
+def splat_ply_export(spark, d):
+    """The splats as one file in source order."""
+    path = new_path(spark, "splats") + ".ply"
+    ply.write(fx.splats(spark, d).select("splat_id", *[F.col(c).cast("float").alias(c) for c in _SPLAT_FILE]), path, ["splat_id"], _SPLAT_FILE)
+    return ply.read(spark, path).select("row", *[F.col(c).cast("double").alias(c) for c in _SPLAT_FILE])
+
+
+_U = "((point_id % 2147483647) * 48271 % 2147483647) / 2147483647.0"
+
+
+@query(
+    f"WITH {fx.PTS_E}, n AS (SELECT count(*) AS n FROM pts_e), s AS (SELECT p.* FROM pts_e p, n WHERE {_U} < 250.0/n), m AS (SELECT count(*) AS m FROM s), "
+    f"nn AS (SELECT p.point_id, min((q.qx-p.qx)*(q.qx-p.qx)+(q.qy-p.qy)*(q.qy-p.qy)+(q.qz-p.qz)*(q.qz-p.qz)) AS d2 FROM s p JOIN s q ON p.point_id <> q.point_id GROUP BY p.point_id) "
+    f"SELECT {r6('median(sqrt(d2))*0.0001*pow(CAST(any_value(m) AS DOUBLE)/any_value(n), 1.0/3)', 6)} AS voxel_distance FROM nn, n, m"
+)
+def nn_median_of_sample(spark, d):
+    return neighbors.nn_distance_of_sample(fx.pts_e(spark, d), 250_000, fx.UNIT, 250).select(rounded("voxel_distance").alias("voxel_distance"))
+
+
+@query(
+    f"WITH {fx.PTS_V}, t AS (SELECT k, greatest(600.0, 40000.0/pow(1.5, k)) AS edge FROM range(12) r(k)), c AS (SELECT k, edge, qx // CAST(floor(edge) AS BIGINT) AS tx, qy // CAST(floor(edge) AS BIGINT) AS ty, count(*) AS n FROM pts_v, t GROUP BY ALL), "
+    f"w AS (SELECT k, edge, max(n) AS worst FROM c GROUP BY k, edge) SELECT {r6('max(edge)', 3)} AS edge FROM w WHERE worst <= 400 OR edge = 600.0"
+)
+def tile_size_search(spark, d):
+    return spark.range(1).select(rounded(F.lit(float(chunks.tile_size(fx.pts_v(spark, d), 400, 40000.0, 300.0))), 3).alias("edge"))
+
+
+@query(
+    f"WITH {fx.PTS_V}, w AS (SELECT point_id, class_id, qx*0.02+qz*0.001+5.0 AS a, qy*0.03+qz*0.002+7.0 AS b, qy*0.00001+qz*0.00002+1.0 AS w FROM (SELECT point_id, class_id, CAST(qx AS DOUBLE) AS qx, CAST(qy AS DOUBLE) AS qy, CAST(qz AS DOUBLE) AS qz FROM pts_v)), "
+    f"e AS (SELECT point_id, w, (a/w-200.0)*(a/w-200.0)+(b/w-150.0)*(b/w-150.0) AS d2 FROM w WHERE w > 0 AND class_id <> 2) SELECT point_id, {r6('d2', 3)} AS d2, {r6('w')} AS w FROM e WHERE d2 <= 250000.0 ORDER BY e.d2, point_id LIMIT 6"
+)
+def pick_visible(spark, d):
+    p = fx.pts_v(spark, d).select("point_id", "class_id", *[F.col(f"q{a}").cast("double").alias(f"q{a}") for a in "xyz"])
+    return annotate.pick_visible(p, _M, F.col("class_id") != 2, 200.0, 150.0, 500.0).select("point_id", rounded("d2", 3).alias("d2"), rounded("w").alias("w"))
+
+
+@query(
+    f"WITH {fx.PTS_V}, {_CHUNK}, s AS (SELECT chunk, points, (lx+hx)/2.0 AS x, (ly+hy)/2.0 AS y, (lz+hz)/2.0 AS z, sqrt(CAST((hx-lx)*(hx-lx)+(hy-ly)*(hy-ly)+(hz-lz)*(hz-lz) AS DOUBLE))/2.0 AS radius FROM c) "
+    "SELECT chunk, points FROM s WHERE (x*1.0+y*0.0+z*0.0-6000.0 >= -radius AND x*0.0+y*0.6+z*0.8-9000.0 >= -radius AND x*-1.0+44000.0 >= -radius) OR (x-60000.0)*(x-60000.0)+(y-7000.0)*(y-7000.0)+(z-40000.0)*(z-40000.0) <= radius*radius"
+)
+def chunk_cull_around_eye(spark, d):
+    c = _chunk_boxes(spark, d)
+    mid = {a: (F.col(f"l{a}") + F.col(f"h{a}")) / 2.0 for a in "xyz"}
+    span = [F.col(f"h{a}") - F.col(f"l{a}") for a in "xyz"]
+    radius = F.sqrt((span[0] * span[0] + span[1] * span[1] + span[2] * span[2]).cast("double")) / 2.0
+    return c.filter(geo.sphere_in_view(mid["x"], mid["y"], mid["z"], radius, _PLANES, (60000.0, 7000.0, 40000.0))).select("chunk", "points")
+
+
+@query("SELECT 'trainable' AS kind, column_name AS name FROM information_schema.columns WHERE table_name = 'events' AND column_name NOT IN ('X', 'Y', 'Z') UNION ALL SELECT 'trainable', unnest(['X', 'Y', 'Z']) UNION ALL SELECT 'lacking', unnest(['f9'])")
+def feature_selection(spark, d):
+    """Features that a table offers for training, and one of those asked for that it lacks."""
+    t = fx.table(spark, d, "events")
+    rows = [("trainable", c) for c in ml.trainable_features(t.columns)] + [("lacking", c) for c in ml.present_features(t, ["value", "f9"])[1]]
+    return spark.createDataFrame(rows, "kind string, name string")

@@ -185,3 +185,9 @@ def test_patch_stream(spark, tmp_path):
     send([(2, 0, 9, 3), (3, 7, 7, 3), (1, 6, 6, 4)])
     patches.apply_patches(spark, src, store, str(tmp_path / "cp")).awaitTermination()
     assert sorted(map(tuple, patches.current(spark, store).collect())) == [(1, 6, 6), (2, 1, 1), (3, 7, 7)]
+    assert sorted(v for v in stores.versions(spark, f"{store}/delta")) == [0, 1]
+    patches.compact(spark, store)
+    assert stores.versions(spark, f"{store}/delta") == [] and stores.versions(spark, f"{store}/base") == [2]
+    send([(4, 1, 1, 5), (2, None, 3, 6)])
+    patches.apply_patches(spark, src, store, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(map(tuple, patches.current(spark, store).collect())) == [(1, 6, 6), (2, 1, 1), (3, 7, 7), (4, 1, 1)]
