@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _local: list[str] = []
+_made: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -26,7 +29,25 @@ def folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A place for a table that is deleted when the driver ends, if it is still there."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append(path)
+    return path
+
+
+def _clean() -> None:
+    """Delete what was made; runs before Spark ends, since it was registered after Spark began."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        for path in _made:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception as e:  # the engine may have ended already; nothing depends on these tables then
+        print(f"work tables are left in {os.path.dirname(_made[0])}: {type(e).__name__}", file=sys.stderr)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
