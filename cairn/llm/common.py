@@ -2,17 +2,14 @@
 
 Work tables go to the folder that ``spark.checkpoint.dir`` names, the only place that every
 executor and the driver can see. A temporary folder is made only where that setting is absent and
-all of Spark runs on this machine (as in tests); on a cluster its absence is an error.
+all of Spark runs on this machine (as in tests); on a cluster its absence is an error. What is left
+of them when the driver ends is deleted then.
 """
 
 from __future__ import annotations
 
 import gc
-import os
 import re
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -22,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..work import new_path, ship
+
 #: Rows and bytes of one Arrow batch; a longer document is a batch of its own.
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
@@ -30,43 +29,16 @@ BATCH_BYTES = 4 << 20
 BLANK = " \t\n\v\f\r"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
-_shipped: set[str] = set()
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches, where the session says nothing itself, and give executors this package, once for each application."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         if not spark.conf._jconf.contains(f"spark.sql.execution.arrow.{name}"):
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        _shipped.add(app)
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        name = os.path.basename(root)
-        target = os.path.join(tempfile.mkdtemp(prefix="cairn-"), f"{name}.zip")
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, files in os.walk(root):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(folder, f)
-                        z.write(full, os.path.join(name, os.path.relpath(full, root)))
-        spark.sparkContext.addPyFile(target)
+    ship(spark)
     return spark
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for work tables; sets one of its own only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir names no shared folder for work tables")
-        base = "file://" + tempfile.mkdtemp(prefix="cairn-work-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 _collected: list[list[WorkTables]] = []
 
 
@@ -88,7 +60,7 @@ class WorkTables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.base = new_path(spark, name)
         self.made: list[str] = []
         for made in _collected:
             made.append(self)

@@ -14,24 +14,27 @@ HUBS = 10_000
 LEAST_HUB = 500
 
 
-def _with_least(links: DataFrame, least: DataFrame, count: int) -> DataFrame:
-    """Every link with its ``u``'s ``m``. Links of hubs aren't shuffled: their least nodes, at most ``HUBS`` rows, are broadcast."""
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: int, ends: str = "ends") -> DataFrame:
+    """Inner join of ``rows`` with a table that has each of their keys once and in ``ends`` how many of the ``count`` rows have it.
+
+    Rows of hot keys aren't shuffled: the table's rows for them, at most ``HUBS`` (or ``count / LEAST_HUB``, if that is less), are broadcast.
+    """
     most = max(LEAST_HUB, count // HUBS)
-    hubs = F.broadcast(least.filter(F.col("ends") > most).select("u", "m"))
-    few = least.filter(F.col("ends") <= most).select("u", "m")
-    return links.join(hubs, "u", "left_anti").join(few, "u").unionByName(links.join(hubs, "u"))
+    hubs = F.broadcast(table.filter(F.col(ends) > most).drop(ends))
+    few = table.filter(F.col(ends) <= most).drop(ends)
+    return rows.join(hubs.select(*keys), keys, "left_anti").join(few, keys).unionByName(rows.join(hubs, keys))
 
 
 def _large_star(links: DataFrame, count: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("ends"))
-    return _with_least(both, least, 2 * count).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return spread_join(both, least, ["u"], 2 * count).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame, count: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("ends"))
-    moved = _with_least(down, least, count).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = spread_join(down, least, ["u"], count).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WorkTables, likely_in, map_batches, prepare, shingles_of, uncollected
-from .components import components
+from .components import components, spread_join
 
 WIDTH = 5
 PERCENT = 75
@@ -336,10 +336,12 @@ def join(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
 
     made = work.keep(source.mapInArrow(uncollected(_sets(parts)), _SETS), "sets")
     rows = made.filter(F.col("kind") == 0).select("slot", "doc_id", "n", "s1", "s2")
-    known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    first = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
+    linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    known, total = rows.filter(linked), rows.count()
+    first = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("ends"))
     # equal sets: every document has the first one of its set
-    classes = work.keep(rows.join(first, ["s1", "s2"], "left").select("slot", "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id"))).alias("first")), "classes")
+    alone = rows.filter(~linked).select("slot", "doc_id", "n", F.col("doc_id").alias("first"))
+    classes = work.keep(spread_join(known, first, ["s1", "s2"], total).select("slot", "doc_id", "n", "first").unionByName(alone), "classes")
 
     shared = made.filter(F.col("kind") == 1).groupBy("pid").applyInArrow(_shared(parts), _SHARED)
     rare = shared.groupBy("part").applyInArrow(_rare, _RARE)
@@ -369,7 +371,11 @@ def join(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
     same = several.join(classes.select(F.col("doc_id").alias("u"), F.col("first").alias("v")), "u").filter(F.col("v").isNotNull())
     roots = work.keep(components(links.unionByName(same), work, "links"), "roots")
     work.drop("candidates", "heads", "groups")
-    return classes.join(roots, classes["first"] == roots["node"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "first").alias("component_id"))
+    # a set that a great many documents have would be one key of the join
+    sizes = classes.filter(F.col("first").isNotNull()).groupBy("first").agg(F.count("*").alias("ends"))
+    found = sizes.join(roots.select(F.col("node").alias("first"), "root"), "first", "left")
+    made = spread_join(classes, found, ["first"], total).unionByName(classes.filter(F.col("first").isNull()).withColumn("root", F.lit(None).cast("long")))
+    return made.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "first").alias("component_id"))
 
 
 def _in_chunks(sets: DataFrame) -> DataFrame:
