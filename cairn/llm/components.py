@@ -43,6 +43,14 @@ def _state(links: DataFrame) -> tuple[int, int | None]:
     return r.n, r.x
 
 
+#: Links of one file of a round; a table of few links is few files, whatever the number of shuffle partitions.
+FILE_LINKS = 200_000
+
+
+def _sized(links: DataFrame, count: int) -> DataFrame:
+    return links.coalesce(1 + count // FILE_LINKS)
+
+
 def components(links: DataFrame, work: WorkTables, name: str) -> DataFrame:
     """``node, root``: the smallest node that each linked node reaches, itself included.
 
@@ -52,8 +60,8 @@ def components(links: DataFrame, work: WorkTables, name: str) -> DataFrame:
     current = work.keep(links.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     state, k = _state(current), 0
     while state[0]:
-        large = work.keep(_large_star(current, state[0]).distinct(), f"{name}-{k}-large")
-        after = work.keep(_small_star(large, state[0]).distinct(), f"{name}-{k + 1}")
+        large = work.keep(_sized(_large_star(current, state[0]).distinct(), state[0]), f"{name}-{k}-large")
+        after = work.keep(_sized(_small_star(large, state[0]).distinct(), state[0]), f"{name}-{k + 1}")
         work.drop(f"{name}-{k}", f"{name}-{k}-large")
         k += 1
         current, before, state = after, state, _state(after)
