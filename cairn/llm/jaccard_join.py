@@ -13,14 +13,18 @@ different sets is lost:
 3. **Candidates.** Documents that share such a hash, sorted by size, join the first of their run of
    compatible sizes: rows grow with the documents and not with their pairs. Components of these
    joins hold all links.
-4. **Tries.** In each component, sets are ordered by one global order (frequent first, then hash) and
+4. **Whole sets.** A frequent passage may be among the smallest hashes of a great many documents that share little else, so
+   components of more than ``CHUNK_BYTES`` of hashes go through step 2 and 3 again with all hashes of their sets: linked sets
+   share ``l`` of them, ``l`` being what they have in common at least. Inside a task the same is done again, with the
+   frequencies among its sets, until components don't fall apart any more.
+5. **Tries.** In each component, sets are ordered by one global order (frequent first, then hash) and
    stored in a radix trie. A probe walks it, sharing the overlap of common beginnings, and leaves a
    subtree when the sizes below it, the misses so far or the rest of the probe are too little, or
-   when all sets below are in its own component already. Components of more than ``CHUNK_BYTES`` of hashes
+   when all sets below are in its own component already. Components that are still of more than ``CHUNK_BYTES`` of hashes
    are cut into classes by set size, linked sets being in the same or in neighbouring classes, and classes
    into chunks of that many bytes; pairs of chunks that can link go to tasks of their own, so no task
    holds an unbounded group.
-5. Components of the verified links, spread to equal sets.
+6. Components of the verified links, spread to equal sets.
 
 Defined cases: a document without words (or with a null text) has an empty set, links with nothing and is
 its own component; shorter texts than five words are one shingle; a null ``doc_id`` links with nothing and
@@ -32,7 +36,7 @@ links with, and each row has its own text's ``n_shingles``; other columns are ig
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,12 +111,7 @@ def _sets(parts: int):
             n = pa.nulls
             rows.append(pa.record_batch([pa.array(np.zeros(docs, np.int32)), pa.array(base + np.arange(docs)), b.column(0), pa.array(sizes.astype(np.int32)), pa.array(sums[:, 0]), pa.array(sums[:, 1]), n(docs, kinds[6]), n(docs, kinds[7]), n(docs, kinds[8]), n(docs, kinds[9])], names))
             if tokens:
-                flat = np.concatenate(tokens)
-                owner = np.repeat(np.arange(docs), sent)
-                pid = ((flat >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(pid, kind="stable")
-                cuts = np.searchsorted(pid[order], np.arange(parts + 1))
-                out = [(p, flat[o].tobytes(), np.bincount(owner[o], minlength=docs).astype("<u4").tobytes()) for p in range(parts) if len(o := order[cuts[p] : cuts[p + 1]])]
+                out = _dealt(np.concatenate(tokens), np.repeat(np.arange(docs), sent), docs, parts)
                 m = len(out)
                 rows.append(pa.record_batch([pa.array(np.ones(m, np.int32)), pa.array(np.full(m, base)), n(m, kinds[2]), n(m, kinds[3]), n(m, kinds[4]), n(m, kinds[5]), pa.array([x[0] for x in out], kinds[6]), pa.array([x[1] for x in out], kinds[7]), pa.array([x[2] for x in out], kinds[8]), pa.array([sizes.astype("<u4").tobytes()] * m, kinds[9])], names))
             base += docs
@@ -121,6 +120,41 @@ def _sets(parts: int):
     return run
 
 
+def _dealt(flat: np.ndarray, owner: np.ndarray, docs: int, parts: int) -> list[tuple[int, bytes, bytes]]:
+    """Hashes dealt out by value, each part with how many of them each of the documents has."""
+    pid = ((flat >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(pid, kind="stable")
+    cuts = np.searchsorted(pid[order], np.arange(parts + 1))
+    return [(p, flat[o].tobytes(), np.bincount(owner[o], minlength=docs).astype("<u4").tobytes()) for p in range(parts) if len(o := order[cuts[p] : cuts[p + 1]])]
+
+
+_WHOLE = "kind int, slot bigint, doc_id bigint, pid int, tokens binary, counts binary, sizes binary"
+
+
+def _whole(parts: int):
+    """From ids and whole sets: rows of kind 0, one for each set, and of kind 1, all hashes dealt out by value."""
+    names = [c.split()[0] for c in _WHOLE.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 34
+        for b in batches:
+            docs = b.num_rows
+            if not docs:
+                continue
+            sets = [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()]
+            sizes = np.array([len(s) for s in sets], "<u4")
+            yield pa.record_batch([pa.array(np.zeros(docs, np.int32)), pa.array(base + np.arange(docs)), b.column(0), *[pa.nulls(docs, k) for k in kinds[3:]]], names)
+            out = _dealt(np.concatenate(sets), np.repeat(np.arange(docs), sizes), docs, parts)
+            m = len(out)
+            yield pa.record_batch([pa.array(np.ones(m, np.int32)), pa.array(np.full(m, base)), pa.nulls(m, kinds[2]), *[pa.array([x[i] for x in out], kinds[3 + i]) for i in range(3)], pa.array([sizes.tobytes()] * m, kinds[6])], names)
+            base += docs
+
+    return run
+
+
 _SHARED = "part int, slots binary, sizes binary, lengths binary, tokens binary, counts binary"
 _RARE = "token bigint, n int, slot bigint"
 
@@ -165,20 +199,27 @@ def _shared(parts: int):
     return run
 
 
-def _rare(t: pa.Table) -> pa.Table:
-    """Of one part of the documents: the rarest shared hashes of those that share enough."""
-    read = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
-    lengths = np.concatenate(read("lengths", "<i4"))
-    slot, size = (np.repeat(np.concatenate(read(c, k)), lengths) for c, k in (("slots", "<i8"), ("sizes", "<i4")))
-    token, df = np.concatenate(read("tokens", "<u8")), np.concatenate(read("counts", "<u4"))
-    order = np.lexsort((token, df, slot))
-    slot, size, token = slot[order], size[order].astype(np.int64), token[order]
-    begins = np.flatnonzero(np.concatenate([[True], np.diff(slot) != 0]))
-    held = np.diff(np.append(begins, len(slot)))
-    most = needed(size[begins])
-    place = np.arange(len(slot)) - np.repeat(begins, held)
-    keep = (place <= np.repeat(held - most, held)) & np.repeat(held >= most, held)
-    return pa.table([pa.array(token[keep].view(np.int64)), pa.array(size[keep].astype(np.int32)), pa.array(slot[keep])], [c.split()[0] for c in _RARE.split(", ")])
+def _rarest(order: np.ndarray, held: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which rows, in ``order`` of slots and rarest first, are all but the last ``most - 1`` of a slot's ``held``; none of slots that hold less than ``most``."""
+    place = np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held)
+    return order[(place <= np.repeat(held - most, held)) & np.repeat(held >= most, held)]
+
+
+def _rare(shared: Callable):
+    """Of one part of the documents: the rarest shared hashes of those that share enough, by ``shared`` what a set of some size has to."""
+
+    def run(t: pa.Table) -> pa.Table:
+        read = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
+        lengths = np.concatenate(read("lengths", "<i4"))
+        slot, size = (np.repeat(np.concatenate(read(c, k)), lengths) for c, k in (("slots", "<i8"), ("sizes", "<i4")))
+        token, df = np.concatenate(read("tokens", "<u8")), np.concatenate(read("counts", "<u4"))
+        order = np.lexsort((token, df, slot))
+        begins = np.flatnonzero(np.concatenate([[True], np.diff(slot[order]) != 0]))
+        held = np.diff(np.append(begins, len(slot)))
+        keep = _rarest(order, held, shared(size[order[begins]].astype(np.int64)))
+        return pa.table([pa.array(token[keep].view(np.int64)), pa.array(size[keep].astype(np.int32)), pa.array(slot[keep])], [c.split()[0] for c in _RARE.split(", ")])
+
+    return run
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,11 +324,61 @@ class Trie:
             node, at = kid, at + k
 
 
+def fall_apart(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
+    """Components of sets, by position, that hold all links between them; sets that can't link are in none.
+
+    Linked sets share one of the rarest of their hashes that another set has too, and have compatible sizes.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    own = np.repeat(np.arange(len(sets)), size)
+    _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times[inverse] > 1)
+    token, own, df = inverse[some], own[some], times[inverse[some]]
+    held = np.bincount(own, minlength=len(sets))
+    keep = _rarest(np.lexsort((token, df, own)), held, least_overlap(size, percent))
+    token, own = token[keep], own[keep]
+    order = np.lexsort((own, size[own], token))
+    token, own = token[order], own[order]
+    n = size[own]
+    joins = np.flatnonzero((token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:]))
+    parent = list(range(len(sets)))
+    for i, j in np.unique(np.stack([own[joins], own[joins + 1]], 1), axis=0).tolist():
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        while parent[j] != j:
+            parent[j] = j = parent[parent[j]]
+        parent[max(i, j)] = min(i, j)
+    for i in range(len(sets)):
+        parent[i] = parent[parent[i]]
+    root = np.array(parent)
+    order = np.argsort(root, kind="stable")
+    cuts = np.flatnonzero(np.diff(root[order])) + 1
+    return [part for part in np.split(order, cuts) if len(part) > 1]
+
+
 def link(sets: list[np.ndarray], probes: list[bool] | None = None, stored: list[bool] | None = None, percent: int = PERCENT) -> list[int]:
     """For each set the first set (by position) of its component.
 
     ``probes`` and ``stored`` say which sets ask and which are asked; all by default.
     """
+    first = list(range(len(sets)))
+    todo = [np.arange(len(sets))] if sets else []
+    while todo:
+        some = todo.pop()
+        if probes is not None and not (any(probes[i] for i in some) and any(stored[i] for i in some)):
+            continue
+        parts = fall_apart([sets[i] for i in some], percent)
+        if len(parts) == 1 and len(parts[0]) == len(some):
+            own = lambda flags: flags and [flags[i] for i in some]  # noqa: B023, E731
+            for i, k in zip(some.tolist(), _tried([sets[i] for i in some], own(probes), own(stored), percent), strict=True):
+                first[i] = int(some[k])
+        else:
+            todo.extend(some[p] for p in parts)
+    return first
+
+
+def _tried(sets: list[np.ndarray], probes: list[bool] | None, stored: list[bool] | None, percent: int) -> list[int]:
+    """As ``link`` by a trie of all the sets."""
     flat = np.concatenate(sets)
     tokens, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(tokens), np.int64)
@@ -328,6 +419,31 @@ def _verify(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
 
 
+def _heads_of(shared: DataFrame, least: Callable, parts: int) -> DataFrame:
+    """Documents (by slot) and the heads that they join by their rarest shared hashes."""
+    rare = shared.groupBy("part").applyInArrow(_rare(least), _RARE)
+    return rare.repartition(parts, "token").sortWithinPartitions("token", "n", "slot").mapInArrow(_heads, _LINKS).distinct()
+
+
+def _finer(sets: DataFrame, work: WorkTables, parts: int) -> DataFrame:
+    """The sets with those of large groups in the components that their whole sets leave; sets that can't link are left out."""
+    total = sets.groupBy("group").agg(F.sum(F.col("n").cast("long") * 8).alias("total"))
+    large = work.keep(total.filter(F.col("total") > CHUNK_BYTES).select("group"), "large")
+    if large.isEmpty():
+        return sets
+    big = sets.join(large, "group", "left_semi")
+    made = work.keep(big.select("doc_id", "tokens").mapInArrow(uncollected(_whole(parts)), _WHOLE), "whole")
+    shared = made.filter(F.col("kind") == 1).groupBy("pid").applyInArrow(_shared(parts), _SHARED)
+    heads = work.keep(_heads_of(shared, least_overlap, parts), "finer-heads")
+    of = lambda name: made.filter(F.col("kind") == 0).select(F.col("slot").alias(name), F.col("doc_id").alias(f"{name}_id"))
+    joins = heads.join(of("u"), "u").join(of("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
+    groups = components(joins, work, "finer").select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
+    finer = work.keep(big.drop("group").join(groups, "doc_id").select(*sets.columns), "finer")
+    work.drop("whole", "finer-heads")
+    work.release()
+    return sets.join(large, "group", "left_anti").select(*sets.columns).unionByName(finer)
+
+
 def join(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     spark = prepare(docs.sparkSession)
@@ -344,8 +460,7 @@ def join(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
     classes = work.keep(spread_join(known, first, ["s1", "s2"], total).select("slot", "doc_id", "n", "first").unionByName(alone), "classes")
 
     shared = made.filter(F.col("kind") == 1).groupBy("pid").applyInArrow(_shared(parts), _SHARED)
-    rare = shared.groupBy("part").applyInArrow(_rare, _RARE)
-    heads = work.keep(rare.repartition(parts, "token").sortWithinPartitions("token", "n", "slot").mapInArrow(_heads, _LINKS).distinct(), "heads")
+    heads = work.keep(_heads_of(shared, needed, parts), "heads")
     work.drop("sets")
     work.release()
 
@@ -365,12 +480,12 @@ def join(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
     sets = map_batches(chosen.select("doc_id", "group", "text"), read, "doc_id bigint, group bigint, s1 bigint, s2 bigint, n int, tokens binary")
     sets = work.keep(sets.filter(F.col("n") > 0).dropDuplicates(["doc_id", "s1", "s2"]).drop("s1", "s2"), "candidates")
     work.release()
-    links = _in_chunks(sets).groupBy("group", "a", "b").applyInArrow(_verify, _LINKS)
+    links = _in_chunks(_finer(sets, work, parts)).groupBy("group", "a", "b").applyInArrow(_verify, _LINKS)
     # a document that is in several classes of equal sets joins them
     several = classes.filter(F.col("first").isNotNull()).groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter(F.col("low") < F.col("high")).select(F.col("doc_id").alias("u"))
     same = several.join(classes.select(F.col("doc_id").alias("u"), F.col("first").alias("v")), "u").filter(F.col("v").isNotNull())
     roots = work.keep(components(links.unionByName(same), work, "links"), "roots")
-    work.drop("candidates", "heads", "groups")
+    work.drop("candidates", "finer", "heads", "groups")
     # a set that a great many documents have would be one key of the join
     sizes = classes.filter(F.col("first").isNotNull()).groupBy("first").agg(F.count("*").alias("ends"))
     found = sizes.join(roots.select(F.col("node").alias("first"), "root"), "first", "left")

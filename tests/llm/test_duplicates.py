@@ -85,6 +85,32 @@ def test_join_in_chunks(spark, monkeypatch):
     check_join(spark, rows + [(100 + i, lines(base[: 60 + 3 * i])) for i in range(20)])
 
 
+def test_frequent_passage_needs_no_trie(monkeypatch):
+    g = np.random.default_rng(4)
+    hot = np.arange(20, dtype=np.uint64)
+    sets = [np.concatenate([hot, np.sort(g.choice(1 << 40, 30, replace=False)).astype(np.uint64) + np.uint64(100)]) for _ in range(300)]
+    sets += [np.append(s[:-1], np.uint64(1 << 50)) for s in sets[:5]]
+    added = []
+    add = jaccard_join.Trie.add
+    monkeypatch.setattr(jaccard_join.Trie, "add", lambda self, me, ranks: (added.append(me), add(self, me, ranks))[1])
+    assert jaccard_join.link(sets) == [*range(300), *range(5)]
+    assert len(added) == 10
+    chunk = [i % 2 == 0 for i in range(305)]
+    found = jaccard_join.link(sets, chunk, [not c for c in chunk])
+    assert found == [*range(300), *[i if chunk[i] == chunk[i - 300] else i - 300 for i in range(300, 305)]]
+
+
+def test_large_groups_fall_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 8_000)
+    sizes, in_chunks = [], jaccard_join._in_chunks
+    monkeypatch.setattr(jaccard_join, "_in_chunks", lambda sets: (sizes.extend(r["count"] for r in sets.groupBy("group").count().collect()), in_chunks(sets))[1])
+    hot = prose(16, 78)
+    rows = [(i, lines(hot + prose(24, 2000 + i))) for i in range(200)]
+    rows += [(500 + i, lines(mutated((hot + prose(24, 2000 + i)), 1, i))) for i in range(20)]
+    check_join(spark, rows)
+    assert sizes and max(sizes) <= 5
+
+
 def test_size_classes_are_neighbours():
     n = np.arange(1, 20_000)
     cls = np.floor(np.log(n) / np.log(jaccard_join.STEP))
