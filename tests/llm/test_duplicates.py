@@ -484,6 +484,19 @@ def test_pipeline_stages(spark, awkward, data):
     assert 15 not in ids and 1 not in ids and 6 in ids and 14 in ids
 
 
+def test_pipeline_joins_frequent_passages(spark, data, monkeypatch):
+    sizes, in_chunks = [], jaccard_join._in_chunks
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 8_000)
+    monkeypatch.setattr(jaccard_join, "_in_chunks", lambda sets: (sizes.extend(r["count"] for r in sets.groupBy("group").count().collect()), in_chunks(sets))[1])
+    hot = prose(16, 79)
+    texts = [hot + prose(24, 3000 + i) for i in range(150)]
+    rows = [(i, lines(t)) for i, t in enumerate(texts)] + [(500 + i, lines([*t, "q"])) for i, t in enumerate(texts[:10])]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t), "x", 1, "y") for i, t in rows], SCHEMA).repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, data).collect()
+    assert sorted(r.doc_id for r in kept) == [*range(150)]
+    assert sizes and max(sizes) <= 4
+
+
 def test_pipeline_on_empty(spark, empty, data):
     docs = empty
     for name, stage in corpus_pipeline.STAGES:
