@@ -18,7 +18,7 @@ different sets is lost:
    share ``l`` of them, ``l`` being what they have in common at least. Inside a task the same is done again, with the
    frequencies among its sets, until components don't fall apart any more.
 5. **Tries.** In each component, sets are ordered by one global order (frequent first, then hash) and
-   stored in a radix trie. A probe walks it, sharing the overlap of common beginnings, and leaves a
+   stored in a radix trie, without the hashes that no other has. Probes walk it together, sharing the overlap of common beginnings, and leave a
    subtree when the sizes below it, the misses so far or the rest of the probe are too little, or
    when all sets below are in its own component already. Components that are still of more than ``CHUNK_BYTES`` of hashes
    are cut into classes by set size, linked sets being in the same or in neighbouring classes, and classes
@@ -35,7 +35,6 @@ links with, and each row has its own text's ``n_shingles``; other columns are ig
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -241,24 +240,32 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Node:
-    __slots__ = ("segment", "last", "kids", "low", "high", "owner", "here")
+    __slots__ = ("segment", "last", "kids", "low", "high", "slack", "here", "label")
 
-    def __init__(self, segment: list[int], size: int, owner: int):
+    def __init__(self, segment: list[int], size: int, slack: int):
         self.segment, self.last = segment, segment[-1] if segment else -1
         self.kids: dict[int, _Node] = {}
         self.low = self.high = size  # sizes of the sets below
-        self.owner: int | None = owner  # a set of the component that all sets below are in, if it's one
+        self.slack = slack  # the most of (100 + percent) * ranks - percent * size of a set below
         self.here: list[int] = []  # sets that end here
+        self.label = -1  # the component that all sets below are in, if it's one
+
+
+#: Probes that walk the trie together, at most; and ranks of a segment, times probes, that are looked at between two cuts.
+PROBES, PIECE = 1024, 1 << 15
 
 
 class Trie:
-    """Radix trie of sets, each a sorted list of ranks in one global order, with their components."""
+    """Radix trie of sets, each a sorted list of ranks in one global order, with their components.
+
+    ``sizes`` count the hashes that no other set has too; the ranks needn't hold those.
+    """
 
-    def __init__(self, count: int, percent: int = PERCENT):
-        self.parent = list(range(count))
-        self.percent = percent
-        self.root = _Node([], 0, None)
-        self.root.low, self.root.high = 1 << 60, 0
+    def __init__(self, sizes: np.ndarray, percent: int = PERCENT):
+        self.sizes, self.percent = sizes, percent
+        self.parent = list(range(len(sizes)))
+        self.root = _Node([], 1 << 60, -(1 << 60))
+        self.root.high = 0
 
     def find(self, i: int) -> int:
         p = self.parent
@@ -272,57 +279,103 @@ class Trie:
         if i != j:
             self.parent[max(i, j)] = min(i, j)
 
-    def probe(self, me: int, ranks: list[int]) -> None:
-        """Join ``me`` with the components of all stored sets that it links with."""
-        size, t = len(ranks), self.percent
-        own = set(ranks)
-        least, most = -(-t * size // 100), 100 * size // t
-        stack = [(self.root, 0, 0)]
-        while stack:
-            node, depth, shared = stack.pop()
-            if node.low > most or node.high < least:
-                continue
-            if node.owner is not None and self.find(node.owner) == self.find(me):
-                continue
-            if node.segment:
-                shared += len(own.intersection(node.segment))
-                depth += len(node.segment)
-            high = min(node.high, most)
-            # the most that sets of size b below can share: b less the misses, and what is left of the probe
-            if (100 + t) * (high - depth + shared) < t * (size + high):
-                continue
-            if (100 + t) * (shared + size - bisect_right(ranks, node.last)) < t * (size + max(node.low, least)):
-                continue
-            if node.here and 100 * shared >= t * (size + depth - shared):
-                self.union(me, node.here[0])
-            stack.extend((k, depth, shared) for k in node.kids.values())
-
     def add(self, me: int, ranks: list[int]) -> None:
-        node, at, size = self.root, 0, len(ranks)
+        node, at, end, size = self.root, 0, len(ranks), int(self.sizes[me])
+        slack = (100 + self.percent) * end - self.percent * size
         while True:
-            node.low, node.high = min(node.low, size), max(node.high, size)
-            if node.owner is not None and self.find(node.owner) != self.find(me):
-                node.owner = None
-            if at == size:
+            node.low, node.high, node.slack = min(node.low, size), max(node.high, size), max(node.slack, slack)
+            if at == end:
                 node.here.append(me)
                 return
             kid = node.kids.get(ranks[at])
             if kid is None:
-                kid = node.kids[ranks[at]] = _Node(ranks[at:], size, me)
+                kid = node.kids[ranks[at]] = _Node(ranks[at:], size, slack)
                 kid.here.append(me)
                 return
             s, k = kid.segment, 0
-            while k < len(s) and at + k < size and s[k] == ranks[at + k]:
+            while k < len(s) and at + k < end and s[k] == ranks[at + k]:
                 k += 1
             if k < len(s):  # the path parts inside the segment
-                upper = _Node(s[:k], size, kid.owner)
-                upper.low, upper.high = kid.low, kid.high
+                upper = _Node(s[:k], size, slack)
+                upper.low, upper.high, upper.slack = kid.low, kid.high, kid.slack
                 kid.segment = s[k:]
                 upper.kids[s[k]] = kid
                 node.kids[ranks[at]] = upper
                 kid = upper
             node, at = kid, at + k
 
+    def probe(self, sets: list[int], ranked: list[np.ndarray], larger: bool) -> None:
+        """Join sets with the components of all stored sets that they link with; only of those not smaller than themselves, if ``larger``.
+
+        Many probes walk the trie together, more from time to time: what the first have joined is one component to the next.
+        """
+        nodes = [self.root]
+        for node in nodes:
+            nodes.extend(node.kids.values())
+            node.here.sort(key=self.sizes.__getitem__)
+        at, step = 0, 64
+        while at < len(sets):
+            for node in reversed(nodes):
+                labels = {self.find(i) for i in node.here[:2]} | {k.label for k in node.kids.values()}
+                node.label = labels.pop() if len(labels) == 1 and all(self.find(i) == self.find(node.here[0]) for i in node.here[2:]) else -1
+            some = sets[at : at + step]
+            self._walk(np.array(some), [ranked[i] for i in some], larger)
+            at, step = at + step, min(2 * step, PROBES)
+
+    def _walk(self, some: np.ndarray, ranked: list[np.ndarray], larger: bool) -> None:
+        t, m = self.percent, len(some)
+        size, kept = self.sizes[some], np.array([len(r) for r in ranked])
+        least, most = size if larger else -(-t * size // 100), 100 * size // t
+        own = np.array([self.find(i) for i in some.tolist()])
+        # ranks that many of the probes have are rows of a table, of the others there is a list of the probes that have them
+        flat, who = np.concatenate(ranked), np.repeat(np.arange(m), kept)
+        order = np.argsort(flat, kind="stable")
+        flat, who = flat[order], who[order]
+        begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        times = np.diff(np.append(begins, len(flat)))
+        many = times > max(1, m // 16)
+        edges = flat[begins[many]]
+        table = np.zeros((len(edges), m), np.uint8)
+        table[np.repeat(np.arange(len(edges)), times[many]), who[np.repeat(many, times)]] = 1
+        seen = np.concatenate([np.zeros((1, m), np.int32), np.cumsum(table, axis=0, dtype=np.int32)])  # of the table's ranks, in order
+        row, few = (dict(zip(flat[begins[held]].tolist(), at, strict=True)) for held, at in ((many, range(len(edges))), (~many, begins[~many].tolist())))
+        ends = dict(zip(begins.tolist(), (begins + times).tolist(), strict=True))
+        stack = [(self.root, np.arange(m), np.zeros(m, np.int64), 0)]
+        while stack:
+            node, live, shared, depth = stack.pop()
+            segment, low = node.segment, node.low
+            k = 0
+            while True:
+                piece = segment[k : k + 32 + PIECE // len(live)]
+                last, k = piece[-1] if piece else -1, k + len(piece)
+                if piece:
+                    rows, lists = [row[r] for r in piece if r in row], [who[few[r] : ends[few[r]]] for r in piece if r in few]
+                    if rows:
+                        shared = shared + table[rows].take(live, axis=1).sum(axis=0, dtype=np.int64)
+                    if lists:
+                        shared = shared + np.bincount(np.concatenate(lists), minlength=m)[live]
+                    depth += len(piece)
+                # ranks of the probe that may still come; those of the lists all may
+                left = kept[live] - seen[np.searchsorted(edges, last, "right"), live]
+                fits = (node.slack - (100 + t) * (depth - shared) >= t * size[live]) & (low <= most[live]) & (node.high >= least[live])
+                fits &= (100 + t) * (shared + left) >= t * (size[live] + np.maximum(low, least[live]))
+                if node.label >= 0:
+                    fits &= own[live] != node.label
+                live, shared = live[fits], shared[fits]
+                if k >= len(segment) or not len(live):
+                    break
+            if not len(live):
+                continue
+            if node.here:
+                # the smaller a set that ends here, the sooner it links
+                count = np.searchsorted(self.sizes[node.here], (100 + t) * shared // t - size[live], "right")
+                if count.any():
+                    for i in some[live[count > 0]].tolist():
+                        self.union(i, node.here[0])
+                    for i in node.here[1 : int(count.max())]:
+                        self.union(i, node.here[0])
+            stack.extend((kid, live, shared, depth) for kid in node.kids.values())
+
 
 def fall_apart(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
     """Components of sets, by position, that hold all links between them; sets that can't link are in none.
@@ -378,27 +431,21 @@ def link(sets: list[np.ndarray], probes: list[bool] | None = None, stored: list[
 
 
 def _tried(sets: list[np.ndarray], probes: list[bool] | None, stored: list[bool] | None, percent: int) -> list[int]:
-    """As ``link`` by a trie of all the sets."""
-    flat = np.concatenate(sets)
-    tokens, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
+    """As ``link`` by a trie of all the sets; hashes that only one set has count in its size alone."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    own = np.repeat(np.arange(len(sets)), sizes)
+    tokens, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(tokens), np.int64)
     rank[np.lexsort((tokens, -times))] = np.arange(len(tokens))
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
-    shared = list(range(len(tokens)))  # one object for each rank, however many sets have it
-    ranked = [list(map(shared.__getitem__, np.sort(r).tolist())) for r in np.split(rank[inverse], cuts)]
-    trie = Trie(len(sets), percent)
-    order = sorted(range(len(sets)), key=lambda i: (len(ranked[i]), i))
-    if probes is None:
-        for i in order:
-            trie.probe(i, ranked[i])
-            trie.add(i, ranked[i])
-    else:
-        for i in order:
-            if stored[i]:
-                trie.add(i, ranked[i])
-        for i in order:
-            if probes[i]:
-                trie.probe(i, ranked[i])
+    some = np.flatnonzero(times[inverse] > 1)
+    some = some[np.lexsort((rank[inverse[some]], own[some]))]
+    ranked = np.split(rank[inverse[some]], np.cumsum(np.bincount(own[some], minlength=len(sets)))[:-1])
+    trie = Trie(sizes, percent)
+    order = [i for i in np.argsort(sizes, kind="stable").tolist() if len(ranked[i])]
+    for i in order:
+        if stored is None or stored[i]:
+            trie.add(i, ranked[i].tolist())
+    trie.probe([i for i in order if probes is None or probes[i]], ranked, probes is None)
     return [trie.find(i) for i in range(len(sets))]
 
 

@@ -156,6 +156,28 @@ def test_trie_against_all_pairs():
         assert [find(i) for i in range(len(sets))] == found
 
 
+def test_near_copies_walk_together(monkeypatch):
+    g, sets = np.random.default_rng(6), []
+    for i in range(600):
+        one = np.arange(120, dtype=np.uint64)
+        at = g.choice(120, g.integers(2, 30), replace=False)
+        one[at] = np.uint64(1000 + 200 * i) + at.astype(np.uint64)
+        sets.append(np.sort(one[g.integers(0, 20) :]))
+    has = np.zeros((600, 1000 + 200 * 601), np.float32)
+    for i, s in enumerate(sets):
+        has[i, s.astype(np.int64)] = 1
+    common = has @ has.T
+    sizes = has.sum(axis=1)
+    joined = 100 * common >= 75 * (sizes[:, None] + sizes - common)
+    root = np.arange(600)
+    while not np.array_equal(root, after := np.where(joined, root, 600).min(axis=1)):
+        root = after
+    asked, find = [], jaccard_join.Trie.find
+    monkeypatch.setattr(jaccard_join.Trie, "find", lambda self, i: (asked.append(i), find(self, i))[1])
+    assert jaccard_join.link(sets) == root.tolist() and 20 < len(set(root.tolist())) < 580
+    assert len(asked) < 60 * len(sets)
+
+
 def test_prefix_bounds():
     for n in range(1, 300):
         for m in range(jaccard_join.least_overlap(n), n + 1):
