@@ -26,8 +26,12 @@ pieces of ``ROUND`` positions that overlap by one passage less a shingle, which
 
 Documents with equal sequences of words are one to these steps; the others of each such class then match its first.
 
-Near repeats meet with high probability and not with certainty: at a similarity of 0.75 two of four functions
-agree in 95 % of cases, and a window that meets more than its partners' documents meets only those.
+5. Near repeats meet in steps 1 and 2 with high probability only. So what is found so far makes components of documents, and
+   what could still link two of them is looked for exactly: shingles that several components have are marked in
+   a bitmap; a passage can match in another component only if 75 % of its distinct shingles are marked, and
+   two that match have a common one among a few smallest of each (its seeds). All pairs of equal seeds of two components go through step
+   3. So documents that hold matching passages are always in one component of the links, up to hash collisions;
+   of documents in one component, not each pair is a row.
 
 Defined cases: null and empty texts, and those under ``LENGTH + 4`` words, have no passages; passages
 repeated inside one document alone are not reported; a null ``doc_id`` is not compared; rows that repeat an id
@@ -46,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WorkTables, hash_runs, hash_words, likely_in, prepare, shingles_of, text_bytes, uncollected, word_spans
-from .components import spread_join
+from .components import components, spread_join
 
 WIDTH = 5
 LENGTH = 46
@@ -917,6 +921,199 @@ def _together(texts: DataFrame, rows: DataFrame, columns: dict[str, str], order:
     return one.unionByName(two).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", F.col("text").isNull(), *order).drop("salt")
 
 
+#: Bits of the map of shingles that several components have: 8 MB whatever the input; a full one lets more through and loses none.
+MAP_BITS = 26
+_DEALT = "pid int, hashes binary, counts binary, groups binary"
+_BITS = "bucket int, bit int"
+_SEEDS = "hash bigint, grp bigint, key bigint, place int"
+
+
+def _whole_shingles(b: pa.RecordBatch, seen: set[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and shingles of the documents of a batch (``key, grp, text``) that have passages, of equal ones of a component the first."""
+    import xxhash
+
+    for i, (h, group) in enumerate(zip(shingles_of(b.column(2), WIDTH), b.column(1).to_pylist(), strict=True)):
+        if len(h) >= LENGTH:
+            digest = xxhash.xxh3_128_digest(h.tobytes() + group.to_bytes(8, "little", signed=True))
+            if digest not in seen:
+                seen.add(digest)
+                yield i, h
+
+
+def _all_shingles(parts: int):
+    """All shingles dealt out by value, each part with how many of them each document has and the documents' components."""
+    names = [c.split()[0] for c in _DEALT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            some = list(_whole_shingles(b, seen))
+            if not some:
+                continue
+            groups = b.column(1).to_numpy()[[i for i, _ in some]].astype("<i8")
+            flat = np.concatenate([h for _, h in some])
+            own = np.repeat(np.arange(len(some)), [len(h) for _, h in some])
+            pid = ((flat >> np.uint64(7)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(pid, kind="stable")
+            cuts = np.searchsorted(pid[order], np.arange(parts + 1))
+            small = (flat >> np.uint64(32)).astype("<u4")
+            rows = []
+            for k in range(parts):
+                o = order[cuts[k] : cuts[k + 1]]
+                if len(o):
+                    counts = np.bincount(own[o], minlength=len(some))
+                    has = counts > 0
+                    rows.append((k, small[o].tobytes(), counts[has].astype("<u4").tobytes(), groups[has].tobytes()))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names)
+
+    return run
+
+
+def _in_several(t: pa.Table) -> pa.Table:
+    """Of one range of shingles: bits of those that documents of several components have."""
+    read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
+    value, group = read("hashes", "<u4"), np.repeat(read("groups", "<i8"), read("counts", "<u4"))
+    order = np.argsort(value, kind="stable")
+    value, group = value[order], group[order]
+    begins = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    several = np.minimum.reduceat(group, begins) != np.maximum.reduceat(group, begins)
+    at = np.unique(value[begins[several]] & np.uint32((1 << MAP_BITS) - 1))
+    return pa.table([pa.array((at >> 15).astype(np.int32)), pa.array((at & 32767).astype(np.int32))], ["bucket", "bit"])
+
+
+def open_passages(h: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Places of seeds: two passages that match have one's shingle in common, at a seed of each.
+
+    Of a passage with ``m`` distinct shingles a matching one has ``PERCENT`` % at least, all of them ``shared``. So the passages with enough
+    shared ones are left, and of each as many of its smallest shared values as may be amiss, and one more.
+    """
+    n = len(h) - LENGTH + 1
+    held = np.concatenate([[0], np.cumsum(shared)])
+    held = held[LENGTH:] - held[:-LENGTH]
+    if not held.any() or not (100 * held >= PERCENT * LENGTH).any() and len(np.unique(h)) == len(h):
+        return np.zeros(0, np.int64)
+    piece = np.zeros(len(h), np.int64)
+    m = distinct_counts(h, piece)[:n]
+    # what no other component has, each once
+    alone = distinct_counts(np.where(shared, np.uint64(0), h), piece)[:n] - (held > 0)
+    most = m + (-PERCENT * m) // 100 + 1 - alone
+    good = np.flatnonzero((held > 0) & (most > 0))
+    none = np.uint64((1 << 64) - 1)
+    views = np.lib.stride_tricks.sliding_window_view(np.where(shared, mixed(h, 1), none), LENGTH)
+    seed = np.zeros(len(h), bool)
+    for k in range(0, len(good), 4096):
+        some = good[k : k + 4096]
+        rows = views[some]
+        order = np.argsort(rows, axis=1)
+        rows = np.take_along_axis(rows, order, axis=1)
+        rank = np.ones(rows.shape, np.int64)
+        rank[:, 1:] += np.cumsum(rows[:, 1:] != rows[:, :-1], axis=1)
+        seed[(some[:, None] + order)[(rank <= most[some][:, None]) & (rows != none)]] = True
+    return _thinned(h, np.flatnonzero(seed))
+
+
+def _thinned(h: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of places with equal shingles as many as it takes for every passage that has one of them to have one still."""
+    places = places[np.argsort(h[places], kind="stable")]
+    cuts = np.flatnonzero(np.diff(h[places].view(np.int64)) != 0) + 1
+    out = []
+    for some in np.split(places, cuts) if len(places) else []:
+        at, last = 0, len(some) - 1
+        out.append(int(some[0]))
+        while at < last:
+            at = max(at + 1, int(np.searchsorted(some, some[at] + LENGTH, "right")) - 1)
+            out.append(int(some[at]))
+    return np.array(sorted(out), np.int64)
+
+
+def _seeds(bits):
+    """From documents: the shingles of passages that can match in another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(bits.value, np.uint8)
+        seen: set[bytes] = set()
+        for b in batches:
+            groups, keys = b.column(1), b.column(0)
+            for i, h in _whole_shingles(b, seen):
+                at = (h >> np.uint64(32)) & np.uint64((1 << MAP_BITS) - 1)
+                places = open_passages(h, (marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+                if len(places):
+                    n = len(places)
+                    yield pa.record_batch([pa.array(h[places].view(np.int64)), pa.array(np.full(n, groups[i].as_py())), pa.array(np.full(n, keys[i].as_py())), pa.array(places.astype(np.int32))], ["hash", "grp", "key", "place"])
+
+    return run
+
+
+def _seed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From seeds sorted by hash: all pairs of two components, the smaller key first."""
+    names = ["key", "b", "ca", "cb"]
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begins = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        for a, z in zip(begins.tolist(), np.append(begins[1:], len(rows)).tolist(), strict=True):
+            some = rows[a:z]
+            if z - a < 2 or (some[:, 1] == some[0, 1]).all():
+                continue
+            for k in range(1, z - a):
+                other = np.flatnonzero(some[:k, 1] != some[k, 1])
+                if len(other):
+                    x, y = some[other], np.broadcast_to(some[k], (len(other), 4))
+                    swap = (x[:, 2] > y[:, 2])[:, None]
+                    low, high = np.where(swap, y, x), np.where(swap, x, y)
+                    yield pa.record_batch([pa.array(low[:, 2]), pa.array(high[:, 2]), pa.array(low[:, 3].astype(np.int32)), pa.array(high[:, 3].astype(np.int32))], names)
+
+    held = np.zeros((0, 4), np.int64)
+    for b in batches:
+        rows = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1)])
+        if len(rows):
+            cut = int(np.argmax(rows[:, 0] == rows[-1, 0]))
+            held = rows[cut:]
+            if cut:
+                yield from pairs(rows[:cut])
+    if len(held):
+        yield from pairs(held)
+
+
+def _across(texts: DataFrame, found: DataFrame, work: WorkTables, parts: int) -> DataFrame:
+    """Anchors ``key, slot, b, ca, cb`` around all that passages of different components of ``found`` can match by; none is lost."""
+    spark = texts.sparkSession
+    linked = components(found.select(F.col("doc_id").alias("u"), F.col("match_id").alias("v")), work, "linked")
+    grouped = texts.join(linked.select(F.col("node").alias("id"), "root"), "id", "left").select("key", F.coalesce("root", "id").alias("grp"), "text")
+    dealt = grouped.mapInArrow(uncollected(_all_shingles(parts)), _DEALT)
+    several = dealt.groupBy("pid").applyInArrow(_in_several, _BITS)
+    maps = several.groupBy("bucket").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("map")).collect()
+    bits = bytearray(1 << MAP_BITS - 3)
+    for r in maps:
+        bits[r.bucket << 12 : (r.bucket + 1) << 12] = r.map
+    work.release()
+    seeds = work.keep(grouped.mapInArrow(uncollected(_seeds(spark.sparkContext.broadcast(bytes(bits)))), _SEEDS), "seeds")
+    met = seeds.repartition(parts, "hash").sortWithinPartitions("hash", "key", "place").mapInArrow(_seed_pairs, "key bigint, b bigint, ca int, cb int")
+    return work.keep(met.distinct().select("key", F.lit(None).cast("bigint").alias("slot"), "b", "ca", "cb"), "across")
+
+
+def _matched(anchors: DataFrame, texts: DataFrame, work: WorkTables, parts: int, name: str) -> DataFrame:
+    """Passages that match around anchors, and exact repeats among runs to hash."""
+    dealt, copied = _salted(anchors, "b", likely_in(texts, "key", anchors.select("key")), work, f"crowded{name}")
+    ordered = _together(copied, dealt, {"slot": "bigint", "b": "bigint", "ca": "int", "cb": "int"}, [F.col("b").asc_nulls_first(), "ca", "cb"], parts)
+    around = work.keep(ordered.mapInArrow(uncollected(_around(parts)), _AROUND), f"around{name}")
+    work.release()
+
+    runs = around.filter(F.col("pid").isNotNull()).select("pid", "base", "stretches", "hashes")
+    repeated = runs.repartition(parts, "pid").sortWithinPartitions("pid", "base").drop("base").mapInArrow(uncollected(_repeated), _REPEATS)
+    repeated = work.keep(repeated, f"repeated{name}")
+    near = around.filter(F.col("a").isNotNull())
+    work.release()
+
+    null = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    two = near.select(F.col("b").alias("key"), "a", "a_id", *null("int", "at", "to", "n"), "ca", "cb", "firsts", "counts", "words")
+    three = repeated.select("key", "a", "a_id", F.col("ca").alias("at"), F.col("cb").alias("to"), "n", *null("binary", "ca", "cb", "firsts", "counts"), *null("string", "words"))
+    found = two.unionByName(three)
+    dealt, copied = _salted(found, "a", likely_in(texts, "key", found.select("key")), work, f"crowded-matches{name}")
+    columns = {f.name: f.dataType.simpleString() for f in found.schema if f.name != "key"}
+    ordered = _together(copied, dealt, columns, ["a", F.col("at").asc_nulls_first(), "to"], parts)
+    return ordered.mapInArrow(uncollected(_verified), _MATCHES)
+
+
 def passages(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame:
     """``doc_id, match_id, start_word, end_word, match_start, similarity`` of repeated passages.
 
@@ -939,27 +1136,10 @@ def passages(docs: DataFrame, work: WorkTables, text: str = "text") -> DataFrame
     work.release()
 
     texts = source.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("row").alias("key"), F.col("doc_id").alias("id"), "text")
-    dealt, copied = _salted(anchors, "b", likely_in(texts, "key", anchors.select("key")), work, "crowded")
-    ordered = _together(copied, dealt, {"slot": "bigint", "b": "bigint", "ca": "int", "cb": "int"}, [F.col("b").asc_nulls_first(), "ca", "cb"], parts)
-    around = work.keep(ordered.mapInArrow(uncollected(_around(parts)), _AROUND), "around")
-    work.release()
-
-    runs = around.filter(F.col("pid").isNotNull()).select("pid", "base", "stretches", "hashes")
-    repeated = runs.repartition(parts, "pid").sortWithinPartitions("pid", "base").drop("base").mapInArrow(uncollected(_repeated), _REPEATS)
-    repeated = work.keep(repeated, "repeated")
-    near = around.filter(F.col("a").isNotNull())
-    work.release()
-
-    null = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
-    two = near.select(F.col("b").alias("key"), "a", "a_id", *null("int", "at", "to", "n"), "ca", "cb", "firsts", "counts", "words")
-    three = repeated.select("key", "a", "a_id", F.col("ca").alias("at"), F.col("cb").alias("to"), "n", *null("binary", "ca", "cb", "firsts", "counts"), *null("string", "words"))
-    found = two.unionByName(three)
-    dealt, copied = _salted(found, "a", likely_in(texts, "key", found.select("key")), work, "crowded-matches")
-    columns = {f.name: f.dataType.simpleString() for f in found.schema if f.name != "key"}
-    ordered = _together(copied, dealt, columns, ["a", F.col("at").asc_nulls_first(), "to"], parts)
-    found = ordered.mapInArrow(uncollected(_verified), _MATCHES)
-
     long = rows.filter((F.col("n") >= LENGTH) & F.col("doc_id").isNotNull())
     firsts = long.groupBy("s1", "s2").agg(F.min("doc_id").alias("match_id"), F.max("doc_id").alias("most"), F.count("*").alias("ends")).filter(F.col("match_id") < F.col("most")).drop("most")
     copies = spread_join(long, firsts, ["s1", "s2"], rows.count()).filter(F.col("doc_id") != F.col("match_id")).select("doc_id", "match_id", F.lit(0).cast("long").alias("start_word"), (F.col("n") + WIDTH - 1).cast("long").alias("end_word"), F.lit(0).cast("long").alias("match_start"), F.lit(1.0).alias("similarity"))
-    return found.unionByName(copies.distinct())
+    found = work.keep(_matched(anchors, texts, work, parts, "").unionByName(copies.distinct()), "found")
+    work.drop("anchors", "around", "repeated", "crowded", "crowded-matches")
+    work.release()
+    return found.unionByName(_matched(_across(texts, found, work, parts), texts, work, parts, "-across"))

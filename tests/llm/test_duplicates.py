@@ -444,6 +444,43 @@ def test_substrings_recall(spark):
     assert linked >= 0.9 and len({d for p in got for d in p}) >= 0.95 * len(alone)
 
 
+def test_substrings_lose_no_near_pair(spark):
+    r = random.Random(11)
+    words = lambda n: [f"{r.choice('abcdefgh')}{r.randrange(10**5)}" for _ in range(n)]
+    rows = []
+    for i in range(120):
+        one = words(50)
+        two = list(one)
+        two[r.randrange(8, 42)] = "edited"  # 41 of 46 shingles are shared, 0.80
+        more = r.choice((0, 30))
+        rows += [(2 * i, " ".join(words(more) + one + words(more))), (2 * i + 1, " ".join(words(more) + two + words(more)))]
+    found = substrings.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), WorkTables(spark, "t")).collect()
+    assert {tuple(sorted((x.doc_id, x.match_id))) for x in found} == {(2 * i, 2 * i + 1) for i in range(120)}
+
+
+def test_matching_passages_share_a_seed():
+    g, n, count = np.random.default_rng(0), substrings.LENGTH, 0
+    for trial in range(60):
+        most = (10**6, 30, 12)[trial % 3]
+        x = g.integers(1, most, 70).astype(np.uint64)
+        if trial % 3 == 2:
+            x = np.repeat(x, g.integers(1, 20, 70))[:90]
+        y = x.copy()
+        for _ in range(g.integers(0, 8)):
+            y[g.integers(0, len(y))] = 10**7 + g.integers(0, 5)
+        y = np.concatenate([g.integers(10**8, 10**9, 30).astype(np.uint64), y[g.integers(0, 20) :]])
+        px, py = substrings.open_passages(x, np.isin(x, y)), substrings.open_passages(y, np.isin(y, x))
+        for i in range(len(x) - n + 1):
+            a = set(x[i : i + n].tolist())
+            seeds = {int(x[p]) for p in px if i <= p < i + n}
+            for j in range(len(y) - n + 1):
+                b = set(y[j : j + n].tolist())
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    count += 1
+                    assert seeds & {int(y[p]) for p in py if j <= p < j + n}
+    assert count > 1000
+
+
 def test_substrings_small_rounds_and_salts(spark, monkeypatch):
     """Pieces of trees, crowded documents and meetings in many steps give what one of each gives."""
     rows, _ = planted(5, 80)
