@@ -97,20 +97,30 @@ class WorkTables:
 BITMAP_BITS = 25
 
 
-def likely_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows whose key's hash is set in a bitmap of the ids' hashes: all that are among the ids, and a few more.
-
-    Put before a join of wide rows with a small part of their keys, so that only those rows are
-    shuffled. The bitmap's size is fixed; with very many ids it lets more rows through.
-    """
+def _marked_in(df: DataFrame, key: str, ids: DataFrame, how: str) -> tuple[DataFrame, Column]:
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
     p = place(ids.columns[0])
     maps = ids.select(F.shiftright(p, 15).cast("int").alias("__bucket"), p.bitwiseAND(F.lit(32767)).alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
     at = place(key)
     byte = F.expr("cast(conv(hex(substring(__map, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)")
     marked = df.withColumn("__bucket", F.shiftright(at, 15).cast("int")).withColumn("__bit", at.bitwiseAND(F.lit(32767)))
-    hit = marked.join(F.broadcast(maps), "__bucket").filter(byte.bitwiseAND(F.expr("cast(pow(2, __bit % 8) as int)")) != 0)
-    return hit.select(*df.columns)
+    return marked.join(F.broadcast(maps), "__bucket", how), byte.bitwiseAND(F.expr("cast(pow(2, __bit % 8) as int)"))
+
+
+def likely_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key's hash is set in a bitmap of the ids' hashes: all that are among the ids, and a few more.
+
+    Put before a join of wide rows with a small part of their keys, so that only those rows are
+    shuffled. The bitmap's size is fixed; with very many ids it lets more rows through.
+    """
+    marked, bit = _marked_in(df, key, ids, "inner")
+    return marked.filter(bit != 0).select(*df.columns)
+
+
+def unlikely_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows that ``likely_in`` leaves out."""
+    marked, bit = _marked_in(df, key, ids, "left")
+    return marked.filter(F.coalesce(bit, F.lit(0)) == 0).select(*df.columns)
 
 
 def text_of(column: str = "text") -> Column:

@@ -29,9 +29,11 @@ Documents with equal sequences of words are one to these steps; the others of ea
 5. Near repeats meet in steps 1 and 2 with high probability only. So what is found so far makes components of documents, and
    what could still link two of them is looked for exactly: shingles that several components have are marked in
    a bitmap; a passage can match in another component only if 75 % of its distinct shingles are marked, and
-   two that match have a common one among a few smallest of each (its seeds). All pairs of equal seeds of two components go through step
-   3. So documents that hold matching passages are always in one component of the links, up to hash collisions;
-   of documents in one component, not each pair is a row.
+   two that match have a common one among a few smallest of each (its seeds). Seeds carry the 45 shingles to either side (32 bits of each) to where
+   equal ones meet; there all passages around them that can match are compared, until no two components are left that a match
+   joins, and only those matches go through step 3. So rows grow with the seeds, not with their pairs; documents
+   that hold matching passages are always in one component of the links, up to hash collisions; of documents in one
+   component, not each pair is a row.
 
 Defined cases: null and empty texts, and those under ``LENGTH + 4`` words, have no passages; passages
 repeated inside one document alone are not reported; a null ``doc_id`` is not compared; rows that repeat an id
@@ -49,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WorkTables, hash_runs, hash_words, likely_in, prepare, shingles_of, text_bytes, uncollected, word_spans
+from .common import WorkTables, hash_runs, hash_words, likely_in, prepare, shingles_of, text_bytes, uncollected, unlikely_in, word_spans
 from .components import components, spread_join
 
 WIDTH = 5
@@ -155,8 +157,13 @@ def window_records(tokens: list[np.ndarray], own: list[int]) -> np.ndarray:
     return rec[np.argsort(rec["own"].astype(np.uint64) << np.uint64(32) | rec["c"].astype(np.uint64), kind="stable")]
 
 
+def _part_kind(parts: int) -> type:
+    """Numbers of parts as narrow as they can be: short ones are sorted by radix."""
+    return np.uint16 if parts < 1 << 16 else np.int64
+
+
 def _dealt(rows: np.ndarray, value: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    pid = ((value >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
+    pid = ((value >> np.uint64(7)) % np.uint64(parts)).astype(_part_kind(parts))
     order = np.argsort(pid, kind="stable")
     cuts = np.searchsorted(pid[order], np.arange(parts + 1))
     return [(p, rows[order[cuts[p] : cuts[p + 1]]].tobytes()) for p in range(parts) if cuts[p + 1] > cuts[p]]
@@ -440,7 +447,7 @@ def _stretches(made: list[tuple[np.ndarray, np.ndarray]], parts: int) -> list[tu
     Neighbours mostly share that value, so they stay together, and it and six bytes more tell runs apart.
     """
     rec, total = (np.concatenate(x) for x in zip(*made, strict=True))
-    pid = ((rec["low"] >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
+    pid = ((rec["low"] >> np.uint64(7)) % np.uint64(parts)).astype(_part_kind(parts))
     each = np.repeat(pid, rec["n"])
     order, inner = np.argsort(pid, kind="stable"), np.argsort(each, kind="stable")
     cuts, ends = (np.searchsorted(x, np.arange(parts + 1)) for x in (pid[order], each[inner]))
@@ -925,7 +932,8 @@ def _together(texts: DataFrame, rows: DataFrame, columns: dict[str, str], order:
 MAP_BITS = 26
 _DEALT = "pid int, hashes binary, counts binary, groups binary"
 _BITS = "bucket int, bit int"
-_SEEDS = "hash bigint, grp bigint, key bigint, place int"
+_SEEDS = "hash bigint, grp bigint, key bigint, place int, around binary"
+_SEED_NAMES = [c.split()[0] for c in _SEEDS.split(", ")]
 
 
 def _whole_shingles(b: pa.RecordBatch, seen: set[bytes]) -> Iterator[tuple[int, np.ndarray]]:
@@ -953,7 +961,7 @@ def _all_shingles(parts: int):
             groups = b.column(1).to_numpy()[[i for i, _ in some]].astype("<i8")
             flat = np.concatenate([h for _, h in some])
             own = np.repeat(np.arange(len(some)), [len(h) for _, h in some])
-            pid = ((flat >> np.uint64(7)) % np.uint64(parts)).astype(np.int32)
+            pid = ((flat >> np.uint64(7)) % np.uint64(parts)).astype(_part_kind(parts))
             order = np.argsort(pid, kind="stable")
             cuts = np.searchsorted(pid[order], np.arange(parts + 1))
             small = (flat >> np.uint64(32)).astype("<u4")
@@ -973,7 +981,7 @@ def _in_several(t: pa.Table) -> pa.Table:
     """Of one range of shingles: bits of those that documents of several components have."""
     read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
     value, group = read("hashes", "<u4"), np.repeat(read("groups", "<i8"), read("counts", "<u4"))
-    order = np.argsort(value, kind="stable")
+    order = np.argsort(value)
     value, group = value[order], group[order]
     begins = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     several = np.minimum.reduceat(group, begins) != np.maximum.reduceat(group, begins)
@@ -988,10 +996,16 @@ def open_passages(h: np.ndarray, shared: np.ndarray) -> np.ndarray:
     shared ones are left, and of each as many of its smallest shared values as may be amiss, and one more.
     """
     n = len(h) - LENGTH + 1
-    held = np.concatenate([[0], np.cumsum(shared)])
+    held = np.concatenate([np.zeros(1, np.int64), np.cumsum(shared)])
     held = held[LENGTH:] - held[:-LENGTH]
-    if not held.any() or not (100 * held >= PERCENT * LENGTH).any() and len(np.unique(h)) == len(h):
+    top = int(held.max())
+    if not top:
         return np.zeros(0, np.int64)
+    if 100 * top < PERCENT * LENGTH:
+        # a passage has at least LENGTH distinct shingles less the repeats of its text
+        ordered = np.sort(h)
+        if 100 * top < PERCENT * (LENGTH - int((ordered[1:] == ordered[:-1]).sum())):
+            return np.zeros(0, np.int64)
     piece = np.zeros(len(h), np.int64)
     m = distinct_counts(h, piece)[:n]
     # what no other component has, each once
@@ -1027,58 +1041,205 @@ def _thinned(h: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _seeds(bits):
-    """From documents: the shingles of passages that can match in another component."""
+    """From documents: the shingles of passages that can match in another component, each with its neighbourhood."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(bits.value, np.uint8)
         seen: set[bytes] = set()
+        sent: dict[bytes, int] = {}  # of equal neighbourhoods of a component those of one document go on
         for b in batches:
-            groups, keys = b.column(1), b.column(0)
-            for i, h in _whole_shingles(b, seen):
-                at = (h >> np.uint64(32)) & np.uint64((1 << MAP_BITS) - 1)
-                places = open_passages(h, (marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
-                if len(places):
-                    n = len(places)
-                    yield pa.record_batch([pa.array(h[places].view(np.int64)), pa.array(np.full(n, groups[i].as_py())), pa.array(np.full(n, keys[i].as_py())), pa.array(places.astype(np.int32))], ["hash", "grp", "key", "place"])
+            groups, keys = b.column(1).to_pylist(), b.column(0).to_pylist()
+            some = list(_whole_shingles(b, seen))
+            if not some:
+                continue
+            lengths = np.array([len(h) for _, h in some])
+            at = (np.concatenate([h for _, h in some]) >> np.uint64(32)) & np.uint64((1 << MAP_BITS) - 1)
+            shared = (marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            begins = np.cumsum(lengths) - lengths
+            rows = []
+            for k in np.flatnonzero(np.logical_or.reduceat(shared, begins)).tolist():
+                i, h = some[k]
+                places = open_passages(h, shared[begins[k] : begins[k] + lengths[k]])
+                if not len(places):
+                    continue
+                for c, around in zip(places.tolist(), neighbourhoods(h, places), strict=True):
+                    around = around.tobytes()
+                    if sent.setdefault(around + groups[i].to_bytes(8, "little", signed=True), keys[i]) == keys[i]:
+                        rows.append((int(h[c].view(np.int64)), groups[i], keys[i], c, around))
+            if rows:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], _SEED_NAMES)
 
     return run
 
 
-def _seed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From seeds sorted by hash: all pairs of two components, the smaller key first."""
-    names = ["key", "b", "ca", "cb"]
-
-    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        begins = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-        for a, z in zip(begins.tolist(), np.append(begins[1:], len(rows)).tolist(), strict=True):
-            some = rows[a:z]
-            if z - a < 2 or (some[:, 1] == some[0, 1]).all():
+def neighbourhoods(h: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The upper halves of the shingles around each place, as ``matching_starts`` reads them."""
+    edge = np.zeros(LENGTH - 1, np.uint32)
+    small = np.maximum((h >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, small, edge]), 2 * LENGTH - 1)[places]
+
+
+class _Places:
+    """Rows of ``neighbourhoods`` numbered by value: which of their passages can match in another row."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+        values, ids = np.unique(rows, return_inverse=True)
+        n, width = rows.shape
+        self.ids, self.has, self.none = ids.reshape(rows.shape), np.zeros(len(values), bool), values[0] == 0
+        # the place before with the same value
+        order = np.argsort(self.ids, axis=1, kind="stable")
+        there = np.take_along_axis(self.ids, order, axis=1)
+        before = np.full((n, width), -1)
+        before[:, 1:] = np.where(there[:, 1:] == there[:, :-1], order[:, :-1], -1)
+        self.begins = np.empty_like(before)
+        np.put_along_axis(self.begins, order, before + 1, axis=1)
+        self.begins = np.maximum(self.begins, np.arange(width) - LENGTH + 1)
+        full = rows != 0
+        self.plain = (np.where(full, self.begins, 0) <= np.maximum(np.arange(width) - LENGTH + 1, 0)).all(axis=1)
+        # distinct shingles of each passage, too many where there is none
+        self.sizes = np.where(self._spans(full) == LENGTH, self._distinct(np.arange(n), full), 4 * LENGTH)
+        self.least = self.sizes.min(axis=1)
+
+    @staticmethod
+    def _spans(flags: np.ndarray) -> np.ndarray:
+        c = np.zeros((len(flags), flags.shape[1] + 1), np.int16)
+        np.cumsum(flags, axis=1, out=c[:, 1:])
+        return c[:, LENGTH:] - c[:, :-LENGTH]
+
+    def _distinct(self, some: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """For each passage of some rows how many distinct values are flagged."""
+        r, p = np.nonzero(flags)
+        begin = self.begins[some][r, p]
+        ok = begin < LENGTH  # else the value is counted at the place before in all passages
+        r, p, begin = r[ok], p[ok], begin[ok]
+        change = np.zeros((len(some), 2 * LENGTH), np.int32)
+        size = change.size
+        change += np.bincount(r * 2 * LENGTH + begin, minlength=size).reshape(change.shape)
+        change -= np.bincount(r * 2 * LENGTH + p + 1, minlength=size).reshape(change.shape)
+        return np.cumsum(change, axis=1)[:, :LENGTH]
+
+    def _enough(self, shared: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> np.ndarray:
+        return ((100 + PERCENT) * shared.astype(np.int64) >= PERCENT * (sizes + least)).any(axis=1)
+
+    def like(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Of other rows those with a passage that shares enough values with row ``i``, and the other way round."""
+        if self.least[i] > LENGTH:
+            return others[:0]
+        self.has[self.ids[i]] = True
+        self.has[0] &= not self.none
+        flags = self.has[self.ids[others]]
+        self.has[self.ids[i]] = False
+        ok = self._enough(self._spans(flags), self.sizes[others], self.least[i])  # places are no fewer than values
+        others, flags = others[ok], flags[ok]
+        rest = np.flatnonzero(~self.plain[others])
+        if len(rest):
+            ok = np.ones(len(others), bool)
+            ok[rest] = self._enough(self._distinct(others[rest], flags[rest]), self.sizes[others[rest]], self.least[i])
+            others = others[ok]
+        return others
+
+
+def links_of_seed(grp: np.ndarray, key: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
+    """Of places with one seed, in order of documents, pairs ``earlier, later`` whose passages match and that join all components which a match joins.
+
+    Two components that are joined already are compared no more, save for other places of the document that
+    joined them; of equal neighbourhoods of a component the first document's are compared, once.
+    """
+    same: dict[tuple, list[int]] = {}
+    for i, (g, k, around) in enumerate(zip(grp.tolist(), key.tolist(), rows, strict=True)):
+        at = same.setdefault((g, around.tobytes()), [i])
+        if at[0] != i and key[at[0]] == k:
+            at.append(i)
+    kept = np.array([at[0] for at in same.values()])
+    of = dict(zip(kept.tolist(), same.values(), strict=True))
+    comp, key = grp[kept].copy(), key[kept]
+    places, out = _Places(rows[kept]), []
+    rows = places.rows
+    via: list[int] = []  # documents that this one is joined with
+    for i in range(1, len(kept)):
+        if key[i] != key[i - 1]:
+            via = []
+        asked = comp[:i] != comp[i]
+        if via:
+            asked |= np.isin(key[:i], via)
+        left = np.flatnonzero(asked)
+        if len(left):
+            left = places.like(i, left)
+        told: set[int] = set()
+        while len(left):
+            some, left = left[:64], left[64:]
+            some = np.array([j for j in some.tolist() if len(places.like(j, np.array([i])))], np.int64)
+            if not len(some):
                 continue
-            for k in range(1, z - a):
-                other = np.flatnonzero(some[:k, 1] != some[k, 1])
-                if len(other):
-                    x, y = some[other], np.broadcast_to(some[k], (len(other), 4))
-                    swap = (x[:, 2] > y[:, 2])[:, None]
-                    low, high = np.where(swap, y, x), np.where(swap, x, y)
-                    yield pa.record_batch([pa.array(low[:, 2]), pa.array(high[:, 2]), pa.array(low[:, 3].astype(np.int32)), pa.array(high[:, 3].astype(np.int32))], names)
-
-    held = np.zeros((0, 4), np.int64)
+            match = matching_starts(rows[some], np.broadcast_to(rows[i], (len(some), rows.shape[1])))[0] >= 0
+            for j in some[match].tolist():
+                k = int(key[j])
+                if comp[j] != comp[i] or k in via and k not in told:
+                    out.extend((int(kept[j]), later) for later in of[int(kept[i])])
+                    told.add(k)
+                    if k not in via:
+                        via.append(k)
+                    comp[comp == comp[j]] = comp[i]
+            left = left[(comp[left] != comp[i]) | np.isin(key[left], [k for k in via if k not in told])]
+    return out
+
+
+def _seed_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From seeds sorted by hash, document and place: pairs of places whose passages match, the smaller key first.
+
+    Places are compared here and only matches are rows, for each seed no more than join its components.
+    """
+
+    def read(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        around = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32).reshape(-1, 2 * LENGTH - 1)
+        return *[b.column(k).to_numpy() for k in range(4)], around
+
+    def links(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        seed, grp, key, place, rows = cols
+        begins = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+        sizes = np.diff(np.append(begins, len(seed)))
+        two = begins[sizes == 2]
+        two = two[grp[two] != grp[two + 1]]
+        pairs = [np.zeros((0, 2), np.int64)]
+        for k in range(0, len(two), 4096):
+            some = two[k : k + 4096]
+            some = some[matching_starts(rows[some], rows[some + 1])[0] >= 0]
+            pairs.append(np.stack([some, some + 1], 1))
+        for a, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            if (grp[a : a + n] != grp[a]).any():
+                met = links_of_seed(grp[a : a + n], key[a : a + n], rows[a : a + n])
+                pairs.append(a + np.array(met, np.int64).reshape(-1, 2))
+        x, y = np.concatenate(pairs).T
+        if len(x):
+            yield pa.record_batch([pa.array(key[x]), pa.array(key[y]), pa.array(place[x]), pa.array(place[y])], ["key", "b", "ca", "cb"])
+
+    held: tuple[np.ndarray, ...] | None = None
     for b in batches:
-        rows = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1)])
-        if len(rows):
-            cut = int(np.argmax(rows[:, 0] == rows[-1, 0]))
-            held = rows[cut:]
-            if cut:
-                yield from pairs(rows[:cut])
-    if len(held):
-        yield from pairs(held)
+        if not b.num_rows:
+            continue
+        cols = read(b)
+        if held is not None:
+            cols = tuple(np.concatenate(x) for x in zip(held, cols, strict=True))
+        cut = int(np.argmax(cols[0] == cols[0][-1]))
+        held = tuple(c[cut:] for c in cols)
+        if cut:
+            yield from links(tuple(c[:cut] for c in cols))
+    if held is not None:
+        yield from links(held)
 
 
 def _across(texts: DataFrame, found: DataFrame, work: WorkTables, parts: int) -> DataFrame:
-    """Anchors ``key, slot, b, ca, cb`` around all that passages of different components of ``found`` can match by; none is lost."""
+    """Anchors ``key, slot, b, ca, cb`` around passages that match and join the components of ``found``; none that can be joined is left apart.
+
+    Only texts that are linked already are shuffled for their component; the others are one each.
+    """
     spark = texts.sparkSession
-    linked = components(found.select(F.col("doc_id").alias("u"), F.col("match_id").alias("v")), work, "linked")
-    grouped = texts.join(linked.select(F.col("node").alias("id"), "root"), "id", "left").select("key", F.coalesce("root", "id").alias("grp"), "text")
+    linked = components(found.select(F.col("doc_id").alias("u"), F.col("match_id").alias("v")), work, "linked").select(F.col("node").alias("id"), "root")
+    joined = likely_in(texts, "id", linked.select("id")).join(linked.hint("shuffle_hash"), "id", "left")
+    joined = work.keep(joined.select("key", F.coalesce("root", "id").alias("grp"), "text"), "grouped")
+    grouped = joined.unionByName(unlikely_in(texts, "id", linked.select("id")).select("key", F.col("id").alias("grp"), "text"))
+    work.release()
     dealt = grouped.mapInArrow(uncollected(_all_shingles(parts)), _DEALT)
     several = dealt.groupBy("pid").applyInArrow(_in_several, _BITS)
     maps = several.groupBy("bucket").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("map")).collect()
@@ -1086,9 +1247,12 @@ def _across(texts: DataFrame, found: DataFrame, work: WorkTables, parts: int) ->
     for r in maps:
         bits[r.bucket << 12 : (r.bucket + 1) << 12] = r.map
     work.release()
-    seeds = work.keep(grouped.mapInArrow(uncollected(_seeds(spark.sparkContext.broadcast(bytes(bits)))), _SEEDS), "seeds")
-    met = seeds.repartition(parts, "hash").sortWithinPartitions("hash", "key", "place").mapInArrow(_seed_pairs, "key bigint, b bigint, ca int, cb int")
-    return work.keep(met.distinct().select("key", F.lit(None).cast("bigint").alias("slot"), "b", "ca", "cb"), "across")
+    seeds = grouped.mapInArrow(uncollected(_seeds(spark.sparkContext.broadcast(bytes(bits)))), _SEEDS)
+    met = seeds.repartition(parts, "hash").sortWithinPartitions("hash", "key", "place").mapInArrow(uncollected(_seed_links), "key bigint, b bigint, ca int, cb int")
+    across = work.keep(met.select("key", F.lit(None).cast("bigint").alias("slot"), "b", "ca", "cb"), "across")
+    work.drop("grouped")
+    work.release()
+    return across
 
 
 def _matched(anchors: DataFrame, texts: DataFrame, work: WorkTables, parts: int, name: str) -> DataFrame:

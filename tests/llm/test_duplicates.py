@@ -481,6 +481,64 @@ def test_matching_passages_share_a_seed():
     assert count > 1000
 
 
+def test_substrings_compare_a_common_phrase_without_rows_for_pairs(spark):
+    """Documents around a phrase too short to link are compared where they meet; rows are the matches that join components."""
+    r = random.Random(23)
+    words = lambda n: [f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(n)]
+    phrase, rows = words(41), []
+    for i in range(60):
+        before, after = words(30), words(30)
+        rows.append((10 * i, " ".join(before + phrase + after)))
+        if i % 6 == 0:
+            phrase_of_two = list(phrase)
+            phrase_of_two[20] = "edited"
+            rows.append((10 * i + 1, " ".join(words(30) + before[-4:] + phrase_of_two + after[:5] + words(30))))
+    sizes = {}
+
+    class Sized(WorkTables):
+        def keep(self, df, name, partition_by=None):
+            kept = super().keep(df, name, partition_by)
+            sizes[name] = kept.count()
+            return kept
+
+    found = substrings.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), Sized(spark, "t")).collect()
+    assert {(min(x.doc_id, x.match_id), max(x.doc_id, x.match_id)) for x in found} <= brute_passages(rows)
+    # ten documents match another each, by at most twelve seeds; the phrase alone makes 1,770 pairs
+    assert sizes["across"] <= 120 and sizes["around-across"] <= 20
+
+
+def test_links_of_a_seed_join_what_any_match_joins():
+    g, n, joined = np.random.default_rng(4), substrings.LENGTH, 0
+    for trial in range(40):
+        count, most = int(g.integers(3, 40)), (10**6, 40, 25)[trial % 3]
+        base = g.integers(1, most, (4, 2 * n - 1)).astype(np.uint32)
+        if trial % 4 == 3:
+            base = np.tile(base[:, :20], 5)[:, : 2 * n - 1]
+        rows = base[g.integers(0, 4, count)]
+        for row in rows:
+            row[g.integers(0, 2 * n - 1, g.integers(0, 40))] = g.integers(1, most)
+            row[: g.integers(0, n) if g.random() < 0.3 else 0] = 0
+        rows[:, n - 1] = 7
+        grp = g.integers(0, count, count)
+        key = np.sort(g.integers(0, 2 * count, count))
+        grp = grp[key % count]
+        links = substrings.links_of_seed(grp, key, rows)
+        a, b = np.triu_indices(count, 1)
+        match = substrings.matching_starts(rows[a], rows[b])[0] >= 0
+        wanted = {(int(x), int(y)) for x, y in zip(a[match], b[match]) if grp[x] != grp[y]}
+        assert set(links) <= wanted
+
+        def components(pairs):
+            comp = grp.copy()
+            for x, y in pairs:
+                comp[comp == comp[y]] = comp[x]
+            return [int(np.flatnonzero(comp == c)[0]) for c in comp]
+
+        assert components(links) == components(wanted)
+        joined += len(links)
+    assert joined > 50
+
+
 def test_substrings_small_rounds_and_salts(spark, monkeypatch):
     """Pieces of trees, crowded documents and meetings in many steps give what one of each gives."""
     rows, _ = planted(5, 80)
