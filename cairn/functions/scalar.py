@@ -163,9 +163,14 @@ RAMPS = {
 }
 
 
-def colormap(t, name: str = "bgyr") -> Column:
-    """``[r, g, b]`` of a value in 0 to 1; grey where it is missing."""
-    x = clamp(_c(t).cast("double"), 0.0, 1.0)
+def colormap(t, name: str = "bgyr", clamped: bool = True) -> Column:
+    """``[r, g, b]`` of a value in 0 to 1; grey where it is missing.
+
+    Values outside count as the nearer end. If not ``clamped``, the last piece of the ramp goes on above 1, where channels
+    may leave 0 to 1, and a ramp has no colour below 0.
+    """
+    x = _c(t).cast("double")
+    x = clamp(x, 0.0, 1.0) if clamped else x
     if name == "jet":
         rgb = F.array(*[clamp(F.lit(1.5) - F.abs(4 * x - k), 0.0, 1.0) for k in (3, 2, 1)])
     else:
@@ -175,8 +180,8 @@ def colormap(t, name: str = "bgyr") -> Column:
         part = x * steps - at
 
         def channel(k: int) -> Column:
-            a, b = (F.element_at(F.array(*[F.lit(c[k]) for c in colours]), at + 1) for colours in (ramp[:-1], ramp[1:]))
-            return a + (b - a) * part
+            a, b = (F.get(F.array(*[F.lit(c[k]) for c in colours]), at) for colours in (ramp[:-1], ramp[1:]))
+            return a + (b - a) * part if clamped else F.when(at >= 0, a + (b - a) * part)
 
         rgb = F.array(*[channel(k) for k in range(3)])
     return F.when(_c(t).isNull(), F.array(*[F.lit(MISSING_GREY)] * 3)).otherwise(rgb)
