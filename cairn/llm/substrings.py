@@ -81,31 +81,41 @@ def mixed(tokens: np.ndarray, k: int) -> np.ndarray:
 def compact_windows(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``l, c, r`` (inclusive) of all tree nodes of at least ``length`` positions, for many sequences that lie in one array.
 
-    The trees are walked from the roots down, all nodes of a depth at once; the smallest value of a
-    range (the leftmost of equals) comes from a sparse table.
+    A node is so long if and only if it is the smallest value (the leftmost of equals) of some ``length`` positions. Its range grows
+    to either side by halving steps over a sparse table, all nodes at once; so equal values, whose trees are chains, cost no more.
     """
     n = len(values)
     live = stops - starts >= length
-    lo, hi = starts[live], stops[live] - 1
-    if not len(lo):
+    starts, stops = starts[live], stops[live]
+    if not len(starts):
         z = np.zeros(0, np.int64)
         return z, z, z
-    depth = int((hi - lo + 1).max()).bit_length()
+    depth = int((stops - starts).max()).bit_length()
     table = np.empty((depth, n), np.uint64)
     np.bitwise_or(values >> np.uint64(_POSITION) << np.uint64(_POSITION), np.arange(n, dtype=np.uint64), out=table[0])
     for k in range(1, depth):
         half = 1 << (k - 1)
         np.minimum(table[k - 1, : n - half], table[k - 1, half:], out=table[k, : n - half])
         table[k, n - half :] = table[k - 1, n - half :]
-    found = []
-    mask = np.uint64((1 << _POSITION) - 1)
-    while len(lo):
-        k = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-        c = (np.minimum(table[k, lo], table[k, hi - (1 << k) + 1]) & mask).astype(np.int64)
-        found.append((lo, c, hi))
-        left, right = c - lo >= length, hi - c >= length
-        lo, hi = np.concatenate([lo[left], c[right] + 1]), np.concatenate([c[left] - 1, hi[right]])
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    k = length.bit_length() - 1
+    first, off = n - length + 1, length - (1 << k)
+    least = np.minimum(table[k, :first], table[k, off : off + first])
+    new = np.ones(first, bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    begin = np.flatnonzero(new)  # smallest places follow one another, so each is one run of starts in its sequence
+    begin = np.unique(np.concatenate([begin, starts]))
+    of = np.searchsorted(starts, begin, "right") - 1
+    within = (of >= 0) & (begin + length <= stops[of])
+    of = of[within]
+    c = (least[begin[within]] & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
+    start, stop, own = starts[of], stops[of], table[0, c]
+    low, high = c.copy(), c + 1
+    for k in range(depth - 1, -1, -1):
+        size = 1 << k
+        at = low - size
+        low = np.where((at >= start) & (table[k, np.maximum(at, 0)] > own), at, low)
+        high = np.where((high + size <= stop) & (table[k, np.minimum(high, n - 1)] > own), high + size, high)
+    return low, c, high - 1
 
 
 _WINDOWS = "kind int, slot bigint, doc_id bigint, row bigint, n int, s1 bigint, s2 bigint, pid int, payload binary"
@@ -455,15 +465,25 @@ def _stretches(made: list[tuple[np.ndarray, np.ndarray]], parts: int) -> list[tu
     return [(p, rec[order[cuts[p] : cuts[p + 1]]].tobytes(), small[inner[ends[p] : ends[p + 1]]].tobytes()) for p in range(parts) if cuts[p + 1] > cuts[p]]
 
 
-def stretches_of(h: np.ndarray, first: int, last: int, slot: int, key: int, doc: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Stretches and hashes of the runs that begin at ``first`` to ``last``."""
-    part = h[first : last + LENGTH]
-    if len(part) < LENGTH:
-        return None
-    total, low = runs_of(part)
-    at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+def stretches_of(asked: list[tuple[np.ndarray, int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches and hashes of the runs of some pieces of LENGTH shingles or more: shingles, place of the first, slot, key, document."""
+    lengths = np.array([len(h) for h, *_ in asked], np.int64)
+    total, low = runs_of(np.concatenate([h for h, *_ in asked]))
+    ends = np.cumsum(lengths)
+    begins, runs = ends - lengths, lengths - LENGTH + 1
+    new = np.ones(len(low), bool)
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    new[begins] = True
+    inside = np.zeros(len(low) + 1, np.int8)
+    inside[begins] += 1
+    inside[begins + runs] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    low, total, at = low[inside], total[inside], np.flatnonzero(new[inside])
+    before = np.cumsum(runs) - runs
+    of = np.searchsorted(before, at, "right") - 1
     rec = np.zeros(len(at), _STRETCH)
-    rec["low"], rec["slot"], rec["key"], rec["doc"], rec["start"], rec["n"] = low[at], slot, key, doc, first + at, np.diff(np.append(at, len(low)))
+    first, slot, key, doc = (np.array(c, np.int64)[of] for c in list(zip(*asked, strict=True))[1:])
+    rec["low"], rec["slot"], rec["key"], rec["doc"], rec["start"], rec["n"] = low[at], slot, key, doc, first + at - before[of], np.diff(np.append(at, len(low)))
     return rec, total
 
 
@@ -613,7 +633,7 @@ def _around(parts: int):
         for batch in batches:
             key, ids, text, slot, b, ca, cb = batch.columns
             texts = _documents(key, ids, text, True)
-            made, rows = [], []
+            made, asked, size, rows = [], [], 0, []
 
             def close(pair=None, rows=rows):
                 if pair:
@@ -627,15 +647,21 @@ def _around(parts: int):
                 elif doc is None or doc.key != k:
                     continue
                 elif other is None:
-                    got = stretches_of(doc.h, x, y, own, doc.key, doc.doc)
-                    if got:
-                        made.append(got)
+                    part = doc.h[x : y + LENGTH]
+                    if len(part) >= LENGTH:
+                        asked.append((part, x, own, doc.key, doc.doc))
+                        size += len(part)
+                        if size >= BLOCK:
+                            made.append(stretches_of(asked))
+                            asked, size = [], 0
                 elif pair and pair[1] == other:
                     pair[2].append(x)
                     pair[3].append(y)
                 else:
                     close(pair)
                     pair = (doc, other, [x], [y])
+            if asked:
+                made.append(stretches_of(asked))
             if made:
                 dealt = _stretches(made, parts)
                 n = len(dealt)
@@ -678,26 +704,49 @@ def matching_starts(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> tup
     rest = np.flatnonzero(~hit & x_full.any(axis=1) & y_full.any(axis=1))
     for a in range(0, len(rest), 256):
         some = rest[a : a + 256]
-        both = ((x[some][:, :, None] == y[some][:, None, :]).any(axis=2) & (x[some] != 0)).sum(axis=1)
+        equal = x[some][:, :, None] == y[some][:, None, :]
+        equal &= (x[some] != 0)[:, :, None]
+        # two passages share no more than the places of either that the other row has, and
         # a passage has at least LENGTH distinct shingles less the repeats of its row
+        most = [np.where(full[some], spans(equal.any(axis=axis)), 0).max(axis=1) for full, axis in ((x_full, 2), (y_full, 1))]
         distinct = 2 * LENGTH - _repeats(x[some]) - _repeats(y[some])
-        some = some[(100 + percent) * both >= percent * distinct]
+        ok = (100 + percent) * np.minimum(*most) >= percent * distinct
+        some, equal = some[ok], equal[ok]
         whole = plain[some]
         _by_sums(x, y, x_full, y_full, some[whole], percent, first, last, best, there)
-        for k in some[~whole].tolist():
-            values, at = np.unique(np.concatenate([x[k], y[k]]), return_inverse=True)
-            p, q = (_held(v, len(values)) for v in (at[: x.shape[1]], at[x.shape[1] :]))
-            common = p @ q.T
-            union = p.sum(axis=1)[:, None] + q.sum(axis=1)[None, :] - common
-            match = (100 * common >= percent * union) & x_full[k][:, None] & y_full[k][None, :]
-            if match.any():
-                similar = np.where(match, common.astype(np.float64) / union, 0.0)
-                found = np.flatnonzero(match.any(axis=0))
-                first[k], last[k], best[k] = found[0], found[-1], similar.max()
-                there[k] = similar[:, found[0]].argmax()
+        _by_firsts(x, y, equal[~whole], x_full, y_full, some[~whole], percent, first, last, best, there)
     return first, last, best, there
 
 
+def _begun(rows: np.ndarray) -> np.ndarray:
+    """For each row, place and start 1 where the place is in the passage and the first there with its value, else 0."""
+    n, width = rows.shape
+    order = np.argsort(rows, axis=1, kind="stable")
+    ordered = np.take_along_axis(rows, order, axis=1)
+    before = np.full((n, width), -1)
+    before[:, 1:] = np.where(ordered[:, 1:] == ordered[:, :-1], order[:, :-1], -1)
+    after = np.empty_like(before)
+    np.put_along_axis(after, order, before, axis=1)
+    start, place = np.arange(width - LENGTH + 1), np.arange(width)[:, None]
+    return ((start <= place) & (start > place - LENGTH) & (start > after[:, :, None])).astype(np.float32)
+
+
+def _by_firsts(x, y, equal, x_full, y_full, some, percent, first, last, best, there) -> None:
+    """All passages of some rows against one another as sets: they share a value where the first places that have it in each are ``equal``."""
+    for a in range(0, len(some), 64):
+        rows = some[a : a + 64]
+        p, q = _begun(x[rows]), _begun(y[rows])
+        common = p.transpose(0, 2, 1) @ equal[a : a + 64].astype(np.float32) @ q
+        union = p.sum(axis=1)[:, :, None] + q.sum(axis=1)[:, None, :] - common
+        match = (100 * common >= percent * union) & x_full[rows][:, :, None] & y_full[rows][:, None, :]
+        for i in np.flatnonzero(match.any(axis=(1, 2))).tolist():
+            k = rows[i]
+            similar = np.where(match[i], common[i].astype(np.float64) / union[i], 0.0)
+            found = np.flatnonzero(match[i].any(axis=0))
+            first[k], last[k], best[k] = found[0], found[-1], similar.max()
+            there[k] = similar[:, found[0]].argmax()
+
+
 def _by_sums(x, y, x_full, y_full, some, percent, first, last, best, there) -> None:
     """All passages of some rows without repeated shingles against one another: what they share is a sum over a square of equal places."""
     if not len(some):
@@ -724,14 +773,6 @@ def _repeats(rows: np.ndarray) -> np.ndarray:
     return ((rows[:, 1:] == rows[:, :-1]) & (rows[:, 1:] != 0)).sum(axis=1)
 
 
-def _held(at: np.ndarray, values: int) -> np.ndarray:
-    """For each start and value 1 where the passage holds the value, else 0."""
-    count = np.zeros((len(at) + 1, values), np.float32)
-    count[np.arange(1, len(at) + 1), at] = 1
-    count = np.cumsum(count, axis=0)
-    return (count[LENGTH:] > count[:-LENGTH]).astype(np.float32)
-
-
 def _place(row: np.ndarray, h: np.ndarray, first: int, c: int) -> None:
     """Into ``row`` the stretch from LENGTH - 1 before ``c`` to as many after it; ``h`` begins at position ``first``."""
     low = c - LENGTH + 1
@@ -754,10 +795,14 @@ def _joined(spans: list[tuple]) -> list[tuple]:
 def distinct_counts(values: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """For each start the number of distinct values of the passage that begins there; ``piece`` numbers the sequences in order."""
     n = len(values)
-    order = np.lexsort((np.arange(n), values, piece))
-    again = np.zeros(n, bool)
-    again[1:] = (values[order][1:] == values[order][:-1]) & (piece[order][1:] == piece[order][:-1])
-    place, before = order[again], order[np.flatnonzero(again) - 1]
+    key = values ^ mixed(piece.astype(np.uint64), 5)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    # the few that are equal to others, in order of their places
+    some = np.sort(order[np.append(same, False) | np.append(False, same)])
+    some = some[np.lexsort((values[some], piece[some]))]
+    again = np.flatnonzero((values[some][1:] == values[some][:-1]) & (piece[some][1:] == piece[some][:-1]))
+    place, before = some[again + 1], some[again]
     near = place - before < LENGTH  # both are in passages that begin from place - LENGTH + 1 to before
     change = np.bincount(np.maximum(place[near] - LENGTH + 1, 0), minlength=n + 1) - np.bincount(before[near] + 1, minlength=n + 1)
     return LENGTH - np.cumsum(change)[:n]
@@ -775,9 +820,18 @@ def aligned(x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     inside = np.arange(n) + LENGTH <= np.repeat(np.cumsum(lengths), lengths)
     d = np.zeros(n, np.int64)
     d[: max(0, n - LENGTH + 1)] = unlike[LENGTH:] - unlike[: max(0, n - LENGTH + 1)]
-    m = np.maximum(distinct_counts(x, piece), distinct_counts(y, piece))
-    good = inside & (100 * (m - d) >= PERCENT * (m + d))
-    return np.where(good, (m - d) / np.maximum(m + d, 1), 0.0)
+    out = np.zeros(n)
+    # no passage has more than LENGTH distinct shingles, so most sequences need no counts
+    few = inside & (100 * (LENGTH - d) >= PERCENT * (LENGTH + d))
+    asked = np.zeros(len(lengths), bool)
+    asked[piece[few]] = True
+    at = np.flatnonzero(asked[piece])
+    if len(at):
+        piece, d, inside = piece[at], d[at], inside[at]
+        m = np.maximum(distinct_counts(x[at], piece), distinct_counts(y[at], piece))
+        good = inside & (100 * (m - d) >= PERCENT * (m + d))
+        out[at] = np.where(good, (m - d) / np.maximum(m + d, 1), 0.0)
+    return out
 
 
 #: Positions that are compared at once.
@@ -793,11 +847,16 @@ class _Pair:
         self.who, self.x, self.y, self.begins, self.pieces, self.h = who, x, y, begins, pieces, h
 
     def piece(self, place: int) -> tuple[np.ndarray, int]:
-        k = int(np.searchsorted(self.begins, place, "right")) - 1
+        k = int(self.begins.searchsorted(place, "right")) - 1 if len(self.pieces) > 1 else 0
         return self.pieces[k], int(self.begins[k])
 
     def stretches(self) -> Iterator[tuple[int, int, int, np.ndarray]]:
         """Diagonal, first and last place (exclusive) in ``x`` and the anchors of stretches in which neighbourhoods join."""
+        if len(self.x) == 1:
+            c, off = int(self.x[0]), int(self.x[0] - self.y[0])
+            part, begin = self.piece(c)
+            yield off, max(begin, off, c - LENGTH + 1), min(begin + len(part), off + len(self.h), c + LENGTH), self.x
+            return
         diagonal = self.x - self.y
         order = np.lexsort((self.x, diagonal))
         d, x = diagonal[order], self.x[order]

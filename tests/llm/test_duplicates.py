@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -237,6 +238,34 @@ def test_compact_windows():
     assert got == sorted(brute_tree(v, 0, 149, 20) + brute_tree(v, 150, 494, 20))
 
 
+def test_compact_windows_of_equal_values():
+    """Equal values, whose trees are chains, take no step for each of them."""
+    n = 60_000
+    began = time.process_time()
+    got = substrings.compact_windows(np.full(n, 1 << 40, np.uint64), np.array([0]), np.array([n]), 46)
+    assert time.process_time() - began < 1
+    lo, c, hi = (x[np.argsort(got[1])] for x in got)
+    assert (c == np.arange(n - 45)).all() and (lo == c).all() and (hi == n - 1).all()
+
+
+def test_matching_starts_of_repeats():
+    """Passages with repeated shingles are compared as sets, place by place as Python's sets say."""
+    r, n = np.random.default_rng(3), substrings.LENGTH
+    x = r.integers(1, 40, (60, 2 * n - 1)).astype(np.uint64)
+    y = np.where(r.random(x.shape) < 0.1, np.uint64(99), np.roll(x, 3, axis=1))
+    first, last, best, there = substrings.matching_starts(x, y)
+    some = 0
+    for k in range(len(x)):
+        p, q = ([set(v[i : i + n].tolist()) for i in range(n)] for v in (x[k], y[k]))
+        similar = np.array([[len(a & b) / len(a | b) for b in q] for a in p])
+        found = np.flatnonzero((similar >= 0.75).any(axis=0))
+        assert (first[k], last[k]) == ((found[0], found[-1]) if len(found) else (-1, -1))
+        if len(found):
+            some += 1
+            assert best[k] == similar[:, found].max() and similar[there[k], found[0]] == similar[:, found[0]].max()
+    assert some > 20
+
+
 def planted(seed=1, n=60):
     """Documents of which some share passages of 55 to 90 words, at any place, some with an edit."""
     r = random.Random(seed)
